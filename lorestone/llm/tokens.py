@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import re
+import unicodedata
 from functools import lru_cache
 
-#: A run of white space and the text after it. Where text ends and white space begins, no match of the pre-tokenizer
-#: goes on, so the pieces of a text can be encoded apart and each distinct piece once.
+import numpy as np
+
+#: Where text ends and white space begins, no match of the pre-tokenizer goes on, so the pieces of a text can be encoded
+#: apart, and each distinct piece once. Most texts can be cut at single blanks; in others, white space meets a blank.
 _PIECE = re.compile(r"\s*\S+|\s+")
+_UNEVEN = re.compile(r"\s |\A | \Z")
 #: White space to Python, but not to the tokenizers; rare enough to encode such texts whole.
-_UNSURE = re.compile("[\x1c-\x1f]")
-#: Pieces remembered by each Python worker, about 100 MB.
-REMEMBER = 500_000
+_UNSURE = re.compile("[\x00\x1c-\x1f]")
+#: Pieces remembered by each Python worker since the last turn; as many again from before it. About 150 MB in all.
+REMEMBER = 400_000
 
 
 def public_path(name: str) -> str:
@@ -23,36 +28,85 @@ def public_path(name: str) -> str:
 class Encoder:
     """Ids of texts as packed little-endian integers of two bytes (four for vocabularies beyond 65,536).
 
-    drops_space: the tokenizer drops white space, so that words are encoded without it."""
+    Each distinct piece of a text is encoded once and remembered. New pieces are encoded together, as one long text; the
+    lengths of the tokens' strings, a character for each byte, tell where each piece's ids end."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.width = int(self.dtype[-1])
-        self.drops_space = self._ids(["a \n\t a"])[0] == self._ids(["a a"])[0] == self._ids(["a"])[0] * 2
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.width = self.dtype.itemsize
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token.removesuffix("</w>"))
+        #: White space is dropped: words are encoded without it.
+        self.drops_space = self._ids("a \n\t a").tolist() == self._ids("a a").tolist() == self._ids("a").tolist() * 2
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        order = "little"
-        return [b"".join(i.to_bytes(self.width, order) for i in e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.before: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _encode_new(self, words: list[str]) -> None:
+        """Words that follow a blank, without it."""
+        text = " " + " ".join(words)
+        ids = self._ids(text)
+        ends = np.cumsum(self.lengths[ids])
+        if self.drops_space:
+            text = unicodedata.normalize("NFC", text).lower()
+        blanks = np.flatnonzero(np.frombuffer(raw := text.encode(), np.uint8) == 32)
+        want = np.append(blanks[1:], len(raw)) - self.drops_space * np.arange(1, len(blanks) + 1)
+        at = np.searchsorted(ends, want, "right")
+        if len(ends) and len(want) == len(words) and np.array_equal(ends[at - 1], want) and want[-1] == ends[-1]:
+            raw, at = ids.tobytes(), (at * self.width).tolist()
+            self.known.update(zip(words, [raw[i:j] for i, j in zip([0, *at], at)]))
+        elif len(words) == 1:
+            self.known[words[0]] = ids.tobytes()
+        else:
+            half = len(words) // 2
+            self._encode_new(words[:half])
+            self._encode_new(words[half:])
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.known) > REMEMBER:
+            self.known, self.before = {}, self.known
+        known, old = self.known, self.before
+        if old:
+            known.update({p: raw for p in pieces if (raw := old.get(p)) is not None})
+            pieces = pieces - known.keys() if len(known) < len(pieces) else {p for p in pieces if p not in known}
+        # A piece after \0 starts its text or holds its own white space; it is encoded as it is.
+        for p in (own := [p for p in pieces if p[0] == "\0"]):
+            known[p] = self._ids(p[1:]).tobytes()
+        words = list(pieces.difference(own))
+        for i in range(0, len(words), 2000):
+            self._encode_new(words[i : i + 2000])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = str.split if self.drops_space else _PIECE.findall
-        pieces = [[t] if _UNSURE.search(t) else split(t) for t in (x or "" for x in texts)]
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        known = self.known
-        new = list(set().union(*pieces) - known.keys()) if pieces else []
-        for i in range(0, len(new), 10_000):
-            known.update(zip(new[i : i + 10_000], self._ids(new[i : i + 10_000])))
-        get = known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        flat, ends = [], []
+        for t in texts:
+            if not t:
+                pass
+            elif _UNSURE.search(t):
+                flat.append("\0" + t)
+            elif self.drops_space:
+                flat += t.split()
+            elif _UNEVEN.search(t):
+                flat += ["\0" + p for p in _PIECE.findall(t)]
+            else:
+                k = len(flat)
+                flat += t.split(" ")
+                flat[k] = "\0" + flat[k]
+            ends.append(len(flat))
+        found = list(map(self.known.get, flat))
+        if None in found:
+            self._learn({p for p, raw in zip(flat, found) if raw is None})
+            get, old = self.known.get, self.before
+            found = [raw if raw is not None else get(p) or old.get(p, b"") for p, raw in zip(flat, found)]
+        return [b"".join(found[i:j]) for i, j in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=4)
