@@ -197,26 +197,43 @@ class Forest:
         return True
 
 
+#: Up to so many edges of partitions' forests, one task joins them: 16 MB. More are joined by rounds over all executors.
+EDGES_AT_ONCE = 1_000_000
+
+
 def _thin(batches):
-    """Each partition's edges as a spanning forest whose edges lead to the smallest member."""
+    """Each partition's edges as a forest of stars that lead to the smallest member; folded now and then."""
+    lead: dict[int, int] = {}
+
+    def find(x):
+        top = x
+        while (up := lead.get(top, top)) != top:
+            top = up
+        while (up := lead.get(x, x)) != top and x != top:
+            lead[x], x = top, up
+        return top
+
     for b in empty_safe(batches):
-        a, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-        ids, at = np.unique(np.concatenate([a, c]), return_inverse=True)
-        f = Forest(len(ids))
-        for i, j in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
-            f.union(i, j)
-        lead = np.array([f.find(i) for i in range(len(ids))])
-        keep = lead != np.arange(len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[lead][keep])], names=["a", "b"])
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x, y = find(x), find(y)
+            if x != y:
+                lead[max(x, y)] = min(x, y)
+    nodes = list(lead)
+    for i in range(0, len(nodes), 100_000):
+        part = nodes[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of edges (a, b: long): comp is the smallest node reachable.
 
-    Alternating stars over DataFrames: sums and minima per node combine on the map side, the joins back to a node's
-    edges can be split where a node is hot, each round is a written table, and only one count a round reaches the driver."""
+    Partitions first reduce their edges to forests. If these hold EDGES_AT_ONCE at most, a single task joins them.
+    Otherwise stars alternate over DataFrames: minima per node combine on the map side, the joins back to a node's edges
+    can be split where a node is hot, each round is a written table, and only one count a round reaches the driver."""
     thin = lambda df: df.mapInArrow(_thin, "a long, b long")
     stars = materialise(thin(edges.select("a", "b").where("a <> b")), "stars")
+    if stars.limit(EDGES_AT_ONCE + 1).count() <= EDGES_AT_ONCE:
+        return _named(materialise(thin(stars.coalesce(1)), "stars"))
     was = None
     while True:
         both = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -232,4 +249,8 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(is_now) == was:
             break
         was = tuple(is_now)
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
+    return _named(stars)
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
