@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, buffers, chunks, documents, empty_safe, gather, mix64, partitions, prefix_hash, scatter, stream
+from .common import SPACE, buffers, chunks, documents, empty_safe, gather, mix64, prefix_hash, scatter, stream
 
 #: The gear hash sums a random number for each of the last 16 bytes, doubled once a byte; a byte whose hash is below the
 #: limit ends a chunk, one in `MEAN`.
@@ -16,6 +16,8 @@ _GEAR = (stream(11, 256) >> np.uint64(32)).astype(np.uint32)
 #: A passage is reported from so many words on in a row of repeated chunks. Up to a window and two chunks of a repeat
 #: lie outside such a row, so that repeats of over 50 words are found and those of under 30 are not.
 LEAST_WORDS = 30
+#: Bytes of text whose chunks share a bucket, on average: 400,000 chunks, 12 MB, whatever the table and the cluster hold.
+BUCKET_BYTES = 8 << 20
 _KINDS = [np.dtype(np.uint64), np.dtype(np.int64), np.dtype(np.uint32), np.dtype(np.uint32), np.dtype(np.uint16)]
 
 
@@ -62,7 +64,9 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, mean: int = MEAN, i
     A frequent digest weighs as its places do, and pairs of places are never formed. Null texts hold no passage, nor do
     null ids; of repeated rows with one id, equal places count once, so rows that repeat an id and its text hold nothing
     new; other columns are left out; an empty table gives no rows."""
-    buckets = 4 * partitions(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET_BYTES))
 
     def cut(batches):
         for b in empty_safe(batches):
@@ -128,7 +132,6 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, mean: int = MEAN, i
         out = [(d, len(found), size(f[:2] for f in found), size(gone), min(f[2] for f in found), say(f[:2] for f in found), say(gone)) for d, (found, gone) in rows.items()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, [pa.int64()] * 5 + [pa.string()] * 2)], names=["doc_id", "n_passages", "repeated_bytes", "removed_bytes", "first_doc_id", "spans", "removed"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     blob = "bucket int, payload binary"
     again = texts.mapInArrow(cut, blob).groupBy("bucket").applyInArrow(match, blob)
     schema = "doc_id long, n_passages long, repeated_bytes long, removed_bytes long, first_doc_id long, spans string, removed string"
