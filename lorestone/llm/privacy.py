@@ -92,6 +92,12 @@ def _small(df: DataFrame, n: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _share(total: float) -> Column:
+    """The part of an entity's information that a term tells, from n_c, n_t and n_ct of `total` documents."""
+    alone = F.log(F.col("n_c") / F.lit(total))
+    return F.when(alone < 0, 1 - F.log(F.col("n_ct") / F.col("n_t")) / alone).otherwise(0.0)
+
+
 def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(text_key, terms): for each text, by MD5, the words in it that give away an entity on their line.
 
@@ -114,14 +120,14 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
     pairs = pairs.where((F.length(t) >= 4) & t.rlike(r"\p{L}") & ~t.contains("\\") & ~t.contains(F.col("entity")) & ~F.col("entity").contains(t) & ~holds_digits_or_at(t))
     pairs = materialise(pairs.distinct(), "private-pairs")
     both = pairs.groupBy("entity", "term").agg(F.sum("w").alias("n_ct"), F.first("n_c").alias("n_c"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    both = materialise(both, "private-terms")
+    total = float(max(docs.count(), 1))
+    # The texts of pairs bound n(t) from below, so terms of many entities' lines are out before all words are counted.
+    least = pairs.select("text_key", "w", "term").distinct().groupBy("term").agg(F.sum("w").alias("n_t"))
+    both = materialise(both.join(least, "term").where(_share(total) >= disclosure).drop("n_t"), "private-terms")
     terms = _small(both.select("term").distinct())
-    total = docs.count()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("term"))
     df = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    alone = F.log(F.col("n_c") / F.lit(float(max(total, 1))))
-    share = F.when(alone < 0, 1 - F.log(F.col("n_ct") / F.col("n_t")) / alone).otherwise(0.0)
-    told = both.join(df, "term").where(share >= disclosure).select("entity", "term")
+    told = both.join(df, "term").where(_share(total) >= disclosure).select("entity", "term")
     return pairs.join(told, ["entity", "term"]).groupBy("text_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
