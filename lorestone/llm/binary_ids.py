@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, empty_safe, scratch
-from .tokens import batches_of, encoder, public_path
+from .tokens import encoded, encoder, public_path
 
 MAGIC = b"DAC1"
 BITS = 8
@@ -92,9 +92,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
             return pa.RecordBatch.from_arrays(columns, names=["part", "place", "doc_ids", "counts", "block"])
 
         for b in empty_safe(batches):
-            doc_ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for i, j in batches_of(texts):
-                for doc_id, raw in zip(doc_ids[i:j], from_text.encode(texts[i:j])):
+            doc_ids = b.column("doc_id").to_pylist()
+            for i, j, ids in encoded(b.column("text"), from_text):
+                for doc_id, raw in zip(doc_ids[i:j], ids.to_pylist()):
                     held.append((doc_id, raw + end))
                     total += len(raw) // from_text.width + 1
                     if total >= SHARD_IDS:

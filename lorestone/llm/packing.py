@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, buffers, chunks, documents, empty_safe, mix64, stream
-from .tokens import batches_of, encoder, public_path
+from .tokens import encoded, encoder, public_path
 
 LENGTH = 1024
 END_ID = 0
@@ -131,9 +131,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
         end = np.array([end_id], from_text.dtype)
         seqs = Sequences(length, TaskContext.get().partitionId() << 40)
         for b in empty_safe(batches):
-            doc_ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for i, j in batches_of(texts):
-                for doc_id, raw in zip(doc_ids[i:j], from_text.encode(texts[i:j])):
+            doc_ids = b.column("doc_id").to_pylist()
+            for i, j, ids in encoded(b.column("text"), from_text):
+                for doc_id, raw in zip(doc_ids[i:j], ids.to_pylist()):
                     seqs.add(doc_id, np.concatenate([np.frombuffer(raw, from_text.dtype), end]))
                 yield lean(seqs.drain())
         seqs.finish()

@@ -8,11 +8,16 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import SPACE, buffers, chunks
 
 #: Where text ends and white space begins, no match of the pre-tokenizer goes on, so the pieces of a text can be encoded
 #: apart, and each distinct piece once. Most texts can be cut at single blanks; in others, white space meets a blank.
 _PIECE = re.compile(r"\s*\S+|\s+")
-_UNEVEN = re.compile(r"\s |\A | \Z")
+#: White space beyond ASCII, as UTF-8.
+_WIDE_SPACE = np.array([int.from_bytes(chr(c).encode()) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)], np.uint32)
 #: White space to Python, but not to the tokenizers; rare enough to encode such texts whole.
 _UNSURE = re.compile("[\x00\x1c-\x1f]")
 #: Pieces remembered by each Python worker since the last turn; as many again from before it. About 150 MB in all.
@@ -75,6 +80,8 @@ class Encoder:
         if len(self.known) > REMEMBER:
             self.known, self.before = {}, self.known
         known, old = self.known, self.before
+        known[""] = b""
+        pieces.discard("")
         if old:
             known.update({p: raw for p in pieces if (raw := old.get(p)) is not None})
             pieces = pieces - known.keys() if len(known) < len(pieces) else {p for p in pieces if p not in known}
@@ -85,28 +92,62 @@ class Encoder:
         for i in range(0, len(words), 2000):
             self._encode_new(words[i : i + 2000])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        flat, ends = [], []
-        for t in texts:
-            if not t:
-                pass
-            elif _UNSURE.search(t):
-                flat.append("\0" + t)
-            elif self.drops_space:
-                flat += t.split()
-            elif _UNEVEN.search(t):
-                flat += ["\0" + p for p in _PIECE.findall(t)]
-            else:
-                k = len(flat)
-                flat += t.split(" ")
-                flat[k] = "\0" + flat[k]
-            ends.append(len(flat))
-        found = list(map(self.known.get, flat))
+    def _found(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        found = list(map(self.known.get, pieces))
         if None in found:
-            self._learn({p for p, raw in zip(flat, found) if raw is None})
-            get, old = self.known.get, self.before
-            found = [raw if raw is not None else get(p) or old.get(p, b"") for p, raw in zip(flat, found)]
-        return [b"".join(found[i:j]) for i, j in zip([0, *ends], ends)]
+            self._learn({p for p, raw in zip(pieces, found) if raw is None})
+            found = [self.known[p] if raw is None else raw for p, raw in zip(pieces, found)]
+        return found
+
+    def _joined(self, pieces: pa.ListArray) -> pa.LargeBinaryArray:
+        """For each list of pieces their ids, end to end: distinct pieces are looked up, then copied to their places."""
+        coded = pieces.values.dictionary_encode()
+        flat = pa.array(self._found(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        _, ends, raw = flat.buffers()
+        ends = np.frombuffer(ends, np.int64)[np.asarray(pieces.offsets)] if len(flat) else np.zeros(len(pieces) + 1, np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(ends), raw or pa.py_buffer(b"")])
+
+    def _odd(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which texts can't be cut at single blanks (or, for tokenizers that drop it, at white space)."""
+        seg, at = data[at[0] : at[-1]], at - at[0]
+        odd = np.zeros(len(at) - 1, bool)
+        places = [np.flatnonzero((seg == 0) | ((seg >= 0x1C) & (seg <= 0x1F)))]
+        if not self.drops_space:
+            some = at[:-1] < at[1:]
+            odd[some] = (seg[at[:-1][some]] == 32) | (seg[at[1:][some] - 1] == 32)
+            blank = np.flatnonzero(seg == 32)
+            blank = blank[blank > 0]
+            places.append(blank[SPACE[seg[blank - 1]]])
+            wide = blank[seg[blank - 1] >= 0x80]
+            code = sum(seg[np.maximum(wide - k, 0)].astype(np.uint32) << np.uint32(8 * (k - 1)) for k in (1, 2, 3))
+            places.append(wide[np.isin(code, _WIDE_SPACE) | np.isin(code & np.uint32(0xFFFF), _WIDE_SPACE)])
+        for where in places:
+            odd[np.searchsorted(at, where, "right") - 1] = True
+        return odd
+
+    def encode_column(self, texts: pa.Array) -> pa.LargeBinaryArray:
+        """The ids of each text, null being empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return pa.array([], pa.large_binary())
+        odd = self._odd(*buffers(texts))
+        plain = texts.filter(pa.array(~odd)) if odd.any() else texts
+        if self.drops_space:
+            parts = [self._joined(pc.utf8_split_whitespace(plain))]
+        else:
+            nothing = pa.scalar("", pa.large_string())
+            parts = [self._joined(pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), plain, nothing), pattern=" "))]
+        if not odd.any():
+            return parts[0]
+        own = [["\0" + t] if _UNSURE.search(t) else ["\0" + p for p in _PIECE.findall(t)] for t in texts.filter(pa.array(odd)).to_pylist()]
+        parts.append(self._joined(pa.array(own, pa.list_(pa.large_string()))))
+        place = np.empty(len(odd), np.int64)
+        place[~odd], place[odd] = np.arange(len(odd) - odd.sum()), np.arange(len(odd) - odd.sum(), len(odd))
+        return pa.concat_arrays(parts).take(pa.array(place))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return self.encode_column(pa.array(texts, pa.large_string())).to_pylist()
 
 
 @lru_cache(maxsize=4)
@@ -115,13 +156,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def batches_of(texts: list, most: int = 4 << 20):
-    """Slices of about `most` characters."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+def encoded(texts: pa.Array, from_text: Encoder, most: int = 16 << 20):
+    """(from, to, ids of these texts) for slices of about `most` bytes."""
+    for a, b in chunks(buffers(texts)[1], most):
+        yield a, b, from_text.encode_column(texts.slice(a, b - a))
