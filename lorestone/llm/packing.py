@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, chunks, documents, empty_safe, mix64, stream
+from .common import Words, buffers, chunks, documents, empty_safe, materialise, stream
 from .tokens import encoded, encoder, public_path
 
 LENGTH = 1024
@@ -66,11 +66,6 @@ def curve_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _keyed(batches):
-    for b in empty_safe(batches):
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(curve_keys(*buffers(b.column("text"))), pa.int64())], names=[*b.schema.names, "pack_key"])
-
-
 class Sequences:
     """Cuts a stream of documents into sequences; the last is cut into powers of two, which need no padding."""
 
@@ -118,32 +113,40 @@ class Sequences:
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids) of all documents.
 
-    Documents are range-sorted by their place on the curve (then by id and text, so that ties are settled), which is the
-    one shuffle; each partition then encodes its documents in order and cuts the stream at `length` ids. What is left at
-    a partition's end becomes sequences whose lengths are powers of two, so nothing is padded. A sequence's number is the
-    partition's number times 2**40 plus its place there. `ids` packs the piece's ids in two bytes each (four for large
-    vocabularies). Null and empty texts are the end id alone; a document over `length` ids spans several sequences;
-    repeated rows are packed each; a null id stays null; other columns are left out; an empty table gives no rows."""
+    Each text is encoded and keyed once, into a table of ids. Its rows are range-sorted by their place on the curve (then
+    by id and token ids, so that ties are settled), which is the one shuffle and moves no text; each partition then cuts
+    its stream at `length` ids. What is left at a partition's end becomes sequences whose lengths are powers of two, so
+    nothing is padded. A sequence's number is the partition's number times 2**40 plus its place there. `ids` packs the
+    piece's ids in two bytes each (four for large vocabularies). Null and empty texts are the end id alone; a document
+    over `length` ids spans several sequences; repeated rows are packed each; a null id stays null; other columns are
+    left out; an empty table gives no rows."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
-    def cut(batches):
+    def keyed(batches):
         from_text = encoder(tokenizer)
-        end = np.array([end_id], from_text.dtype)
+        for b in empty_safe(batches):
+            doc_ids, texts = b.column("doc_id"), b.column("text")
+            for i, j, ids in encoded(texts, from_text):
+                keys = pa.array(curve_keys(*buffers(texts.slice(i, j - i))), pa.int64())
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(i, j - i), keys, ids.cast(pa.binary())], names=["doc_id", "pack_key", "ids"])
+
+    def cut(batches):
+        dtype = encoder(tokenizer).dtype
+        end = np.array([end_id], dtype)
         seqs = Sequences(length, TaskContext.get().partitionId() << 40)
         for b in empty_safe(batches):
-            doc_ids = b.column("doc_id").to_pylist()
-            for i, j, ids in encoded(b.column("text"), from_text):
-                for doc_id, raw in zip(doc_ids[i:j], ids.to_pylist()):
-                    seqs.add(doc_id, np.concatenate([np.frombuffer(raw, from_text.dtype), end]))
-                yield lean(seqs.drain())
+            for doc_id, raw in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
+                seqs.add(doc_id, np.concatenate([np.frombuffer(raw, dtype), end]))
+            yield lean(seqs.drain())
         seqs.finish()
         yield lean(seqs.drain())
 
     def lean(batch):
         return batch if with_ids else batch.drop_columns(["ids"])
 
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(_keyed, "doc_id long, text string, pack_key long")
-    ranged = keyed.repartitionByRange("pack_key", "doc_id").sortWithinPartitions("pack_key", "doc_id", "text").drop("pack_key")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
+    table = materialise(docs.mapInArrow(keyed, "doc_id long, pack_key long, ids binary"), "pack-ids")
+    ranged = table.repartitionByRange("pack_key", "doc_id").sortWithinPartitions("pack_key", "doc_id", "ids").select("doc_id", "ids")
     return ranged.mapInArrow(cut, schema if with_ids else schema.removesuffix(", ids binary"))
 
 

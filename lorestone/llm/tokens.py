@@ -156,7 +156,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(texts: pa.Array, from_text: Encoder, most: int = 16 << 20):
+def encoded(texts: pa.Array, from_text: Encoder, most: int = 12 << 20):
     """(from, to, ids of these texts) for slices of about `most` bytes."""
     for a, b in chunks(buffers(texts)[1], most):
         yield a, b, from_text.encode_column(texts.slice(a, b - a))

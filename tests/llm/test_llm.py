@@ -122,7 +122,7 @@ def direct(path, texts):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(st.sampled_from(list("ab'éßΣ0 \n\t\x1c\x00 ́.,#日😀İ")), max_size=30), max_size=6))
+@given(st.lists(st.text(st.sampled_from(list("ab'éßΣ0 \n\t\x1c\x00 ́.,#日😀İ\x85\xa0\u2003\u3000à")), max_size=30), max_size=6))
 def test_tokens(texts):
     for path in (BYTE, LOWER):
         e = tokens.encoder(path)
