@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, empty_safe, scratch
+from .common import documents, empty_safe, partitions, scratch
 from .tokens import encoded, encoder, public_path
 
 MAGIC = b"DAC1"
@@ -72,40 +74,58 @@ class Dac:
         return out
 
 
+def range_bounds(docs: DataFrame, parts: int) -> list[tuple]:
+    """Where each of at most `parts` ranges of about as many rows begins: (id is given, id, hash of the text, row)."""
+    slim = docs.select("given", "doc_id", "h", "row")
+    firsts = slim.repartitionByRange(parts, *slim.columns).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*slim.columns)).alias("k"))
+    return sorted(tuple(r["k"]) for r in firsts.collect())
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id") -> DataFrame:
-    """Encode all documents, write them as shards in ascending order of id (null first, ties by text), and read them back.
+    """Encode all documents, write them as shards in ascending order of id (null first, ties by a hash of the text), and
+    read them back.
 
     A row of the written table is a shard: its number (partition and place there), the ids of its documents, how many
-    token ids each has, and the encoded block. The one shuffle moves texts; encoding follows it, so each text is encoded
-    once. Null and empty texts are the end id alone; repeated rows are kept; an empty table gives no shards."""
+    token ids each has, and the encoded block. Ranges are laid over ids and hashes, of which as many bounds as there are
+    shuffle partitions reach the driver; each text is then encoded where it is read, and the shuffle moves token ids.
+    Rows that share an id, even with one text, are spread over ranges. Null and empty texts are the end id alone;
+    repeated rows are kept; an empty table gives no shards."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").isNotNull().cast("int").alias("given"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"), "text")
+    bounds = range_bounds(docs, partitions(docs.sparkSession))
 
     def encode(batches):
-        from pyspark import TaskContext
+        from_text = encoder(tokenizer)
+        for b in empty_safe(batches):
+            places = [bisect_right(bounds, k) - 1 for k in zip(*(b.column(c).to_pylist() for c in ("given", "doc_id", "h", "row")))]
+            for i, j, ids in encoded(b.column("text"), from_text):
+                own = [b.column(c).slice(i, j - i) for c in ("given", "doc_id", "h", "row")]
+                yield pa.RecordBatch.from_arrays([pa.array(places[i:j], pa.int32()), *own, ids.cast(pa.binary())], names=["range", "given", "doc_id", "h", "row", "ids"])
 
-        from_text, part, place = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end, held, total = np.array([end_id], from_text.dtype).tobytes(), [], 0
+    def shards(batches):
+        dtype, part, place = encoder(tokenizer).dtype, TaskContext.get().partitionId(), 0
+        end, held, total = np.array([end_id], dtype).tobytes(), [], 0
 
         def shard():
-            ids = np.frombuffer(b"".join(raw for _, raw in held), from_text.dtype)
-            counts = [len(raw) // from_text.width for _, raw in held]
+            ids = np.frombuffer(b"".join(raw for _, raw in held), dtype)
+            counts = [len(raw) // dtype.itemsize for _, raw in held]
             columns = [pa.array([part]), pa.array([place]), pa.array([[d for d, _ in held]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([dac_encode(ids)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["part", "place", "doc_ids", "counts", "block"])
 
         for b in empty_safe(batches):
-            doc_ids = b.column("doc_id").to_pylist()
-            for i, j, ids in encoded(b.column("text"), from_text):
-                for doc_id, raw in zip(doc_ids[i:j], ids.to_pylist()):
-                    held.append((doc_id, raw + end))
-                    total += len(raw) // from_text.width + 1
-                    if total >= SHARD_IDS:
-                        yield shard()
-                        held, total, place = [], 0, place + 1
+            for given, doc_id, raw in zip(*(b.column(c).to_pylist() for c in ("given", "doc_id", "ids"))):
+                held.append((doc_id if given else None, raw + end))
+                total += len(raw) // dtype.itemsize + 1
+                if total >= SHARD_IDS:
+                    yield shard()
+                    held, total, place = [], 0, place + 1
         if held:
             yield shard()
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    coded = docs.mapInArrow(encode, "range int, given int, doc_id long, h long, row long, ids binary")
+    ordered = coded.repartitionById(max(1, len(bounds)), "range").sortWithinPartitions("given", "doc_id", "h", "row").select("given", "doc_id", "ids")
     schema = "part long, place long, doc_ids array<long>, counts array<long>, block binary"
-    ordered.mapInArrow(encode, schema).write.parquet(path)
+    ordered.mapInArrow(shards, schema).write.parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
