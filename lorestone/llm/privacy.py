@@ -115,10 +115,9 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
     pairs = materialise(pairs.distinct(), "private-pairs")
     both = pairs.groupBy("entity", "term").agg(F.sum("w").alias("n_ct"), F.first("n_c").alias("n_c"), F.count("*").alias("texts")).where(F.col("texts") >= support)
     both = materialise(both, "private-terms")
-    terms = _small(both.select("term").distinct())
     total = docs.count()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("term"))
-    df = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    df = words.groupBy("term").agg(F.count("*").alias("n_t"))
     alone = F.log(F.col("n_c") / F.lit(float(max(total, 1))))
     share = F.when(alone < 0, 1 - F.log(F.col("n_ct") / F.col("n_t")) / alone).otherwise(0.0)
     told = both.join(df, "term").where(share >= disclosure).select("entity", "term")
