@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many documents repeat; a document of such lines alone goes."""
-    out = dedup_lines(docs, min_docs=BOILERPLATE_DOCS)
+    out = dedup_lines(docs, min_docs=BOILERPLATE_DOCS, short=True)
     out = out.where((F.col("ld_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

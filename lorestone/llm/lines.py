@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Forest, components, documents, empty_safe, gather, materialise, mix64, partitions, prefix_hash, scatter, stream
 
-#: Edits between near-duplicate lines, and the least length in code points of a line that takes part.
+#: Edits between near-duplicate lines, and the least length in code points of a line that is compared by edits.
 EDITS, LEAST = 2, 32
 #: Lines in a verified group; of larger ones, each two blocks of lines meet in a group of their own.
 GROUP = 512
@@ -187,24 +187,29 @@ def verified(table: pa.Table, edits: int) -> pa.Table:
     return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
 
-def _positions(docs: DataFrame, least: int) -> DataFrame:
+def _takes_part(line: Column, least: int, short: bool) -> Column:
+    return (F.length(line) >= least) | line.rlike(r"[^\x20\x09-\x0D]") if short else F.length(line) >= least
+
+
+def _positions(docs: DataFrame, least: int, short: bool) -> DataFrame:
     """(doc_id, line_no, line) of the lines that take part; line_no counts from 0."""
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.where(F.length("line") >= least)
+    return lines.where(_takes_part(F.col("line"), least, short))
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
     """(doc_id, line_no, hash, class_hash, n_docs, first_doc, first_line) of each line whose class has two places or more:
     its class's name, number of documents, and first place by doc_id and line_no.
 
     Equal lines are one by MD5, of which 60 bits name a line; lines within `edits` of each other are linked, and classes
     are what links connect. Texts are read for the index and for candidates only; all else works on places."""
-    with_text = _positions(docs, least).withColumn("hash", F.conv(F.substring(F.md5("line"), 1, 15), 16, 10).cast("long"))
-    places = materialise(with_text.select("doc_id", "line_no", "hash"), "line-places")
+    hashed = lambda df: df.withColumn("hash", F.conv(F.substring(F.md5("line"), 1, 15), 16, 10).cast("long"))
+    places = materialise(hashed(_positions(docs, least, short)).select("doc_id", "line_no", "hash"), "line-places")
+    with_text = hashed(_positions(docs, least, False))
     groups = materialise(candidate_groups(with_text.select(F.col("hash").alias("id"), "line"), edits), "line-groups")
     ids = _small(groups.select(F.col("id").alias("hash")).distinct())
     text = with_text.select("hash", "line").join(ids, "hash", "left_semi").groupBy(F.col("hash").alias("id")).agg(F.first("line").alias("line"))
@@ -220,18 +225,19 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Dat
     return places.join(named, "hash").select("doc_id", "line_no", "hash", "class_hash", "n_docs", "first_doc", "first_line")
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, min_docs: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, min_docs: int = 2, short: bool = False) -> DataFrame:
     """docs with `text` freed of repeated lines, and ld_lines, ld_linked and ld_removed: its lines that take part, those of
     a class with other places, and those removed.
 
     A line of `least` code points or more is repeated if its class (lines connected by at most `edits` edits) stands at
     another place; of a class, the first place stays, by doc_id and line_no, and the others go if the class is found in
-    `min_docs` documents, or more than once in this one. Lines are what \\n separates, and shorter ones stay.
+    `min_docs` documents, or more than once in this one. Lines are what \\n separates. Shorter ones stay, unless `short`:
+    then each that holds a word takes part too, with the lines equal to it as its class.
     Null and empty texts stay as they are, as do rows without doc_id; of repeated rows with one id, equal lines at equal
     places are one place, so all stay or go alike; other columns stay, but for those named ld_*, which are replaced."""
     docs = docs.drop(*[c for c in docs.columns if c.startswith("ld_")])
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = line_classes(slim, edits, least).distinct()
+    lines = line_classes(slim, edits, least, short).distinct()
     is_first = (F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
     own = Window.partitionBy("doc_id", "class_hash")
     lines = lines.withColumn("own", F.count("*").over(own))
@@ -248,12 +254,12 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, min_doc
     own_hash = lambda x: F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("ld_gone", F.struct(i.alias("i"), own_hash(x).alias("h"))))
     text = F.when(F.col("ld_removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
-    in_line = F.size(F.filter(F.split("text", "\n", -1), lambda x: F.length(x) >= least))
+    in_line = F.size(F.filter(F.split("text", "\n", -1), lambda x: _takes_part(x, least, short)))
     out = out.withColumn("ld_lines", F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), in_line))
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("ld_lines", "ld_linked", "ld_removed")]
     return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], *counts)
 
 
 def op10_line_dedup(spark, sf_dir):
-    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), short=True)
     return out.select("doc_id", F.col("ld_lines").alias("n_lines"), F.col("ld_linked").alias("n_linked"), F.col("ld_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -1,6 +1,7 @@
 """Each corpus operator against brute force, exact round trips, or planted cases, with nulls, ties and empty tables."""
 
 import collections
+import hashlib
 import itertools
 import random
 import re
@@ -392,6 +393,20 @@ def test_lines(spark, empty, monkeypatch, group):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    """Short lines with a word stay at their first place only, in op10 and the pipeline's stage; near ones and blank ones stay."""
+    r = random.Random(9)
+    data = [(i, f"All rights reserved.\n{prose(r, 12)}\n \n\nVersion {i}" + "\nAll rights reserved." * (i % 3 == 1), "en", "s", 0) for i in range(12)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if x != "All rights reserved." or (i, k) == (0, 0)) for i, t, *_ in data}
+    assert {x["doc_id"]: x["text"] for x in lines.dedup_lines(docs, short=True).collect()} == want
+    assert {x["doc_id"]: x["text"] for x in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()} == want
+    docs.write.parquet(str(tmp_path / "sf/documents.parquet"))
+    got = {x["doc_id"]: (x["n_lines"], x["n_linked"], x["n_removed"], x["text_sha256"]) for x in lines.op10_line_dedup(spark, str(tmp_path / "sf")).collect()}
+    n = {i: t.count("All rights") for i, t, *_ in data}
+    assert got == {i: (2 + n[i], n[i], n[i] - (i == 0), hashlib.sha256(t.encode()).hexdigest()) for i, t in want.items()}
+
+
 def test_pipeline(spark, rows, tmp_path):
     docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "sf/documents.parquet"))
