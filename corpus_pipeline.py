@@ -13,10 +13,6 @@ from lorestone.llm.mixing import mix
 from lorestone.llm.packing import pack
 from lorestone.llm.tokens import public_path
 
-#: A line is taken for boilerplate, and stays at its first place only, once its class stands in so many documents; what
-#: a few documents share is left to the near-duplicate stage.
-BOILERPLATE_DOCS = 10
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without a letter, or like no profile, go. Null languages are filled in."""
@@ -26,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that many documents repeat; a document of such lines alone goes."""
-    out = dedup_lines(docs, min_docs=BOILERPLATE_DOCS, short=True)
+    """Texts with each repeated line at its first place only, from two documents on; a document of such lines alone goes."""
+    out = dedup_lines(docs, short=True)
     out = out.where((F.col("ld_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

@@ -407,6 +407,16 @@ def test_short_lines(spark, tmp_path):
     assert got == {i: (2 + n[i], n[i], n[i] - (i == 0), hashlib.sha256(t.encode()).hexdigest()) for i, t in want.items()}
 
 
+def test_stage_drops_lines_of_two_documents(spark):
+    """Unlike documents share one line: it stays in the first. An exact copy of a document goes whole."""
+    r = random.Random(10)
+    shared, texts = prose(r, 15), [prose(r, 40) for _ in range(4)]
+    data = [(0, f"{shared}\n{texts[0]}"), (1, f"{texts[1]}\n{shared}"), (2, f"{texts[2]}\n{texts[3]}"), (3, f"{texts[2]}\n{texts[3]}")]
+    docs = spark.createDataFrame([(*d, "en", "s", 0) for d in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x["doc_id"]: (x["text"], x["n_chars"]) for x in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
+    assert got == {i: (t, len(t)) for i, t in ((0, data[0][1]), (1, texts[1]), (2, data[2][1]))}
+
+
 def test_pipeline(spark, rows, tmp_path):
     docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "sf/documents.parquet"))
