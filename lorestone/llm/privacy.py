@@ -93,7 +93,7 @@ def _small(df: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(text_key, terms): for each text, by MD5, the words in it that give away an entity on their line.
+    """(text_key, terms): for each text, by MD5, the words in it that give away an entity, whether it is there or not.
 
     An entity is a matched value, a term a word of four or more characters with a letter that stands on its line. With
     n(c), n(t) and n(c, t) documents among N, their pointwise mutual information over the entity's own information is
@@ -120,8 +120,9 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
     df = words.groupBy("term").agg(F.count("*").alias("n_t"))
     alone = F.log(F.col("n_c") / F.lit(float(max(total, 1))))
     share = F.when(alone < 0, 1 - F.log(F.col("n_ct") / F.col("n_t")) / alone).otherwise(0.0)
-    told = both.join(df, "term").where(share >= disclosure).select("entity", "term")
-    return pairs.join(told, ["entity", "term"]).groupBy("text_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    told = materialise(both.join(df, "term").where(share >= disclosure).select("term").distinct(), "private-told")
+    words = docs.select(F.md5("text").alias("text_key"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("term"))
+    return words.join(_small(told), "term", "left_semi").groupBy("text_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
 def find_private(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, id_col: str = "doc_id") -> DataFrame:

@@ -346,6 +346,18 @@ def test_disclosing_terms(spark):
     assert clean[10] == data[6][1]
 
 
+def test_told_terms_go_everywhere(spark):
+    """A term told by some documents is a span in others too, where its entity is absent."""
+    data = [(i, f"write to boss@corp.example about projectzeta and common things{i}") for i in range(6)]
+    data += [(10 + i, f"common talk about things and projectzeta number{i} to write") for i in range(3)]
+    data += [(20 + i, f"common talk about things and lines number{i} to write") for i in range(600)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    found = {r["doc_id"]: [s["value"] for s in r["pii"]] for r in privacy.find_private(df).collect()}
+    assert all(found[i] == ["boss@corp.example", "projectzeta"] for i in range(6))
+    assert all(found[10 + i] == ["projectzeta"] for i in range(3))
+    assert not any(found[20 + i] for i in range(600))
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
