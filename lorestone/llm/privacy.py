@@ -92,36 +92,39 @@ def _small(df: DataFrame, n: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+
+
 def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(text_key, terms): for each text, by MD5, the words in it that give away an entity, whether it is there or not.
 
-    An entity is a matched value, a term a word of four or more characters with a letter that stands on its line. With
-    n(c), n(t) and n(c, t) documents among N, their pointwise mutual information over the entity's own information is
+    An entity is a matched value, a term a word with a letter that stands in a document with the entity and holds no match
+    itself. With n(c), n(t) and n(c, t) documents among N, their pointwise mutual information over the entity's own information is
     1 - log(n(c, t) / n(t)) / log(n(c) / N): 1 if the term only occurs with the entity. Counts cover all documents; a
     pair must occur in `support` different texts, so that the words of one text and its copies aren't held for evidence."""
     text = F.col("text")
     hits = docs.where(holds_digits_or_at(text)).select("text", base_spans(text).alias("s")).where(F.size("s") > 0)
-    hits = hits.groupBy(F.md5("text").alias("text_key"), "text").agg(F.count("*").alias("w"))
-    lines = hits.select("text_key", "w", F.explode(F.split("text", "\n")).alias("line")).where(holds_digits_or_at(F.col("line")))
-    lines = lines.withColumn("s", base_spans(F.col("line"))).where(F.size("s") > 0)
-    lines = lines.select("text_key", "w", "line", F.explode("s").alias("s")).select("text_key", "w", "line", F.col("s.value").alias("entity"))
-    lines = materialise(lines, "private-lines")
-    known = lines.select("entity", "text_key", "w").distinct().groupBy("entity").agg(F.sum("w").alias("n_c"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
-    pairs = lines.join(known, "entity")
-    word = F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(WORD), F.lit(0)))).alias("term")
-    pairs = pairs.select("text_key", "w", "entity", "n_c", word)
+    hits = hits.groupBy(F.md5("text").alias("text_key"), "text").agg(F.count("*").alias("w"), F.first("s").alias("s"))
+    named = materialise(hits.select("text_key", "w", "text", F.array_distinct(F.transform("s", lambda x: x["value"])).alias("entities")), "private-hits")
+    each = named.select("text_key", "w", F.explode("entities").alias("entity"))
+    known = each.groupBy("entity").agg(F.sum("w").alias("n_c"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
+    asked = each.join(known, "entity").groupBy("text_key").agg(F.collect_list(F.struct("entity", "n_c")).alias("known"))
+    asked = materialise(named.join(asked, "text_key").select("w", "known", _words(text).alias("terms")), "private-asked")
+    # A term of fewer texts than `support` meets no entity in so many; those that are left are judged once each.
     t = F.col("term")
-    pairs = pairs.where((F.length(t) >= 4) & t.rlike(r"\p{L}") & ~t.contains("\\") & ~t.contains(F.col("entity")) & ~F.col("entity").contains(t) & ~holds_digits_or_at(t))
-    pairs = materialise(pairs.distinct(), "private-pairs")
+    terms = asked.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= support)
+    terms = materialise(terms.where(t.rlike(r"\p{L}") & (F.size(base_spans(t)) == 0)).select("term"), "private-candidates")
+    pairs = asked.select("w", "known", F.explode("terms").alias("term")).join(_small(terms), "term", "left_semi")
+    pairs = pairs.select("w", "term", F.explode("known").alias("k")).select("w", "term", "k.entity", "k.n_c")
     both = pairs.groupBy("entity", "term").agg(F.sum("w").alias("n_ct"), F.first("n_c").alias("n_c"), F.count("*").alias("texts")).where(F.col("texts") >= support)
     both = materialise(both, "private-terms")
     total = docs.count()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("term"))
-    df = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    df = docs.select(F.explode(_words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     alone = F.log(F.col("n_c") / F.lit(float(max(total, 1))))
     share = F.when(alone < 0, 1 - F.log(F.col("n_ct") / F.col("n_t")) / alone).otherwise(0.0)
     told = materialise(both.join(df, "term").where(share >= disclosure).select("term").distinct(), "private-told")
-    words = docs.select(F.md5("text").alias("text_key"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("term"))
+    words = docs.select(F.md5("text").alias("text_key"), F.explode(_words(text)).alias("term"))
     return words.join(_small(told), "term", "left_semi").groupBy("text_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
@@ -133,7 +136,7 @@ def find_private(docs: DataFrame, disclosure: float = DISCLOSURE, support: int =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     terms = materialise(disclosing_terms(docs, disclosure, support), "private-texts").withColumnRenamed("text_key", "pii_key")
     edge = r"[^\x20\x09-\x0D]"
-    either = F.array_join(F.transform(F.sort_array("terms", asc=False), lambda t: F.concat(F.lit("\\Q"), t, F.lit("\\E"))), "|")
+    either = F.array_join(F.transform(F.sort_array("terms", asc=False), lambda t: F.regexp_replace(t, r"([\\\[\](){}.*+?^$|])", r"\\$1")), "|")
     pattern = F.concat(F.lit(f"(?<!{edge})(?:"), either, F.lit(f")(?!{edge})"))
     out = docs.join(_small(terms), F.md5("text") == F.col("pii_key"), "left")
     term_spans = F.when(F.col("terms").isNotNull(), spans(F.col("text"), pattern, "term")).otherwise(F.array().cast(_SPAN)).cast(_SPAN)

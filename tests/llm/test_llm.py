@@ -358,6 +358,16 @@ def test_told_terms_go_everywhere(spark):
     assert not any(found[20 + i] for i in range(600))
 
 
+def test_terms_of_any_shape_and_line(spark):
+    """Names, ids and words with a backslash are told from other lines of the document than the entity's."""
+    told = ["Ana", "EMP-48213", r"CORP\ana", r"a\Eb", "李明", "@ana", "(x|y)+?", "ana"]
+    data = [(i, f"things{i} from " + " ".join(told) + "\nsome lines to talk about\nana@corp.example") for i in range(6)]
+    data += [(20 + i, f"some lines from number{i} to talk about 12 34") for i in range(600)]
+    found = {r["doc_id"]: [(s["kind"], s["value"]) for s in r["pii"]] for r in privacy.find_private(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(found[i] == [("email", "ana@corp.example")] + [("term", t) for t in told] for i in range(6))
+    assert not any(found[20 + i] for i in range(600))
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
