@@ -84,8 +84,9 @@ def base_spans(text: Column) -> Column:
     return F.concat(*each)
 
 
-def holds_digits_or_at(text: Column) -> Column:
-    return text.rlike(r"[@]|[0-9][\x20.()-]?[0-9]")
+def may_match(text: Column) -> Column:
+    """Whether a text holds what some kind needs."""
+    return text.rlike("|".join(_NEEDS.values()))
 
 
 def _small(df: DataFrame, n: int | None = None) -> DataFrame:
@@ -104,7 +105,7 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
     1 - log(n(c, t) / n(t)) / log(n(c) / N): 1 if the term only occurs with the entity. Counts cover all documents; a
     pair must occur in `support` different texts, so that the words of one text and its copies aren't held for evidence."""
     text = F.col("text")
-    hits = docs.where(holds_digits_or_at(text)).select("text", base_spans(text).alias("s")).where(F.size("s") > 0)
+    hits = docs.where(may_match(text)).select("text", base_spans(text).alias("s")).where(F.size("s") > 0)
     hits = hits.groupBy(F.md5("text").alias("text_key"), "text").agg(F.count("*").alias("w"), F.first("s").alias("s"))
     named = materialise(hits.select("text_key", "w", "text", F.array_distinct(F.transform("s", lambda x: x["value"])).alias("entities")), "private-hits")
     each = named.select("text_key", "w", F.explode("entities").alias("entity"))
@@ -140,7 +141,7 @@ def find_private(docs: DataFrame, disclosure: float = DISCLOSURE, support: int =
     pattern = F.concat(F.lit(f"(?<!{edge})(?:"), either, F.lit(f")(?!{edge})"))
     out = docs.join(_small(terms), F.md5("text") == F.col("pii_key"), "left")
     term_spans = F.when(F.col("terms").isNotNull(), spans(F.col("text"), pattern, "term")).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
-    base = F.when(holds_digits_or_at(F.col("text")), base_spans(F.col("text"))).otherwise(F.array().cast(_SPAN))
+    base = F.when(may_match(F.col("text")), base_spans(F.col("text"))).otherwise(F.array().cast(_SPAN))
     return out.select("doc_id", "text", F.concat(base, term_spans).alias("pii"))
 
 

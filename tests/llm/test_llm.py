@@ -346,6 +346,14 @@ def test_disclosing_terms(spark):
     assert clean[10] == data[6][1]
 
 
+def test_phones_with_many_separators(spark, tmp_path):
+    """Digits that are all two separators apart are a phone number still."""
+    docs = spark.createDataFrame([(1, "call +4--4--2--0--7--9--4--6 now", "s")], "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "sf/documents.parquet"))
+    row = privacy.op9_disclosure(spark, str(tmp_path / "sf")).first()
+    assert (row["n_phone"], row["spans"]) == (1, "phone:5:28")
+
+
 def test_told_terms_go_everywhere(spark):
     """A term told by some documents is a span in others too, where its entity is absent."""
     data = [(i, f"write to boss@corp.example about projectzeta and common things{i}") for i in range(6)]
