@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorestone.llm.common import documents, materialise
-from lorestone.llm.language import LEAST_SCORE, UNKNOWN, predict, train
+from lorestone.llm.language import UNKNOWN, least_score, predict, size_class, train
 from lorestone.llm.lines import dedup_lines
 from lorestone.llm.minhash import near_duplicates
 from lorestone.llm.mixing import mix
@@ -16,8 +16,8 @@ from lorestone.llm.tokens import public_path
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without a letter, or like no profile, go. Null languages are filled in."""
-    out = predict(docs, train(docs))
-    keep = (F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)
+    out = materialise(predict(docs, train(docs)).withColumn("lang_size", size_class()), "languages")
+    keep = (F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least_score(out))
     return out.where(keep).select(*[F.coalesce("lang", "lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 

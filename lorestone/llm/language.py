@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, empty_safe
@@ -18,7 +18,9 @@ SLOT, SLOTS = 592, 430
 UNKNOWN = "und"
 #: A profile's n-grams are collected for so many languages at most; more labels than this are no languages.
 MOST_LANGUAGES = 2000
-#: At least so much of the greatest nearness is asked for before the pipeline keeps a document.
+#: The pipeline keeps a document from so much of a low quantile of the labelled rows' scores on, by number of letters;
+#: sizes with too few labelled rows go by all of them, and where those are too few too, LEAST_SCORE is all that is asked.
+LOW, SLACK, ENOUGH = 0.01, 0.85, 200
 LEAST_SCORE = 0.1
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -138,6 +140,23 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], ranks: int = RANKS)
     return docs.mapInArrow(label, schema)
 
 
+def size_class() -> Column:
+    """The power of two that a text's number of letters reaches."""
+    return F.floor(F.log2(F.greatest(F.length(F.regexp_replace("text", r"\P{L}+", "")), F.lit(1))))
+
+
+def least_score(scored: DataFrame) -> Column:
+    """The score asked of a row of `scored` (lang, lang_pred, lang_score, and lang_size by size_class), told from its rows with a label."""
+    known = scored.where(F.col("lang").isNotNull() & (F.col("lang_pred") != UNKNOWN))
+    stats = [F.count("*").alias("n"), F.percentile_approx("lang_score", LOW, 10_000).alias("low")]
+    asked = lambda r: max(LEAST_SCORE, SLACK * r["low"]) if r["n"] >= ENOUGH else None
+    every = asked(known.agg(*stats).first()) or LEAST_SCORE
+    out = F.lit(every)
+    for r in known.groupBy("lang_size").agg(*stats).collect():
+        out = F.when(F.col("lang_size") == r["lang_size"], asked(r) or every).otherwise(out)
+    return out
+
+
 def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
 

@@ -1,5 +1,6 @@
 """Each corpus operator against brute force, exact round trips, or planted cases, with nulls, ties and empty tables."""
 
+import base64
 import collections
 import hashlib
 import itertools
@@ -306,6 +307,29 @@ def test_language(spark, empty):
     assert language.predict(spark.createDataFrame(data, "doc_id long, text string, lang string"), {}).first()["lang_pred"] == "und"
 
 
+SPOKEN = {
+    "en": "the of and to in that is was for it with as his on be at by had not are but from or have they which one you were all her she there would their we him been has when who will no more if out so said what up its about than into them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must well back through years where much your way down should because long each just state those people too little good world",
+    "es": "el la de que y a en un ser se no haber por con su para como estar tener le lo todo pero hacer o poder decir este ir otro ese si me ya ver porque dar cuando muy sin vez mucho saber sobre mi alguno mismo yo tambien hasta donde entre siempre ahora quien durante mundo tiempo casa dia hombre parte vida ciudad mujer lugar persona hora trabajo punto mano manera gobierno guerra noche agua cosa nombre pueblo cabeza cuerpo palabra momento historia ejemplo",
+}
+UNLEARNED = [
+    "W Szczebrzeszynie chrząszcz brzmi w trzcinie i Szczebrzeszyn z tego słynie, a wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są oni obdarzeni rozumem i sumieniem.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+]
+
+
+def test_stage_language_rejects_what_it_has_not_learned(spark):
+    """Latin-script languages without a profile, random letters, base64 and hex go; what was learned stays, labelled or not."""
+    r = random.Random(11)
+    say = lambda k: " ".join(r.choice(SPOKEN[k].split()) for _ in range(r.randint(40, 160)))
+    data = [(i, say(k), k if i < 500 else None) for i, k in enumerate(["en", "es"] * 270)]
+    noise = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(600)), base64.b64encode(r.randbytes(450)).decode(), r.randbytes(300).hex()]
+    data += [(1000 + i, t, None) for i, t in enumerate(UNLEARNED + noise)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    got = {x["doc_id"]: x["lang"] for x in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert not [i for i in got if i >= 1000]
+    assert got == {i: ["en", "es"][i % 2] for i in range(540)}
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
