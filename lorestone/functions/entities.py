@@ -67,16 +67,21 @@ def strip_port(token: Column) -> Column:
     return F.when(token.rlike(r"^[^:]+:[0-9]+\z") & normalize_native(host).isNotNull(), host).otherwise(token)
 
 
+#: What any recognised shape holds: an inner dot, two colons, or the beginnings of the other two.
+MAY_BE = r"\.[A-Za-z0-9]|:.*:|^[Tt][0-9]{4}|^[0-9a-fA-F]{32}"
+
+
 def raw_tokens(content: Column) -> Column:
-    """Tokens in order of first appearance, ports stripped, each once."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(content, F.lit(TOKEN), F.lit(0)), strip_port))
+    """Tokens that may be entities, in order of first appearance, ports stripped, each once."""
+    tokens = F.filter(F.regexp_extract_all(content, F.lit(TOKEN), F.lit(0)), lambda t: t.rlike(MAY_BE))
+    return F.array_distinct(F.transform(F.array_distinct(tokens), strip_port))
 
 
 def entity_candidates(df: DataFrame, key: str, content: str = "content", most: int = MOST, ipv6: bool = True) -> DataFrame:
     """(key, pos, raw, type, entity_key): the first `most` entities of each content, pos counting from 1.
 
-    Tokens explode, and only those that normalise go on to be numbered within their row's key."""
-    tokens = df.select(key, F.posexplode(raw_tokens(F.col(content))).alias("at", "raw"))
+    Few tokens may be entities at all; only those leave their row, and those that are go on to be numbered."""
+    tokens = df.select(key, raw_tokens(F.col(content)).alias("raws")).where(F.size("raws") > 0).select(key, F.posexplode("raws").alias("at", "raw"))
     named = tokens.withColumn("n", normalize(F.col("raw"), ipv6)).where("n is not null")
     pos = F.row_number().over(Window.partitionBy(key).orderBy("at"))
     return named.select(key, pos.alias("pos"), "raw", F.col("n.type").alias("type"), F.col("n.key").alias("entity_key")).where(F.col("pos") <= most)

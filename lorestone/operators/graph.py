@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidInput
-from .versioned import ENTITY_KEY, keyset_page, latest, open_at
+from ..functions.entities import normalize
+from ..functions.text import trim
+from ..scratch import forget, materialise, small
+from ..sources.schemas import FOREVER, NIL
+from .versioned import ENTITY_KEY, keyset_page, latest, merge_snapshot, open_at
 
-HOPS, PATHS, PAGE = 3, 100, 500
+HOPS, PATHS, PAGE, ROUNDS = 3, 100, 500, 10
+#: Fixed value: the shape of a relation's name.
+RELATION = r"[a-z][a-z0-9_]{0,40}"
 
 
 def graph_state(edges: DataFrame, as_of: Column) -> DataFrame:
@@ -29,32 +38,81 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return out.unionByName(edges.select(F.col("dst_id").alias("node"), F.col("src_id").alias("other"), "relation", F.lit(1).alias("dir")))
 
 
+def facet_ok(as_of: Column, relation: str | None = None) -> Column:
+    """Whether an edge of a foreign graph, whose facets (relation, valid_from, valid_to) are texts, may be walked: it has a
+    relation, that which is asked for, and is valid now. A bound that is missing or empty is open; one that is no
+    timestamp closes the edge."""
+    rel = F.coalesce(F.col("relation"), F.lit(""))
+    bound = lambda c, default: F.when(F.coalesce(F.col(c), F.lit("")) == "", default).otherwise(F.try_to_timestamp(c))
+    start, end = bound("valid_from", F.lit("0001-01-01").cast("timestamp")), bound("valid_to", F.lit(FOREVER).cast("timestamp"))
+    named = (rel != "") if not relation else (rel == relation)
+    return F.coalesce(named & (start <= as_of) & (end > as_of), F.lit(False))
+
+
+def check_walk(relation: str | None, hops: int) -> None:
+    if not 1 <= hops <= HOPS:
+        raise InvalidInput(f"hops are from 1 to {HOPS}")
+    if relation and not re.fullmatch(RELATION, relation):
+        raise InvalidInput("the relation's name has another shape")
+
+
 def walk(graph: DataFrame, start: DataFrame, hops: int, relation: str | None = None, most: int = PATHS) -> DataFrame:
     """(query_id, node, depth, path) of the nodes within `hops` of each start (query_id, node), nearest first.
 
     Breadth first: each node is reached once, by the least parent path, out before in; edges may be asked to have one
-    relation at every hop. At most three joins, of which the frontier is the small side."""
-    if not 1 <= hops <= HOPS:
-        raise InvalidInput(f"hops are from 1 to {HOPS}")
-    links = both_ways(graph if relation is None else graph.where(F.col("relation") == relation))
-    frontier = start.select("query_id", "node", F.lit(0).alias("depth"), F.array("node").alias("path"))
-    seen = frontier.select("query_id", "node")
-    found = None
+    relation at every hop. A walk that has `most` nodes goes no further. The links are written once and each frontier
+    once, so no hop plans those before it again; a small frontier is sent to the links, so these aren't shuffled."""
+    check_walk(relation, hops)
+    links = materialise(both_ways(graph if not relation else graph.where(F.col("relation") == relation)), "walk-links")
+    frontier = found = None
+    seen = start.select("query_id", "node")
     for depth in range(1, hops + 1):
-        step = frontier.join(links, "node").select("query_id", F.col("other").alias("node"), "path", "dir").join(seen, ["query_id", "node"], "left_anti")
+        if frontier is None:
+            frontier = materialise(start.select("query_id", "node", F.array("node").alias("path")).distinct(), "walk-frontier")
+        step = small(frontier).join(links, "node").select("query_id", F.col("other").alias("node"), "path", "dir").join(seen, ["query_id", "node"], "left_anti")
         best = step.groupBy("query_id", "node").agg(F.min(F.struct("path", "dir")).alias("best"))
-        frontier = best.select("query_id", "node", F.lit(depth).alias("depth"), F.concat("best.path", F.array("node")).alias("path"))
-        found = frontier if found is None else found.unionByName(frontier)
-        seen = seen.unionByName(frontier.select("query_id", "node"))
+        reached = best.select("query_id", "node", F.lit(depth).alias("depth"), F.concat("best.path", F.array("node")).alias("path"))
+        if depth < hops:
+            reached = materialise(reached, "walk-reached")
+            seen = seen.unionByName(reached.select("query_id", "node"))
+            full = (found.unionByName(reached) if found else reached).groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= most)
+            frontier = reached.join(full, "query_id", "left_anti").select("query_id", "node", "path")
+        found = found.unionByName(reached) if found else reached
     order = Window.partitionBy("query_id").orderBy("depth", "node")
     return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
 
 
+def starts(requests: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query_id, node, origin_scope): where each request (query_id, caller, key, type) begins: the entity of its key and
+    type in the caller's scope, or else in the least scope that has one. A key that is no entity begins nowhere."""
+    asked = requests.withColumn("n", normalize(F.col("key"))).where((trim("caller") != "") & (F.col("n.type") == F.coalesce("type", F.col("n.type"))))
+    asked = asked.select("query_id", "caller", F.col("n.type").alias("entity_type"), F.col("n.key").alias("key"))
+    known = latest(entities, ENTITY_KEY, "updated_at", "entity_id").select("entity_type", "key", "entity_id", "scope")
+    pick = Window.partitionBy("query_id").orderBy((F.col("scope") == F.col("caller")).desc(), "scope", "entity_id")
+    first = asked.join(known, ["entity_type", "key"]).withColumn("_first", F.row_number().over(pick)).where("_first = 1")
+    return first.select("query_id", F.col("entity_id").alias("node"), F.col("scope").alias("origin_scope"))
+
+
+def traverse(requests: DataFrame, entities: DataFrame, graph: DataFrame, nodes: DataFrame | None = None, relation: str | None = None, hops: int = 1) -> DataFrame:
+    """(query_id, node, depth, path, keys, scopes) for requests (query_id, caller, key, type): from the key to its entity,
+    along the graph, and to the entities on the paths; ordered by the last one. A start that isn't among the graph's
+    `nodes` (ch_id), where they are given, wasn't projected yet and has no paths; a path with an unknown entity goes."""
+    check_walk(relation, hops)
+    begin = starts(requests, entities)
+    if nodes is not None:
+        begin = begin.join(nodes.select(F.col("ch_id").alias("node")).distinct(), "node", "left_semi")
+    paths = walk(graph, begin.select("query_id", "node"), hops, relation)
+    known = latest(entities, ENTITY_KEY, "updated_at", "entity_id").select("entity_id", "key", "scope")
+    return hydrate_paths(paths, known).orderBy("query_id", "node")
+
+
 def hydrate_paths(paths: DataFrame, entities: DataFrame) -> DataFrame:
-    """paths with the key of each node; a path with a node that isn't known goes."""
-    steps = paths.select("query_id", "node", F.posexplode("path").alias("i", "id")).join(entities.select(F.col("entity_id").alias("id"), "key"), "id")
-    keys = steps.groupBy("query_id", "node").agg(F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "key"))), lambda x: x["key"]).alias("keys"))
-    return paths.join(keys, ["query_id", "node"]).where(F.col("n") == F.size("path")).drop("n")
+    """paths with the key of each node, and its scope if entities have one; a path with a node that isn't known goes."""
+    told = [c for c in ("key", "scope") if c in entities.columns]
+    steps = paths.select("query_id", "node", F.posexplode("path").alias("i", "id")).join(entities.select(F.col("entity_id").alias("id"), *told), "id")
+    listed = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("i", c))), lambda x: x[c]).alias(f"{c}s")
+    names = steps.groupBy("query_id", "node").agg(F.count("*").alias("n"), *[listed(c) for c in told])
+    return paths.join(names, ["query_id", "node"]).where(F.col("n") == F.size("path")).drop("n")
 
 
 def neighbors_fallback(edges: DataFrame, ids: list[str], as_of: Column, relation: str | None = None, most: int = PATHS) -> DataFrame:
@@ -84,3 +142,101 @@ def projectable(classified: DataFrame) -> DataFrame:
 
 def edge_page(edges: DataFrame, after_ts: Column, after_id: Column, size: int = PAGE) -> DataFrame:
     return keyset_page(edges, "updated_at", "edge_id", after_ts, after_id, size)
+
+
+@dataclass
+class Projection:
+    """A graph in the making: nodes, the edge events applied so far by (src_id, dst_id), and the cursors of both scans."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    entity_cursor: tuple
+    edge_cursor: tuple
+
+
+def cursor_start() -> tuple:
+    """Before every row."""
+    return ("1970-01-01 00:00:00", NIL)
+
+
+def advance(cursor: tuple, ts, last_id: str) -> tuple:
+    """The cursor moves forward only: a row at or before it leaves it as it is."""
+    new = (str(ts), last_id)
+    return new if new > cursor else cursor
+
+
+def _after(cursor: tuple) -> tuple[Column, Column]:
+    return F.lit(cursor[0]).cast("timestamp"), F.lit(cursor[1])
+
+
+def _last(page: DataFrame, tie: str):
+    return page.agg(F.max(F.struct(F.col("updated_at").cast("string").alias("ts"), F.col(tie).alias("id"))).alias("m")).first()["m"]
+
+
+def project_entities(state: Projection, entities: DataFrame, size: int = PAGE) -> tuple[Projection, int]:
+    """(state after the next page of entities, rows of the page). Nodes are replaced by id, so a page that is applied
+    again changes nothing; an empty page changes nothing either."""
+    now = latest(entities, ENTITY_KEY, "updated_at", "entity_id")
+    page = materialise(keyset_page(now, "updated_at", "entity_id", *_after(state.entity_cursor), size), "project-entities")
+    n = page.count()
+    if not n:
+        forget(page)
+        return state, 0
+    last = _last(page, "entity_id")
+    nodes = materialise(merge_snapshot(state.nodes, vertices(page), ["ch_id"]), "project-nodes")
+    return Projection(nodes, state.edges, advance(state.entity_cursor, last["ts"], last["id"]), state.edge_cursor), n
+
+
+def project_edges(state: Projection, edges: DataFrame, entities: DataFrame, as_of: Column, size: int = PAGE) -> tuple[Projection, DataFrame, dict[str, int]]:
+    """(state after the next page of edges, the edges without its orphans, counts by outcome).
+
+    The page is applied up to its first deferrable row, and the cursor stops before that: where it comes first, nothing
+    moves. Orphans before it leave the store. The last event of a pair of nodes wins, and a closed one removes the pair."""
+    page = materialise(edge_page(edges, *_after(state.edge_cursor), size), "project-edges")
+    known = entities.select("entity_id").distinct()
+    classed = materialise(classify_edges(page, state.nodes, known), "project-classes")
+    done = projectable(classed)
+    counts = {r["outcome"]: r["n"] for r in done.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
+    deferred = classed.where("outcome = 'deferrable'").limit(1).count()
+    stats = {"processed": counts.get("resolved", 0), "orphans": counts.get("orphan", 0), "deferred": deferred}
+    if not sum(counts.values()):
+        return state, edges, stats
+    last = _last(done, "edge_id")
+    events = done.where("outcome = 'resolved'").select(*state.edges.columns)
+    newest = latest(events, ["src_id", "dst_id"], "updated_at", "edge_id")
+    merged = merge_snapshot(state.edges, newest, ["src_id", "dst_id"]).where(open_at(as_of))
+    left = edges
+    if stats["orphans"]:
+        left = edges.join(small(done.where("outcome = 'orphan'").select("edge_id")), "edge_id", "left_anti")
+    return Projection(state.nodes, materialise(merged, "project-graph"), state.entity_cursor, advance(state.edge_cursor, last["ts"], last["id"])), left, stats
+
+
+def rebuild(entities: DataFrame, edges: DataFrame, as_of: Column) -> Projection:
+    """The graph from the store in one batch, without pages: nodes of all entities, and the last open event of each pair
+    of them. Pages applied one after the other come to the same."""
+    nodes = vertices(entities)
+    ends = nodes.select("ch_id")
+    whole = edges.join(ends.withColumnRenamed("ch_id", "src_id"), "src_id", "left_semi").join(ends.withColumnRenamed("ch_id", "dst_id"), "dst_id", "left_semi")
+    last = latest(whole, ["src_id", "dst_id"], "updated_at", "edge_id").where(open_at(as_of))
+    return Projection(nodes, last.select(*edges.columns), cursor_start(), cursor_start())
+
+
+def drain(state: Projection, entities: DataFrame, edges: DataFrame, as_of: Column, size: int = PAGE, rounds: int = ROUNDS) -> tuple[Projection, DataFrame, dict[str, int]]:
+    """Page after page until nothing moves: all entities, then all edges, and again while edges wait for their ends.
+
+    An edge may wait only for entities that are still to come, so a few rounds do; more are an error."""
+    total = {"entities": 0, "processed": 0, "orphans": 0, "deferred": 0}
+    for _ in range(rounds):
+        while (step := project_entities(state, entities, size))[1]:
+            state, total["entities"] = step[0], total["entities"] + step[1]
+        moved = True
+        while moved:
+            before = state.edge_cursor
+            state, edges, stats = project_edges(state, edges, entities, as_of, size)
+            total["processed"] += stats["processed"]
+            total["orphans"] += stats["orphans"]
+            total["deferred"] = stats["deferred"]
+            moved = state.edge_cursor != before
+        if not total["deferred"]:
+            return state, edges, total
+    raise RuntimeError(f"edges still wait after {rounds} rounds")

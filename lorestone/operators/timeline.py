@@ -39,7 +39,9 @@ def timeline_entity(observations, facts, entities, scope: str, entity_id: str, l
         raise InvalidInput("a scope is needed")
     anchor = entities.where(F.col("entity_id") == entity_id).select("entity_type", "key").distinct()
     ids = F.broadcast(first_ids(entities.join(anchor, ["entity_type", "key"], "left_semi").select(F.col("entity_id").alias("id"))))
-    seen = observations.where(visible(scope, "confidentiality", "internal")).join(ids, F.expr("array_contains(entity_refs, id)"), "left_semi")
+    # At most CAP ids: one array of them, which each row's references are held against, in place of a join on membership.
+    listed = F.broadcast(ids.agg(F.collect_list("id").alias("_ids")))
+    seen = observations.where(visible(scope, "confidentiality", "internal")).crossJoin(listed).where(F.arrays_overlap("entity_refs", "_ids")).drop("_ids")
     known = latest(facts, FACT_KEY, "updated_at", "fact_id").where(visible(scope, "visibility", "org")).join(ids, F.col("subject_id") == F.col("id"), "left_semi")
     return page(observation_events(seen).unionByName(fact_events(known)), limit, offset)
 

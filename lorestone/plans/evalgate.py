@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import StoreError
+from ..functions.embedding import Embedder
+from ..functions.entities import normalize
+from ..operators.similar import similar
+from ..operators.versioned import ENTITY_KEY, latest
+from ..sources.configs import EvalFile
+
 
 def recall(hits: DataFrame, expected: DataFrame) -> DataFrame:
     """(passed, total, score) from hits (query_id, entity_ids) and expectations (query_id, entity_id; null for a key that
@@ -16,3 +26,58 @@ def recall(hits: DataFrame, expected: DataFrame) -> DataFrame:
 
 def regressed(score: float, last: float | None) -> bool:
     return last is not None and score + 1e-9 < last
+
+
+@dataclass
+class Score:
+    passed: int
+    total: int
+    errored: int
+
+    @property
+    def value(self) -> float:
+        return self.passed / self.total if self.total else 0.0
+
+
+def run_evals(files: list[EvalFile], observations: DataFrame, entities: DataFrame, embed: Embedder | None = None) -> tuple[Score, DataFrame]:
+    """(score, rows): each question asked of `similar`, and whether the entities that it must reference, by key in the
+    file's scope, are among those of its hits. A question that asks for none passes if it can be asked; one that can't,
+    is counted apart and takes no part in the score. Rows are (query_id, scope, q, passed)."""
+    spark = observations.sparkSession
+    asked, wanted, hits, errored = [], [], None, 0
+    for f in files:
+        for q in f.queries:
+            name = f"{len(asked) + errored:06d}"
+            try:
+                found = similar(observations, f.scope, q.q, embed("query", [q.q])[0] if embed else None, q.k)
+            except StoreError:
+                errored += 1
+                continue
+            asked.append((name, f.scope, q.q))
+            wanted += [(name, f.scope, k) for k in q.must_reference_entities]
+            found = found.select(F.lit(name).alias("query_id"), F.col("entity_ids"))
+            hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        return Score(0, 0, errored), spark.createDataFrame([], "query_id string, scope string, q string, passed boolean")
+    n = normalize(F.col("raw"))
+    keys = spark.createDataFrame(wanted, "query_id string, scope string, raw string").withColumn("n", n).select("query_id", "scope", "raw", F.col("n.type").alias("entity_type"), F.col("n.key").alias("key"))
+    known = latest(entities, ENTITY_KEY, "updated_at", "entity_id").select(*ENTITY_KEY, "entity_id")
+    got = hits.select("query_id", F.explode("entity_ids").alias("entity_id")).distinct().withColumn("hit", F.lit(True))
+    each = keys.join(known, ENTITY_KEY, "left").join(got, ["query_id", "entity_id"], "left")
+    missed = each.where("hit is null").select("query_id").distinct().withColumn("missed", F.lit(True))
+    rows = spark.createDataFrame(asked, "query_id string, scope string, q string").join(missed, "query_id", "left").withColumn("passed", F.col("missed").isNull()).drop("missed")
+    passed = rows.where("passed").count()
+    return Score(passed, len(asked), errored), rows
+
+
+def keep_score(path: str, score: float) -> bool:
+    """Whether the score holds up against the one in a file, which it then replaces; a worse one leaves the file."""
+    file = Path(path)
+    try:
+        last = float(file.read_text().strip())
+    except (OSError, ValueError):
+        last = None
+    if regressed(score, last):
+        return False
+    file.write_text(f"{score:.4f}\n")
+    return True

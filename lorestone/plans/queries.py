@@ -10,10 +10,12 @@ from ..functions import scores, text
 from ..functions.proposals import parse_proposals, sanitize_proposals
 from ..operators import enrich, facts, graph, observations, similar, timeline
 from ..operators.versioned import FACT_KEY, keep_by_ttl, keyset_page, latest, valid_at, visible
-from ..sources.jsonl import OBSERVATION_LINES, parse_lines
+from ..scratch import materialise
+from ..sources.jsonl import FACT_LINES, OBSERVATION_LINES, parse_lines, resolve_facts
+from ..sources.schemas import ENTITIES
 from ..streaming.pipelines import uncovered_batch
 from .evalgate import recall
-from .views import Views, sql
+from .views import Views, sql, stable_id_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -56,38 +58,39 @@ def alert_ttl(v: Views) -> DataFrame:
     return v.obs().where(keep_by_ttl(F.expr("timestamp_ntz'2025-01-01 05:00:00'"))).select("obs_id", "kind", "ts")
 
 
-@query(sql("SELECT DISTINCT e.entity_id, e.scope FROM entity_versions e WHERE (e.entity_type, e.key) IN (SELECT entity_type, key FROM entity_versions WHERE key IN ('7', '11'))"))
+@query(sql("SELECT DISTINCT e.entity_id, e.scope FROM entity_versions e WHERE (e.entity_type, e.key) IN (SELECT entity_type, c_custkey::VARCHAR FROM customer, (SELECT DISTINCT entity_type FROM entity_versions))"))
 def sibling_lookup(v: Views) -> DataFrame:
     e = v.entity_versions()
-    anchor = e.where(F.col("key").isin("7", "11")).select("entity_type", "key").distinct()
+    types = F.broadcast(e.select("entity_type").distinct())  # a handful of names
+    anchor = v.table("customer").select(F.col("c_custkey").cast("string").alias("key")).crossJoin(types)
     return e.join(anchor, ["entity_type", "key"], "left_semi").select("entity_id", "scope").distinct()
 
 
-def _ids(v: Views, column: str, table: str, prefix: str = "") -> DataFrame:
-    """Every tenth customer as a request of its own, asked for by one scope."""
-    c = v.table("customer").where("c_custkey % 10 = 0")
+def _ids(v: Views, prefix: str = "") -> DataFrame:
+    """Every customer as a request of its own, asked for by one scope."""
+    c = v.table("customer")
     return c.select(F.col("c_custkey").alias("query_id"), F.lit("team-1").alias("caller"), F.concat(F.lit(prefix), F.col("c_custkey").cast("string")).alias("id"))
 
 
 @query(sql(f"""SELECT c_custkey AS query_id, fact_id AS id, predicate, object_value, status, confidence, valid_from, written_by, source_obs, scope AS origin_scope,
-row_number() OVER (PARTITION BY c_custkey ORDER BY confidence DESC, fact_id) AS rank FROM latest_facts JOIN customer ON subject_id = c_custkey::VARCHAR AND c_custkey % 10 = 0
+row_number() OVER (PARTITION BY c_custkey ORDER BY confidence DESC, fact_id) AS rank FROM latest_facts JOIN customer ON subject_id = c_custkey::VARCHAR
 WHERE status = 'active' AND valid_from <= {AS_OF_SQL} AND valid_to > {AS_OF_SQL} AND (scope = 'team-1' OR visibility = 'org') QUALIFY rank <= 200"""))
 def enrich_facts(v: Views) -> DataFrame:
-    return enrich.facts_leg(_ids(v, "c_custkey", "customer"), v.facts(), as_of())
+    return enrich.facts_leg(_ids(v), v.facts(), as_of())
 
 
 @query(sql("""SELECT i AS query_id, obs_id AS id, ts, kind, substr(content, 1, 200) AS excerpt, scope AS origin_scope, row_number() OVER (PARTITION BY i ORDER BY ts DESC, obs_id) AS rank
-FROM obs JOIN (SELECT unnest(range(0, 97, 5)) AS i) q ON list_contains(entity_refs, i::VARCHAR) WHERE scope = 'src1' OR confidentiality = 'internal' QUALIFY rank <= 10"""))
+FROM obs JOIN (SELECT unnest(range(0, 97)) AS i) q ON list_contains(entity_refs, i::VARCHAR) WHERE scope = 'src1' OR confidentiality = 'internal' QUALIFY rank <= 10"""))
 def enrich_observations(v: Views) -> DataFrame:
-    ids = v.spark.range(0, 97, 5).select(F.col("id").alias("query_id"), F.lit("src1").alias("caller"), F.col("id").cast("string").alias("id"))
+    ids = v.spark.range(97).select(F.col("id").alias("query_id"), F.lit("src1").alias("caller"), F.col("id").cast("string").alias("id"))
     return enrich.observations_leg(ids, v.obs())
 
 
 @query(sql(f"""SELECT query_id, entity_id, relation, direction, row_number() OVER (PARTITION BY query_id ORDER BY entity_id, relation, direction) AS rank FROM (
-SELECT DISTINCT c_custkey AS query_id, dst_id AS entity_id, relation, 'out' AS direction FROM edges JOIN customer ON src_id = 'c' || c_custkey AND c_custkey % 10 = 0 WHERE valid_to > {AS_OF_SQL}
-UNION SELECT c_custkey, src_id, relation, 'in' FROM edges JOIN customer ON dst_id = 'c' || c_custkey AND c_custkey % 10 = 0 WHERE valid_to > {AS_OF_SQL}) QUALIFY rank <= 50"""))
+SELECT DISTINCT c_custkey AS query_id, dst_id AS entity_id, relation, 'out' AS direction FROM edges JOIN customer ON src_id = 'c' || c_custkey WHERE valid_to > {AS_OF_SQL}
+UNION SELECT c_custkey, src_id, relation, 'in' FROM edges JOIN customer ON dst_id = 'c' || c_custkey WHERE valid_to > {AS_OF_SQL}) QUALIFY rank <= 50"""))
 def enrich_neighbors(v: Views) -> DataFrame:
-    return enrich.neighbors_leg(_ids(v, "c_custkey", "customer", "c"), v.edges(), as_of())
+    return enrich.neighbors_leg(_ids(v, "c"), v.edges(), as_of())
 
 
 def _qvec(v: Views) -> list[float]:
@@ -182,10 +185,10 @@ def graph_state_rebuild(v: Views) -> DataFrame:
 
 
 def _start(v: Views) -> DataFrame:
-    return v.table("customer").where("c_custkey IN (1, 2, 3)").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    return v.table("customer").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
 
 
-_START = "(SELECT c_custkey AS query_id, 'c' || c_custkey AS node FROM customer WHERE c_custkey IN (1, 2, 3))"
+_START = "(SELECT c_custkey AS query_id, 'c' || c_custkey AS node FROM customer)"
 
 
 @query(_with([_STATE, _LINKS], f"SELECT query_id, node, depth, path FROM (SELECT DISTINCT s.query_id, l.other AS node, 1 AS depth, s.node || '>' || l.other AS path FROM {_START} s JOIN links l ON l.node = s.node WHERE l.relation = 'rel_n') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY node) <= 100"))
@@ -239,33 +242,79 @@ def supersede_batch(v: Views) -> DataFrame:
     return facts.supersede(v.facts().withColumn("closes", F.col("status") == "active")).select("fact_id", "status", "valid_from", "valid_to")
 
 
-def _requests(v: Views, remainder: int) -> DataFrame:
-    f = v.facts().where(F.col("fact_id").cast("long") % 20 == remainder)
-    return f.select("fact_id", F.when(F.col("fact_id").cast("long") % 3 == 0, "agent").otherwise("human").alias("actor_type"), F.lit("u1").alias("actor_id"), F.expr("timestamp_ntz'2000-01-01 00:00:00'").alias("at"))
+_AT = "TIMESTAMP '2027-01-01 00:00:00'"
+_FACT = ["fact_id", "scope", "subject_id", "predicate", "object_value", "object_id", "status", "written_by", "valid_from", "valid_to", "updated_at", "visibility"]
+_EDGE = ["edge_id", "scope", "src_id", "dst_id", "relation", "from_fact", "valid_from", "valid_to", "updated_at"]
 
 
-_STORE_FACT = "cast(NULL AS string) AS object_id"
+def _plain(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Times without a zone, as DuckDB has them."""
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in ("valid_from", "valid_to", "updated_at") else F.col(c) for c in columns])
 
 
-def _errors(where: str, wrong: str) -> str:
-    return sql(f"SELECT f.fact_id, CASE WHEN f.fact_id::BIGINT % 3 = 0 THEN 'HumanGated' WHEN l.fact_id IS NULL THEN 'NotFound' WHEN {wrong} THEN 'Conflict' ELSE 'ok' END AS outcome FROM facts f LEFT JOIN latest_facts l ON f.fact_id = l.fact_id WHERE f.fact_id::BIGINT % 20 = {where}")
+def _requests(v: Views) -> DataFrame:
+    """Every fact, asked for by agents, humans, and some who don't say who they are."""
+    k = F.col("fact_id").cast("long")
+    return v.stored_facts().select("fact_id", F.when(k % 3 == 1, "agent").otherwise("human").alias("actor_type"), F.when(k % 17 == 0, " ").otherwise("u1").alias("actor_id"), F.lit("2027-01-01").cast("timestamp").alias("at"), F.concat(F.lit("  no. "), (k % 5).cast("string"), F.lit(" ")).alias("reason"))
+
+
+_GATED = "f.fact_id::BIGINT % 3 = 1"
+_ANON = "f.fact_id::BIGINT % 17 = 0"
+
+
+def _errors(wrong: str) -> str:
+    return sql(f"SELECT f.fact_id, CASE WHEN {_GATED} THEN 'HumanGated' WHEN {_ANON} THEN 'InvalidInput' WHEN l.fact_id IS NULL THEN 'NotFound' WHEN {wrong} THEN 'Conflict' ELSE 'ok' END AS outcome FROM stored f LEFT JOIN latest_stored l ON f.fact_id = l.fact_id")
 
 
 def _outcomes(result, asked: DataFrame) -> DataFrame:
     return asked.join(result.rejects.select("fact_id", "error"), "fact_id", "left").select("fact_id", F.coalesce("error", F.lit("ok")).alias("outcome"))
 
 
-@query(_errors("1", "l.status <> 'proposed'"))
+def _promoted(v: Views):
+    return facts.promote_facts(_requests(v).drop("reason"), v.stored_facts())
+
+
+def _retracted(v: Views):
+    return facts.retract_facts(_requests(v), v.stored_facts(), v.stored_edges())
+
+
+_GOOD = f"SELECT * FROM latest_stored f WHERE NOT {_GATED} AND NOT {_ANON} AND "
+_SAME = "scope, subject_id, predicate, object_value, object_id"
+
+
+@query(_errors("l.status <> 'proposed'"))
 def promote(v: Views) -> DataFrame:
-    asked = _requests(v, 1)
-    return _outcomes(facts.promote_facts(asked, v.facts().selectExpr("*", _STORE_FACT)), asked)
+    return _outcomes(_promoted(v), _requests(v))
+
+
+@query(sql(f"SELECT {stable_id_sql(chr(39) + 'promoted' + chr(39), 'fact_id')} AS fact_id, {_SAME}, 'active' AS status, 'u1' AS written_by, {_AT} AS valid_from, TIMESTAMP '2105-12-31 23:59:59' AS valid_to, {_AT} AS updated_at, visibility FROM ({_GOOD} status = 'proposed') UNION ALL SELECT fact_id, {_SAME}, status, written_by, valid_from, {_AT}, updated_at, visibility FROM ({_GOOD} status = 'proposed')"))
+def promote_rows(v: Views) -> DataFrame:
+    return _plain(_promoted(v).facts, _FACT)
+
+
+@query(sql(f"SELECT {stable_id_sql(chr(39) + 'promoted' + chr(39), 'fact_id')} AS target_id, 'promote_fact' AS operation, 'from=proposed to=active confidence=' || printf('%.2f', confidence::DOUBLE) || ' prior=' || fact_id || ' edge=' || CASE WHEN object_id IS NULL THEN 'n' ELSE 'y' END || ' vis=' || visibility AS payload_summary FROM ({_GOOD} status = 'proposed')"))
+def promote_audit(v: Views) -> DataFrame:
+    return _promoted(v).audit.select("target_id", "operation", "payload_summary")
 
 
-@query(_errors("2", "l.status = 'retracted'"))
+@query(_errors("l.status = 'retracted'"))
 def retract(v: Views) -> DataFrame:
-    asked = _requests(v, 2)
-    e = v.edges().withColumn("from_fact", F.lit("none")).withColumn("valid_to", F.col("valid_to").cast("timestamp"))
-    return _outcomes(facts.retract_facts(asked, v.facts().selectExpr("*", _STORE_FACT), e), asked)
+    return _outcomes(_retracted(v), _requests(v))
+
+
+@query(sql(f"SELECT {stable_id_sql(chr(39) + 'retracted' + chr(39), 'fact_id')} AS fact_id, {_SAME}, 'retracted' AS status, 'u1' AS written_by, {_AT} AS valid_from, {_AT} AS valid_to, {_AT} AS updated_at, visibility FROM ({_GOOD} status <> 'retracted') UNION ALL SELECT fact_id, {_SAME}, status, written_by, valid_from, {_AT}, updated_at, visibility FROM ({_GOOD} status <> 'retracted')"))
+def retract_rows(v: Views) -> DataFrame:
+    return _plain(_retracted(v).facts, _FACT)
+
+
+@query(sql(f"SELECT {stable_id_sql(chr(39) + 'retracted' + chr(39), 'fact_id')} AS target_id, 'retract_fact' AS operation, 'from=' || status || ' reason=no. ' || (fact_id::BIGINT % 5) || ' prior=' || fact_id || ' edge=' || CASE WHEN object_id IS NULL THEN 'n' ELSE 'y' END || ' vis=' || visibility AS payload_summary FROM ({_GOOD} status <> 'retracted')"))
+def retract_audit(v: Views) -> DataFrame:
+    return _retracted(v).audit.select("target_id", "operation", "payload_summary")
+
+
+@query(sql(f"SELECT edge_id, scope, src_id, dst_id, relation, from_fact, valid_from, {_AT} AS valid_to, {_AT} AS updated_at FROM stored_edges WHERE valid_to > {_AT} AND from_fact IN (SELECT fact_id FROM ({_GOOD} status <> 'retracted'))"))
+def retract_edges(v: Views) -> DataFrame:
+    return _plain(_retracted(v).edges, _EDGE)
 
 
 @query(sql("SELECT fact_id, CASE WHEN fact_id::BIGINT % 2 = 0 THEN 'active' WHEN written_by IN ('w1', 'w3') AND confidence >= 0.5 THEN 'active' ELSE 'proposed' END AS trusted FROM facts"))
@@ -326,13 +375,36 @@ def excerpt(v: Views) -> DataFrame:
     return v.obs().select("obs_id", text.excerpt(F.col("content")).alias("excerpt"))
 
 
-@query(_with([_CANDIDATES], "SELECT type AS entity_type, entity_key AS key, count(*) AS n, count(DISTINCT scope) AS scopes FROM cand JOIN obs USING (obs_id) GROUP BY 1, 2"))
+_KNOWN = "known AS (SELECT DISTINCT scope, type, entity_key, 'k-' || scope || '-' || type || '-' || entity_key AS entity_id FROM cand JOIN obs USING (obs_id) WHERE obs_id::BIGINT % 2 = 0)"
+
+
+@query(_with([_CANDIDATES, _KNOWN], f"SELECT o.scope, c.type AS entity_type, c.entity_key AS key, coalesce(any_value(k.entity_id), {stable_id_sql(chr(39) + 'entity' + chr(39), 'o.scope', 'c.type', 'c.entity_key')}) AS entity_id, count(*) AS n, bool_or(k.entity_id IS NOT NULL) AS hit FROM cand c JOIN obs o USING (obs_id) LEFT JOIN known k ON k.scope = o.scope AND k.type = c.type AND k.entity_key = c.entity_key GROUP BY 1, 2, 3"))
 def resolve_batch(v: Views) -> DataFrame:
-    found = ent.entity_candidates(v.obs(), "obs_id").join(v.obs().select("obs_id", "scope"), "obs_id")
-    none = v.spark.createDataFrame([], "entity_id string, scope string, entity_type string, key string, display_name string, attrs map<string,string>, first_seen timestamp, last_seen timestamp, updated_at timestamp")
-    resolved, delta = observations.resolve_batch(found.select("scope", F.concat_ws("-", "obs_id", "pos").alias("pos"), "raw"), none, F.lit("2024-01-01").cast("timestamp"))
-    each = resolved.where("entity_id is not null").groupBy("entity_type", "key").agg(F.count("*").alias("n"))
-    return each.join(delta.groupBy("entity_type", "key").agg(F.count_distinct("scope").alias("scopes")), ["entity_type", "key"])
+    """The store knows what observations with even numbers name; others are resolved to that, or created."""
+    found = materialise(ent.entity_candidates(v.obs(), "obs_id").join(v.obs().select("obs_id", "scope"), "obs_id"), "candidates")
+    known = found.where("cast(obs_id AS long) % 2 = 0").select("scope", F.col("type").alias("entity_type"), F.col("entity_key").alias("key")).distinct()
+    then = F.lit("2023-01-01").cast("timestamp")
+    known = known.select(F.concat_ws("-", F.lit("k"), "scope", "entity_type", "key").alias("entity_id"), "scope", "entity_type", "key", F.col("key").alias("display_name"), F.create_map().cast("map<string,string>").alias("attrs"), then.alias("first_seen"), then.alias("last_seen"), then.alias("updated_at"))
+    raws = found.select("scope", F.concat_ws("-", "obs_id", "pos").alias("pos"), "raw", F.col("type").alias("entity_type"), F.col("entity_key").alias("key"))
+    resolved, delta = observations.resolve_batch(raws, known, F.lit("2024-01-01").cast("timestamp"))
+    n = resolved.where("entity_id is not null").groupBy("scope", "entity_type", "key").agg(F.count("*").alias("n"))
+    hit = F.col("first_seen") < F.col("last_seen")
+    return delta.select("scope", "entity_type", "key", "entity_id", hit.alias("hit")).join(n, ["scope", "entity_type", "key"])
+
+
+_TAKEN = "taken AS (SELECT *, CASE WHEN obs_id::BIGINT % 13 = 0 THEN 'nonsense' ELSE kind END AS k, octet_length(encode(content)) AS bytes FROM obs)"
+
+
+@query(_with([_CANDIDATES, _TAKEN], f"SELECT {stable_id_sql(chr(39) + 'obs' + chr(39), 'scope', 'actor_id', 't.obs_id', 'NULL')} AS obs_id, k AS kind, ts, coalesce(n, 0) AS refs, 'kind=' || k || ' entities=' || coalesce(n, 0) || ' chars=' || length(content) AS payload_summary FROM taken t LEFT JOIN (SELECT obs_id, count(*) AS n FROM cand GROUP BY 1) c ON t.obs_id = c.obs_id WHERE scope IS NOT NULL AND k <> 'nonsense' AND regexp_matches(content, '[^\\s]') AND bytes <= 10000"))
+def record_batch(v: Views) -> DataFrame:
+    """Every document recorded; some have a kind that isn't known, others are blank or too long."""
+    o = v.obs()
+    i = F.col("obs_id").cast("long")
+    asked = o.select("scope", F.when(i % 13 == 0, "nonsense").otherwise(F.col("kind")).alias("kind"), "actor_type", "actor_id", F.lit(None).cast("string").alias("on_behalf_of"), F.lit(None).cast("string").alias("case_id"), F.col("obs_id").alias("client_event_id"), F.lit(None).cast("string").alias("confidentiality"), F.col("ts").cast("timestamp").alias("ts"), "content")
+    none = v.spark.createDataFrame([], ENTITIES)
+    r = observations.record_observations(asked, none, F.lit("2024-01-01").cast("timestamp"))
+    told = r.audit.select(F.col("target_id").alias("obs_id"), "payload_summary")
+    return r.observations.select("obs_id", "kind", F.col("ts").cast("timestamp_ntz").alias("ts"), F.size("entity_refs").cast("long").alias("refs")).join(told, "obs_id")
 
 
 @query(_with([_CANDIDATES], "SELECT o.obs_id, 'kind=' || kind || ' entities=' || coalesce(n, 0) || ' chars=' || length(content) AS payload_summary FROM obs o LEFT JOIN (SELECT obs_id, count(*) AS n FROM cand GROUP BY 1) c ON o.obs_id = c.obs_id"))
@@ -343,10 +415,11 @@ def audit_summary(v: Views) -> DataFrame:
     return facts.audit_rows(rows, "record_observation", "observations", "obs_id", s, F.col("ts")).select(F.col("target_id").alias("obs_id"), "payload_summary")
 
 
-@query(sql("SELECT count(*) FILTER (ok) AS passed, count(*) AS total, avg(ok::INT::DOUBLE) AS score FROM (SELECT i, bool_and(list_contains(refs, e)) AS ok FROM (SELECT i, unnest([(i % 97)::VARCHAR, ((i * 3) % 89)::VARCHAR]) AS e FROM range(40) t(i)) q JOIN (SELECT obs_id, entity_refs AS refs FROM obs) o ON o.obs_id = lpad(i::VARCHAR, 9, '0') GROUP BY i)"))
+@query(sql("SELECT count(*) FILTER (ok) AS passed, count(*) AS total, avg(ok::INT::DOUBLE) AS score FROM (SELECT obs_id, list_contains(entity_refs, (obs_id::BIGINT % 97)::VARCHAR) AND list_contains(entity_refs, ((obs_id::BIGINT * 3) % 89)::VARCHAR) AS ok FROM obs)"))
 def eval_recall(v: Views) -> DataFrame:
-    i = F.col("id")
-    asked = v.spark.range(40).select(F.lpad(i.cast("string"), 9, "0").alias("query_id"), F.explode(F.array((i % 97).cast("string"), ((i * 3) % 89).cast("string"))).alias("entity_id"))
+    """A question for each observation, which must name two entities."""
+    i = F.col("obs_id").cast("long")
+    asked = v.obs().select(F.col("obs_id").alias("query_id"), F.explode(F.array((i % 97).cast("string"), ((i * 3) % 89).cast("string"))).alias("entity_id"))
     return recall(v.obs().select(F.col("obs_id").alias("query_id"), F.col("entity_refs").alias("entity_ids")), asked)
 
 
@@ -378,18 +451,105 @@ def union_events(v: Views) -> DataFrame:
     return both.orderBy(F.col("ts").desc(), "src", "kind", "obs_id").offset(20).limit(100)
 
 
-@query()
+def _asserted(v: Views):
+    """A new fact for each scope, subject and predicate, and another a year later for every second subject; a third of the
+    first ones name an object."""
+    k = F.col("subject_id").cast("long")
+    groups = v.stored_facts().select("scope", "subject_id", "predicate").distinct()
+    said = F.explode(F.when(k % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("turn")
+    new = groups.select("*", said).select("scope", "subject_id", "predicate", F.concat(F.lit("N"), F.col("turn").cast("string")).alias("object_value"), F.when((k % 3 == 0) & (F.col("turn") == 1), F.concat(F.lit("t"), (k % 13).cast("string"))).alias("object_id"), F.lit(0.9).alias("confidence"), F.lit(None).cast("string").alias("source_obs"), F.lit("human").alias("actor_type"), F.lit("u1").alias("actor_id"), F.lit(None).cast("string").alias("visibility"), F.make_timestamp_ltz(F.col("turn") + 2029, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("asserted_at"))
+    return facts.assert_facts(new, v.stored_facts(), v.stored_edges(), ids=False)
+
+
+_Y1, _Y2, _EVER = "TIMESTAMP '2030-01-01'", "TIMESTAMP '2031-01-01'", "TIMESTAMP '2105-12-31 23:59:59'"
+_NEW_ID = stable_id_sql("'fact'", "scope", "subject_id", "predicate", "object_value", "'u1'", "strftime(valid_from, '%Y-%m-%d %H:%M:%S')")
+_NEW = f"""new AS (SELECT *, {_NEW_ID} AS fact_id FROM (SELECT scope, subject_id, predicate, 'N' || turn AS object_value, CASE WHEN subject_id::BIGINT % 3 = 0 AND turn = 1 THEN 't' || (subject_id::BIGINT % 13) END AS object_id, CASE turn WHEN 1 THEN {_Y1} ELSE {_Y2} END AS valid_from,
+ CASE WHEN turn = 1 AND subject_id::BIGINT % 2 = 0 THEN {_Y2} ELSE {_EVER} END AS valid_to, turn FROM (SELECT DISTINCT scope, subject_id, predicate FROM stored) g JOIN (SELECT unnest([1, 2]) AS turn) t ON turn = 1 OR subject_id::BIGINT % 2 = 0))"""
+_ENDED = f"ended AS (SELECT * FROM latest_stored WHERE status = 'active' AND valid_to > {_Y1})"
+
+
+@query(_with([_NEW, _ENDED], f"SELECT fact_id, {_SAME}, 'active' AS status, 'u1' AS written_by, valid_from, valid_to, valid_from AS updated_at, 'org' AS visibility FROM new UNION ALL SELECT fact_id, {_SAME}, status, written_by, valid_from, {_Y1}, updated_at, visibility FROM ended"))
 def assert_batch(v: Views) -> DataFrame:
-    """New facts and the closed versions of what was open, with audit summaries beside; ids depend on contents only."""
-    store = v.facts().withColumn("predicate", F.concat(F.lit("p"), "predicate")).selectExpr("* EXCEPT (valid_to, valid_from, updated_at)", "cast(valid_from AS timestamp) valid_from", "cast(valid_to AS timestamp) valid_to", "cast(updated_at AS timestamp) updated_at", _STORE_FACT)
-    store = store.withColumn("confidence", F.col("confidence").cast("float"))
-    new = v.facts().where("cast(fact_id AS long) % 50 = 0").selectExpr("scope", "subject_id", "concat('p', predicate) AS predicate", "'N' AS object_value", "cast(NULL AS string) AS object_id", "confidence", "source_obs", "'human' AS actor_type", "'u1' AS actor_id", "visibility", "timestamp'2001-01-01 00:00:00' AS asserted_at")
-    result = facts.assert_facts(new.dropDuplicates(["scope", "subject_id", "predicate"]), store)
-    return result.facts.groupBy("status", (F.col("valid_to") < F.lit("2100-01-01").cast("timestamp")).alias("closed")).agg(F.count("*").alias("n"))
+    return _plain(_asserted(v).facts, _FACT)
+
+
+@query(_with([_NEW], f"SELECT {stable_id_sql(chr(39) + 'edge' + chr(39), 'fact_id')} AS edge_id, scope, subject_id AS src_id, object_id AS dst_id, predicate AS relation, fact_id AS from_fact, valid_from, valid_to, CASE WHEN valid_to < {_EVER} THEN valid_to ELSE valid_from END AS updated_at FROM new WHERE object_id IS NOT NULL UNION ALL SELECT edge_id, scope, src_id, dst_id, relation, from_fact, valid_from, {_Y1}, {_Y1} FROM stored_edges WHERE valid_to > {_Y1}"))
+def assert_edges(v: Views) -> DataFrame:
+    return _plain(_asserted(v).edges, _EDGE)
+
+
+@query(_with([_NEW, _ENDED], "SELECT fact_id AS target_id, 'status=active confidence=0.90 superseded=' || CASE turn WHEN 1 THEN (SELECT count(*) FROM ended e WHERE e.scope = n.scope AND e.subject_id = n.subject_id AND e.predicate = n.predicate) ELSE 1 END || ' edge=' || CASE WHEN object_id IS NULL THEN 'n' ELSE 'y' END || ' vis=org' AS payload_summary FROM new n"))
+def assert_audit(v: Views) -> DataFrame:
+    return _asserted(v).audit.select("target_id", "payload_summary")
+
+
+_HOST_OK = "c_custkey % 7 <> 0 AND c_custkey % 5 <> 1"
+
+
+@query(_with([_STATE, _LINKS], f"""SELECT query_id, node, depth, a || '>' || b AS keys FROM (SELECT query_id, node, 1 AS depth, start, row_number() OVER (PARTITION BY query_id ORDER BY node) AS n FROM (SELECT DISTINCT c_custkey AS query_id, 'c' || c_custkey AS start, other AS node FROM customer JOIN links ON links.node = 'c' || c_custkey WHERE relation = 'rel_n' AND {_HOST_OK}))
+JOIN (SELECT entity_id, key AS a FROM entities) x ON x.entity_id = start JOIN (SELECT entity_id, key AS b FROM entities) y ON y.entity_id = node WHERE n <= 100"""))
+def traverse(v: Views) -> DataFrame:
+    """From every customer's host name, asked for as it may be written; some ask for a type that it doesn't have."""
+    k = F.col("c_custkey")
+    kind = F.when(k % 5 == 1, "ioc_ip").when(k % 5 == 2, "ioc_domain")
+    asked = v.table("customer").select(k.alias("query_id"), F.lit("team-0").alias("caller"), F.concat(F.lit(" C"), k.cast("string"), F.lit(".Example.com. ")).alias("key"), kind.alias("type"))
+    paths = graph.traverse(asked, v.entities(), graph.graph_state(v.edges(), as_of()), graph.vertices(v.entities()), "rel_n", 1)
+    return paths.select("query_id", "node", "depth", F.array_join("keys", ">").alias("keys"))
+
+
+_BOTH = f"SELECT src_id, dst_id, relation, edge_id FROM (SELECT * FROM edges WHERE src_id IN (SELECT entity_id FROM entities) AND dst_id IN (SELECT entity_id FROM entities) QUALIFY row_number() OVER (PARTITION BY src_id, dst_id ORDER BY updated_at DESC, edge_id DESC) = 1) WHERE valid_to > {AS_OF_SQL}"
+
+
+def _stored_links(v: Views) -> DataFrame:
+    return v.edges().withColumns({c: F.col(c).cast("timestamp") for c in ("valid_from", "valid_to", "updated_at")})
+
+
+def _projected(v: Views):
+    """Pages of as many rows as there may be of either kind in eight of them."""
+    entities, links = v.entities(), materialise(_stored_links(v).dropDuplicates(["edge_id"]), "links")
+    none = graph.Projection(graph.vertices(entities).limit(0), links.limit(0), graph.cursor_start(), graph.cursor_start())
+    return graph.drain(none, entities, links, as_of().cast("timestamp"), max(graph.PAGE, links.count() // 4 + 1))
+
+
+@query(sql(_BOTH))
+def graph_projection(v: Views) -> DataFrame:
+    return _projected(v)[0].edges.select("src_id", "dst_id", "relation", "edge_id")
+
+
+@query(sql("SELECT (SELECT count(*) FROM entities) AS entities, count(*) FILTER (ok) AS processed, count(*) FILTER (NOT ok) AS orphans, 0::BIGINT AS deferred FROM (SELECT DISTINCT edge_id, src_id IN (SELECT entity_id FROM entities) AND dst_id IN (SELECT entity_id FROM entities) AS ok FROM edges)"))
+def projection_counts(v: Views) -> DataFrame:
+    done = _projected(v)[2]
+    return v.spark.createDataFrame([tuple(done.values())], ", ".join(f"{k} long" for k in done))
+
+
+@query(sql(_BOTH))
+def graph_rebuild(v: Views) -> DataFrame:
+    return graph.rebuild(v.entities(), _stored_links(v), as_of().cast("timestamp")).edges.select("src_id", "dst_id", "relation", "edge_id")
+
+
+@query(sql(f"SELECT edge_id FROM edges WHERE relation = 'rel_r' AND length(edge_id) % 5 <> 0 AND (length(edge_id) % 7 = 0 OR valid_from <= {AS_OF_SQL}) AND valid_to > {AS_OF_SQL}"))
+def facet_edges(v: Views) -> DataFrame:
+    """Edges whose facets are texts: some ends are no times, some beginnings are missing."""
+    n = F.length("edge_id")
+    stamp = lambda c: F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    texts = v.edges().select("edge_id", "relation", F.when(n % 7 == 0, "").otherwise(stamp("valid_from")).alias("valid_from"), F.when(n % 5 == 0, "soon").otherwise(stamp("valid_to")).alias("valid_to"))
+    return texts.where(graph.facet_ok(as_of().cast("timestamp"), "rel_r")).select("edge_id")
 
 
-ORACLES["assert_batch"] = sql("""SELECT status, closed, count(*) AS n FROM (SELECT 'active' AS status, false AS closed FROM (SELECT DISTINCT scope, subject_id, predicate FROM facts WHERE fact_id::BIGINT % 50 = 0)
-UNION ALL SELECT status, true FROM latest_facts WHERE status = 'active' AND valid_from < TIMESTAMP '2001-01-01' AND (scope, subject_id, predicate) IN (SELECT scope, subject_id, predicate FROM facts WHERE fact_id::BIGINT % 50 = 0)) GROUP BY ALL""")
+@query(sql("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 OR x.entity_id IS NULL OR y.entity_id IS NULL THEN 'rejected' ELSE 'accepted' END AS outcome, CASE WHEN o_orderkey % 9 <> 0 AND y.entity_id IS NOT NULL THEN x.entity_id END AS subject_id FROM orders LEFT JOIN entities x ON x.entity_id = 'c' || o_custkey AND x.scope = 'team-' || (o_custkey % 3) LEFT JOIN entities y ON y.entity_id = 's' || (1 + o_orderkey % 9)"))
+def ingest_facts(v: Views) -> DataFrame:
+    """A line of JSON for each order; some are broken, some name what isn't known."""
+    k = F.col("o_orderkey")
+    host = lambda letter, n: F.concat(F.lit(letter), n.cast("string"), F.lit(".example.com"))
+    team = F.concat(F.lit("team-"), (F.col("o_custkey") % 3).cast("string"))
+    fields = F.struct(team.alias("scope"), host("c", F.col("o_custkey")).alias("subject_key"), F.lit("uses").alias("predicate"), k.cast("string").alias("object_value"), host("s", 1 + k % 9).alias("object_key"))
+    lines = v.table("orders").select(F.when(k % 9 == 0, "{broken").otherwise(F.to_json(fields)).alias("value"), k)
+    good, _ = parse_lines(lines.drop("o_orderkey"), FACT_LINES)
+    everywhere = v.entities().select("entity_id", "entity_type", "key", "display_name", "attrs", "first_seen", "last_seen", "updated_at").crossJoin(F.broadcast(v.spark.range(3).select(F.concat(F.lit("team-"), F.col("id").cast("string")).alias("scope"))))
+    mine = everywhere.where("entity_id like 's%'").unionByName(v.entities().where("entity_id like 'c%'"))
+    done, _ = resolve_facts(good, mine)
+    done = done.select(F.col("object_value").cast("long").alias("o_orderkey"), "subject_id")
+    return v.table("orders").select("o_orderkey").join(done, "o_orderkey", "left").select("o_orderkey", F.when(F.col("subject_id").isNull(), "rejected").otherwise("accepted").alias("outcome"), "subject_id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,31 @@ class Views:
             F.col("value"),
         )
 
+    def entities(self) -> DataFrame:
+        """Customers and suppliers as domains, each in one scope of three; some of either aren't known."""
+
+        def some(table: str, column: str, letter: str, gap: int) -> DataFrame:
+            k = F.col(column)
+            at = F.expr("timestamp'1996-01-01 00:00:00'") + F.make_interval(mins=(k % 1000).cast("int"))
+            t = self.table(table).where(k % gap != 0)
+            name = F.concat(F.lit(letter), k.cast("string"))
+            host = F.concat(name, F.lit(".example.com"))
+            return t.select(name.alias("entity_id"), F.concat(F.lit("team-"), (k % 3).cast("string")).alias("scope"), F.lit("ioc_domain").alias("entity_type"), host.alias("key"), host.alias("display_name"), F.create_map().cast("map<string,string>").alias("attrs"), at.alias("first_seen"), at.alias("last_seen"), at.alias("updated_at"))
+
+        return some("customer", "c_custkey", "c", 7).unionByName(some("supplier", "s_suppkey", "s", 5))
+
+    def stored_facts(self) -> DataFrame:
+        """facts with objects for every third, and ends that are past for some and still to come for others."""
+        k = F.col("fact_id").cast("long")
+        end = F.when(k % 11 == 0, F.lit("2025-01-01").cast("timestamp")).when(k % 7 == 0, F.lit("2035-01-01").cast("timestamp")).otherwise(F.lit("2105-12-31 23:59:59").cast("timestamp"))
+        f = self.facts().withColumns({c: F.col(c).cast("timestamp") for c in ("valid_from", "updated_at")} | {"valid_to": end, "confidence": F.col("confidence").cast("float")})
+        return f.withColumn("object_id", F.when(k % 3 == 0, F.concat(F.lit("x"), (k % 50).cast("string"))))
+
+    def stored_edges(self) -> DataFrame:
+        """An edge of each active fact of stored_facts with an object."""
+        f = self.stored_facts().where("status = 'active' and object_id is not null")
+        return f.select(F.concat(F.lit("e"), "fact_id").alias("edge_id"), "scope", F.col("subject_id").alias("src_id"), F.col("object_id").alias("dst_id"), F.col("predicate").alias("relation"), F.col("fact_id").alias("from_fact"), "valid_from", "valid_to", F.col("valid_from").alias("updated_at"))
+
     def facts(self) -> DataFrame:
         return self.table("orders").select(
             F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("fact_id"),
@@ -92,12 +117,24 @@ _FACTS = """facts AS (SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS fact_id, 'tea
  o_orderdate AS valid_from, TIMESTAMP '2105-12-31 23:59:59' AS valid_to, o_orderdate AS updated_at, CASE WHEN o_orderkey % 5 = 0 THEN 'scope' ELSE 'org' END AS visibility FROM orders)"""
 _EDGES = """edges AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS edge_id, 'c' || o_custkey AS src_id, 's' || l_suppkey AS dst_id, 'rel_' || lower(l_returnflag) AS relation, o_orderdate AS valid_from,
  CASE WHEN l_shipdate > o_orderdate THEN l_shipdate ELSE TIMESTAMP '2105-12-31 23:59:59' END AS valid_to, greatest(o_orderdate, l_shipdate) AS updated_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_ENTITIES = """entities AS (SELECT 'c' || c_custkey AS entity_id, 'team-' || (c_custkey % 3) AS scope, 'ioc_domain' AS entity_type, 'c' || c_custkey || '.example.com' AS key, TIMESTAMP '1996-01-01 00:00:00' + to_minutes(c_custkey % 1000) AS updated_at FROM customer WHERE c_custkey % 7 <> 0
+ UNION ALL SELECT 's' || s_suppkey, 'team-' || (s_suppkey % 3), 'ioc_domain', 's' || s_suppkey || '.example.com', TIMESTAMP '1996-01-01 00:00:00' + to_minutes(s_suppkey % 1000) FROM supplier WHERE s_suppkey % 5 <> 0)"""
+_STORED = """stored AS (SELECT * EXCLUDE (valid_to, confidence), confidence::FLOAT AS confidence, CASE WHEN fact_id::BIGINT % 11 = 0 THEN TIMESTAMP '2025-01-01' WHEN fact_id::BIGINT % 7 = 0 THEN TIMESTAMP '2035-01-01' ELSE valid_to END AS valid_to,
+ CASE WHEN fact_id::BIGINT % 3 = 0 THEN 'x' || (fact_id::BIGINT % 50) END AS object_id FROM facts)"""
+_LATEST_STORED = "latest_stored AS (SELECT * FROM stored QUALIFY row_number() OVER (PARTITION BY scope, subject_id, predicate, object_value ORDER BY updated_at DESC, fact_id DESC) = 1)"
+_STORED_EDGES = """stored_edges AS (SELECT 'e' || fact_id AS edge_id, scope, subject_id AS src_id, object_id AS dst_id, predicate AS relation, fact_id AS from_fact, valid_from, valid_to, valid_from AS updated_at FROM stored WHERE status = 'active' AND object_id IS NOT NULL)"""
 _LATEST_FACTS = "latest_facts AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY scope, subject_id, predicate, object_value ORDER BY updated_at DESC, fact_id DESC) = 1)"
 
 
+def stable_id_sql(*parts: str) -> str:
+    """DuckDB for functions.text.stable_id."""
+    listed = ", ".join(f"coalesce(({p})::VARCHAR, chr(0))" for p in parts)
+    return rf"regexp_replace(md5(concat_ws(chr(31), {listed})), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5')"
+
+
 def sql(body: str) -> str:
     """body with the relations that it names in front."""
-    known = [("entity_versions", _VERSIONS), ("latest_facts", _LATEST_FACTS), ("facts", _FACTS), ("edges", _EDGES), ("obs", _OBS)]
+    known = [("entity_versions", _VERSIONS), ("entities", _ENTITIES), ("latest_stored", _LATEST_STORED), ("stored_edges", _STORED_EDGES), ("stored", _STORED), ("latest_facts", _LATEST_FACTS), ("facts", _FACTS), ("edges", _EDGES), ("obs", _OBS)]
     import re
 
     used, text = [], body

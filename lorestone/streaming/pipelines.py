@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.proposals import parse_proposals, sanitize_proposals
 
 BATCH, RATE = 32, 5.0
+#: Agents whose budgets a single process remembers.
+AGENTS = 10_000
 
 
 def uncovered_batch(observations: DataFrame, covered: DataFrame, size: int = BATCH) -> DataFrame:
@@ -34,10 +38,35 @@ def extract(batch: DataFrame, model: Callable[[list[str]], list[str | None]]) ->
 
 def run_projection(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
     """Apply each micro-batch of entity or edge versions once they arrive; the checkpoint is the cursor, so a restart goes
-    on where the last batch was committed, and a batch that runs again must give the same."""
+    on where the last batch was committed, and a batch that runs again must give the same.
+
+    There is no event time: a version that arrives below the cursor of a paged projection isn't seen until its row's next
+    touch, or the next rebuild, which looks at every row."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+class Budget:
+    """Token buckets of agents in one process, with a burst of one second's rate. Humans have none. Beyond `most` agents
+    the one heard from longest ago is forgotten, so that made-up names cost no memory."""
+
+    def __init__(self, rate: float = RATE, most: int = AGENTS):
+        self.rate = rate if rate > 0 and not math.isnan(rate) else RATE
+        self.most, self.levels = most, OrderedDict()
+
+    def wait(self, actor_type: str, actor_id: str, now: float) -> float:
+        """Seconds until the actor may write; 0 if it may now, which this call then counts."""
+        if actor_type != "agent":
+            return 0.0
+        if actor_id not in self.levels and len(self.levels) >= self.most:
+            self.levels.popitem(last=False)
+        level, last = self.levels.get(actor_id, (self.rate, now))
+        level = min(self.rate, level + max(0.0, now - last) * self.rate)
+        allowed = level >= 1
+        self.levels[actor_id] = (level - allowed, now)
+        self.levels.move_to_end(actor_id)
+        return 0.0 if allowed else (1 - level) / self.rate
+
+
 def rate_limited(writes: DataFrame, rate: float = RATE) -> DataFrame:
     """(actor_id, ts, allowed) of a stream of writes (actor_id, actor_type, ts) in a token bucket for each agent, with a
     burst of one second's rate; humans always pass. State is a level and a time for each actor."""

@@ -90,8 +90,8 @@ def test_timeline(spark):
 def test_assert_supersedes_like_one_at_a_time(spark):
     store = frame(spark, [fact("f1", "v0")], schemas.FACTS)
     batch = [("a", "s1", "is", f"v{k}", "t1" if k == 2 else None, 0.9, None, "human", "u", None, day(k + 10)) for k in (1, 2, 3)]
-    batch += [("a", "s1", "is", "p", None, 0.9, None, "agent", "bot", None, day(20)), ("a", "s1", "Bad", "p", None, 0.9, None, "human", "u", None, day(20))]
-    r = facts.assert_facts(inputs(spark, batch), store)
+    batch += [("a", "s1", "is", "p", None, 0.9, None, "agent", "bot", None, day(20)), ("a", "s1", " ", "p", None, 0.9, None, "human", "u", None, day(20))]
+    r = facts.assert_facts(inputs(spark, batch), store, ids=False)
     got = {x["object_value"]: (x["status"], x["valid_to"]) for x in r.facts.collect()}
     assert got == {"v0": ("active", day(11)), "v1": ("active", day(12)), "v2": ("active", day(13)), "v3": ("active", FOREVER), "p": ("proposed", FOREVER)}
     assert r.rejects.count() == 1
@@ -100,8 +100,8 @@ def test_assert_supersedes_like_one_at_a_time(spark):
     assert summaries[0] == "status=active confidence=0.90 superseded=1 edge=n vis=org"
     one = store
     for row in batch[:4]:
-        step = facts.assert_facts(inputs(spark, [row]), one).facts
-        one = spark.createDataFrame(one.unionByName(step).collect(), schemas.FACTS)
+        step = facts.assert_facts(inputs(spark, [row]), one, ids=False)
+        one = spark.createDataFrame(step.applied(one).collect(), schemas.FACTS)
     last = latest(one, FACT_KEY, "updated_at", "fact_id").collect()
     assert {x["object_value"]: (x["status"], x["valid_to"]) for x in last} == got
 
@@ -111,23 +111,27 @@ def test_promote_and_retract(spark):
     edges = frame(spark, [("e1", "a", "s1", "t", "is", "f1", day(1), FOREVER, day(1))], schemas.EDGES)
     ask = lambda i, who: frame(spark, [(i, who, "u", day(9))], "fact_id string, actor_type string, actor_id string, at timestamp")
     p = facts.promote_facts(ask("f2", "human"), store)
-    assert [(x["object_value"], x["status"]) for x in p.facts.collect()] == [("other", "active")]
+    assert sorted((x["object_value"], x["status"], x["valid_to"]) for x in p.facts.collect()) == [("other", "active", FOREVER), ("other", "proposed", day(9))]
+    assert p.audit.first()["payload_summary"] == "from=proposed to=active confidence=0.50 prior=f2 edge=n vis=org"
     assert [facts.promote_facts(ask(i, w), store).rejects.first()["error"] for i, w in (("f2", "agent"), ("f1", "human"), ("zz", "human"))] == ["HumanGated", "Conflict", "NotFound"]
     r = facts.retract_facts(ask("f1", "human"), store, edges)
-    assert [(x["status"], x["valid_to"]) for x in r.facts.collect()] == [("retracted", day(9))]
+    assert sorted((x["status"], x["valid_to"]) for x in r.facts.collect()) == [("active", day(9)), ("retracted", day(9))]
+    assert r.audit.first()["payload_summary"] == "from=active prior=f1 edge=n vis=org"
+    why = ask("f1", "human").withColumn("reason", F.lit("  " + "é" * 130))
+    assert facts.retract_facts(why, store, edges).audit.first()["payload_summary"] == f"from=active reason={'é' * 120} prior=f1 edge=n vis=org"
     assert [x["valid_to"] for x in r.edges.collect()] == [day(9)]
 
 
 def test_resolve_and_record(spark):
-    known = frame(spark, [("id1", "a", "ioc_domain", "evil.com", "evil.com", {}, day(1), day(1), day(1))], schemas.ENTITIES)
-    raws = ["Evil.com", "1.1.1.1", "evil.com.", "junk words", "T1566", "2.2.2.2", "1.1.1.1"]
+    known = frame(spark, [("id1", "a", "ioc_domain", "bad.test", "bad.test", {}, day(1), day(1), day(1))], schemas.ENTITIES)
+    raws = ["Bad.test", "1.1.1.1", "bad.test.", "junk words", "T1566", "2.2.2.2", "1.1.1.1"]
     resolved, delta = observations.resolve_batch(frame(spark, [("a", i, r) for i, r in enumerate(raws)], "scope string, pos int, raw string"), known, now())
     ids = [r["entity_id"] for r in resolved.orderBy("pos").collect()]
     assert ids[0] == ids[2] == "id1"
     assert ids[1] == ids[6]
     assert ids[3] is None
     assert delta.count() == 4
-    rows = [("a", "alert", "human", "u", None, None, None, None, day(2), "Evil.com and 1.1.1.1"), ("a", "nonsense", "human", "u", None, None, None, None, day(2), "x")]
+    rows = [("a", "alert", "human", "u", None, None, None, None, day(2), "Bad.test and 1.1.1.1"), ("a", "nonsense", "human", "u", None, None, None, None, day(2), "x")]
     r = observations.record_observations(frame(spark, rows, "scope string, kind string, actor_type string, actor_id string, on_behalf_of string, case_id string, client_event_id string, confidentiality string, ts timestamp, content string"), known, now())
     assert r.observations.first()["entity_refs"][0] == "id1"
     assert r.audit.first()["payload_summary"] == "kind=alert entities=2 chars=20"
