@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, empty_safe, partitions, scratch
-from .tokens import encoded, encoder, public_path
+from .common import documents, gathered, lean, partitions, scratch, small_batches
+from .tokens import SLICE, encoded, encoder, public_path
 
 MAGIC = b"DAC1"
 BITS = 8
@@ -90,13 +90,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     shuffle partitions reach the driver; each text is then encoded where it is read, and the shuffle moves token ids.
     Rows that share an id, even with one text, are spread over ranges. Null and empty texts are the end id alone;
     repeated rows are kept; an empty table gives no shards."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
     docs = docs.select(F.col("doc_id").isNotNull().cast("int").alias("given"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"), "text")
     bounds = range_bounds(docs, partitions(docs.sparkSession))
 
     def encode(batches):
         from_text = encoder(tokenizer)
-        for b in empty_safe(batches):
+        for b in gathered(batches, "text", SLICE):
             places = [bisect_right(bounds, k) - 1 for k in zip(*(b.column(c).to_pylist() for c in ("given", "doc_id", "h", "row")))]
             for i, j, ids in encoded(b.column("text"), from_text):
                 own = [b.column(c).slice(i, j - i) for c in ("given", "doc_id", "h", "row")]
@@ -112,7 +113,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
             columns = [pa.array([part]), pa.array([place]), pa.array([[d for d, _ in held]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([dac_encode(ids)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["part", "place", "doc_ids", "counts", "block"])
 
-        for b in empty_safe(batches):
+        for b in batches:
             for given, doc_id, raw in zip(*(b.column(c).to_pylist() for c in ("given", "doc_id", "ids"))):
                 held.append((doc_id if given else None, raw + end))
                 total += len(raw) // dtype.itemsize + 1
@@ -122,10 +123,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
         if held:
             yield shard()
 
-    coded = docs.mapInArrow(encode, "range int, given int, doc_id long, h long, row long, ids binary")
+    coded = docs.mapInArrow(lean(encode), "range int, given int, doc_id long, h long, row long, ids binary")
     ordered = coded.repartitionById(max(1, len(bounds)), "range").sortWithinPartitions("given", "doc_id", "h", "row").select("given", "doc_id", "ids")
     schema = "part long, place long, doc_ids array<long>, counts array<long>, block binary"
-    ordered.mapInArrow(shards, schema).write.parquet(path)
+    ordered.mapInArrow(lean(shards), schema).write.parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -148,14 +149,14 @@ def read_ids(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read from the written codes."""
 
     def decode(batches):
-        for b in empty_safe(batches):
+        for b in batches:
             for doc_ids, counts, block, start in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "counts", "block", "start"))):
                 ends = np.cumsum(counts)
                 ids = Dac(block).take(np.arange(ends[-1]))
                 crc = [zlib.crc32(ids[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends.tolist(), counts)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + ends - np.array(counts)), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shard_starts(shards).select("doc_ids", "counts", "block", "start").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shard_starts(shards).select("doc_ids", "counts", "block", "start").mapInArrow(lean(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_dac_ids(spark, sf_dir):

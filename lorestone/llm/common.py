@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -13,40 +12,71 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import forget, scratch, sweep  # noqa: F401
+from ..scratch import materialise as write_scratch
+
 #: One or more characters that are neither blank nor \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 #: Bytes of text handled at once: arrays of eight bytes for each fit the caches, and memory stays flat.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Rows and bytes of an Arrow batch between the JVM and Python, where the session leaves Spark's own: 10,000 documents
+#: would be held several times over by either side.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+_ROWS, _BYTE_LIMIT = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="lorestone-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lorestone/{name}-{uuid.uuid4().hex}"
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, unless it has bounds of its own."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+        spark.conf.set(_BYTE_LIMIT, str(BATCH_BYTES))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: it is computed once, and later reads survive lost executors."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a written table, by small batches."""
+    small_batches(df.sparkSession)
+    return write_scratch(df, name)
+
+
+def _release() -> None:
+    """Give back memory that this worker, which tasks of other stages will use, no longer needs."""
+    powers.cache_clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """run, for mapInArrow: over batches with rows only, and without memory kept after the task."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(b for b in batches if b.num_rows)
+        finally:
+            _release()
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return task
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, joined to batches of about `most` bytes of a text column."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -148,10 +178,6 @@ class Words:
         return mix64(out), self.doc[:m] == self.doc[k - 1 :]
 
 
-def empty_safe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in batches if b.num_rows)
-
-
 def scatter(key: np.ndarray, columns: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     """Rows (bucket, payload): the entries of each bucket, packed column after column; key % buckets deals them out.
 
@@ -213,7 +239,7 @@ def _thin(batches):
             lead[x], x = top, up
         return top
 
-    for b in empty_safe(batches):
+    for b in batches:
         for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             x, y = find(x), find(y)
             if x != y:
@@ -230,10 +256,12 @@ def components(edges: DataFrame) -> DataFrame:
     Partitions first reduce their edges to forests. If these hold EDGES_AT_ONCE at most, a single task joins them.
     Otherwise stars alternate over DataFrames: minima per node combine on the map side, the joins back to a node's edges
     can be split where a node is hot, each round is a written table, and only one count a round reaches the driver."""
-    thin = lambda df: df.mapInArrow(_thin, "a long, b long")
+    thin = lambda df: df.mapInArrow(lean(_thin), "a long, b long")
     stars = materialise(thin(edges.select("a", "b").where("a <> b")), "stars")
     if stars.limit(EDGES_AT_ONCE + 1).count() <= EDGES_AT_ONCE:
-        return _named(materialise(thin(stars.coalesce(1)), "stars"))
+        one = materialise(thin(stars.coalesce(1)), "stars")
+        forget(stars)
+        return _named(one)
     was = None
     while True:
         both = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))

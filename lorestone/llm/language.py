@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, empty_safe
+from .common import documents, lean, small_batches
 
 #: Ranks in a profile, and the longest n-gram.
 RANKS, ORDER = 400, 3
@@ -69,7 +69,7 @@ def _count(batches):
         held.clear()
 
     size = 0
-    for b in empty_safe(batches):
+    for b in batches:
         for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
             g, n = grams(codes(text))
             held.setdefault(lang, []).append((g, n))
@@ -84,7 +84,8 @@ def train(docs: DataFrame, ranks: int = RANKS) -> dict[str, list[int]]:
     """{language: its most frequent n-grams, most frequent first} from all rows of docs (text, lang) with both.
 
     Counts are added up over the whole table; only the top `ranks` of each language reach the driver."""
-    counts = docs.where("text is not null and lang is not null").select("text", "lang").mapInArrow(_count, "lang string, gram long, n long")
+    small_batches(docs.sparkSession)
+    counts = docs.where("text is not null and lang is not null").select("text", "lang").mapInArrow(lean(_count), "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # A sorted prefix in each language, without a task that holds all n-grams of one: candidates from each of 64 parts first.
     from pyspark.sql import Window
@@ -114,6 +115,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], ranks: int = RANKS)
     table = np.full((len(vocabulary) + 1, len(names)), -1, np.int32)
     for k, name in enumerate(names):
         table[np.searchsorted(vocabulary, np.array(profiles[name], np.uint32)), k] = np.arange(len(profiles[name]))
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "lang_score")
 
     def one(text):
@@ -130,14 +132,14 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], ranks: int = RANKS)
         return names[k], float(1 - far[k] / (ranks * len(g)))
 
     def label(batches):
-        for b in empty_safe(batches):
+        for b in batches:
             found = [one(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*b.schema.names, "lang_pred", "lang_score"])
 
     from pyspark.sql import types as T
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return docs.mapInArrow(label, schema)
+    return docs.mapInArrow(lean(label), schema)
 
 
 def size_class() -> Column:

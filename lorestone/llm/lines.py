@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, components, documents, empty_safe, gather, materialise, mix64, partitions, prefix_hash, scatter, stream
+from .common import Forest, components, documents, gather, lean, materialise, mix64, partitions, prefix_hash, scatter, stream
 
 #: Edits between near-duplicate lines, and the least length in code points of a line that is compared by edits.
 EDITS, LEAST = 2, 32
@@ -112,7 +112,7 @@ def candidate_groups(lines: DataFrame, edits: int) -> DataFrame:
     buckets = 4 * partitions(lines.sparkSession)
 
     def index(batches):
-        for b in empty_safe(batches):
+        for b in batches:
             ids, first = np.unique(b.column("id").to_numpy(), return_index=True)
             text = b.column("line").take(pa.array(first)).to_pylist()
             at, size = 0, 0
@@ -165,7 +165,7 @@ def candidate_groups(lines: DataFrame, edits: int) -> DataFrame:
         columns = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (grp, ids)]
         return pa.table({"grp": columns[0], "id": columns[1]})
 
-    return lines.mapInArrow(index, "bucket int, payload binary").groupBy("bucket").applyInArrow(match, "grp long, id long").distinct()
+    return lines.mapInArrow(lean(index), "bucket int, payload binary").groupBy("bucket").applyInArrow(match, "grp long, id long").distinct()
 
 
 def verified(table: pa.Table, edits: int) -> pa.Table:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import empty_safe, gather, scatter
+from .common import gather, lean, scatter
 
 #: Rows the codebooks are fitted on, by the order of a hash of their ids: bounded, whatever the table holds.
 SAMPLE = 20_000
@@ -146,7 +146,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = R
     groups = max(1, -(-n_q // GROUP))
 
     def index(batches):
-        for b in empty_safe(batches):
+        for b in batches:
             x, ids = _matrix(b.column("v"), dim), b.column("vec_id").to_numpy().astype(np.int64)
             for i in range(0, len(x), 8192):
                 part = x[i : i + 8192]
@@ -157,7 +157,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = R
                 yield scatter(ids[i : i + 8192].view(np.uint64), [ids[i : i + 8192], half, np.ascontiguousarray(packed).view(f"V{packed.shape[1]}").ravel(), part.view(f"V{4 * dim}").ravel()], blocks)
 
     def pack(batches):
-        for b in empty_safe(batches):
+        for b in batches:
             x, ids = _matrix(b.column("v"), dim), b.column("vec_id").to_numpy().astype(np.int64)
             yield scatter(ids.view(np.uint64) // np.uint64(7), [ids, x.view(f"V{4 * dim}").ravel()], groups)
 
@@ -177,9 +177,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = R
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
 
-    data = all_v.mapInArrow(index, "bucket int, payload binary")
+    data = all_v.mapInArrow(lean(index), "bucket int, payload binary")
     data = data.select(F.col("bucket").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(False).alias("asks"), "payload")
-    asks = all_q.mapInArrow(pack, "bucket int, payload binary")
+    asks = all_q.mapInArrow(lean(pack), "bucket int, payload binary")
     asks = asks.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("bucket").alias("grp"), F.lit(True).alias("asks"), "payload")
     near = data.unionByName(asks).groupBy("block", "grp").applyInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -10,8 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, chunks, documents, empty_safe, materialise, stream
-from .tokens import encoded, encoder, public_path
+from .common import Words, buffers, chunks, documents, gathered, lean, materialise, stream
+from .tokens import SLICE, encoded, encoder, public_path
 
 LENGTH = 1024
 END_ID = 0
@@ -124,7 +124,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
 
     def keyed(batches):
         from_text = encoder(tokenizer)
-        for b in empty_safe(batches):
+        for b in gathered(batches, "text", SLICE):
             doc_ids, texts = b.column("doc_id"), b.column("text")
             for i, j, ids in encoded(texts, from_text):
                 keys = pa.array(curve_keys(*buffers(texts.slice(i, j - i))), pa.int64())
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
         dtype = encoder(tokenizer).dtype
         end = np.array([end_id], dtype)
         seqs = Sequences(length, TaskContext.get().partitionId() << 40)
-        for b in empty_safe(batches):
+        for b in batches:
             for doc_id, raw in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
                 seqs.add(doc_id, np.concatenate([np.frombuffer(raw, dtype), end]))
             yield lean(seqs.drain())
@@ -145,9 +145,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
         return batch if with_ids else batch.drop_columns(["ids"])
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
-    table = materialise(docs.mapInArrow(keyed, "doc_id long, pack_key long, ids binary"), "pack-ids")
+    table = materialise(docs.mapInArrow(lean(keyed), "doc_id long, pack_key long, ids binary"), "pack-ids")
     ranged = table.repartitionByRange("pack_key", "doc_id").sortWithinPartitions("pack_key", "doc_id", "ids").select("doc_id", "ids")
-    return ranged.mapInArrow(cut, schema if with_ids else schema.removesuffix(", ids binary"))
+    return ranged.mapInArrow(lean(cut), schema if with_ids else schema.removesuffix(", ids binary"))
 
 
 def op2_pack_hilbert(spark, sf_dir):

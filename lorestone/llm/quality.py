@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, buffers, chunks, documents, empty_safe, prefix_hash, stream
+from .common import Words, buffers, chunks, documents, lean, prefix_hash, small_batches, stream
 
 #: zstandard level, and the size of the fixed chunks in bytes.
 LEVEL, PART = 3, 2048
@@ -111,7 +111,7 @@ def quality(docs: DataFrame, level: int = LEVEL, part: int = PART, bands=BANDS,
     rows are judged each; a null id stays null; other columns are left out; an empty table gives no rows."""
 
     def judge(batches):
-        for b in empty_safe(batches):
+        for b in batches:
             data, at = buffers(b.column("text"))
             counts = [[] for _ in _COUNTS]
             with np.errstate(over="ignore"):
@@ -128,8 +128,9 @@ def quality(docs: DataFrame, level: int = LEVEL, part: int = PART, bands=BANDS,
             columns = [b.column("doc_id"), *counts, whole, n_parts, odd, failed, np.array(inside, bool) & ~failed]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", zstd_ratio double, n_parts long, n_odd_parts long, base_failed boolean, kept boolean"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(judge, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(lean(judge), schema)
 
 
 def op5_compression_bands(spark, sf_dir):

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, buffers, chunks, documents, empty_safe, gather, mix64, prefix_hash, scatter, stream
+from .common import SPACE, buffers, chunks, documents, gather, lean, mix64, prefix_hash, scatter, small_batches, stream
 
 #: The gear hash sums a random number for each of the last 16 bytes, doubled once a byte; a byte whose hash is below the
 #: limit ends a chunk, one in `MEAN`.
@@ -65,25 +65,30 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, mean: int = MEAN, i
     null ids; of repeated rows with one id, equal places count once, so rows that repeat an id and its text hold nothing
     new; other columns are left out; an empty table gives no rows."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    small_batches(docs.sparkSession)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
 
     def cut(batches):
-        for b in empty_safe(batches):
+        held, size = [], 0
+
+        def dealt():
+            columns = [np.concatenate(c) for c in zip(*held)]
+            return scatter(columns[0], columns, buckets)
+
+        for b in batches:
             ids = b.column("doc_id").to_numpy()
             data, at = buffers(b.column("text"))
             with np.errstate(over="ignore"):
-                held, size = [], 0
-                for i, j in [*chunks(at), (0, 0)]:
-                    if j:
-                        doc, digest, start, length, words = chunk_table(data, at, i, j, mean)
-                        held.append([digest, ids[i + doc], start, length, words])
-                        size += len(digest)
-                    if held and (size >= 1_000_000 or not j):
-                        columns = [np.concatenate(c) for c in zip(*held)]
-                        if len(columns[0]):
-                            yield scatter(columns[0], columns, buckets)
+                for i, j in chunks(at):
+                    doc, digest, start, length, words = chunk_table(data, at, i, j, mean)
+                    held.append([digest, ids[i + doc], start, length, words])
+                    size += len(digest)
+                    if size >= 1_000_000:
+                        yield dealt()
                         held, size = [], 0
+        if size:
+            yield dealt()
 
     def match(table: pa.Table) -> pa.Table:
         digest, doc, start, length, words = gather(table.column("payload").to_pylist(), _KINDS)
@@ -133,7 +138,7 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, mean: int = MEAN, i
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, [pa.int64()] * 5 + [pa.string()] * 2)], names=["doc_id", "n_passages", "repeated_bytes", "removed_bytes", "first_doc_id", "spans", "removed"])
 
     blob = "bucket int, payload binary"
-    again = texts.mapInArrow(cut, blob).groupBy("bucket").applyInArrow(match, blob)
+    again = texts.mapInArrow(lean(cut), blob).groupBy("bucket").applyInArrow(match, blob)
     schema = "doc_id long, n_passages long, repeated_bytes long, removed_bytes long, first_doc_id long, spans string, removed string"
     return again.groupBy("bucket").applyInArrow(join, schema)
 
@@ -147,7 +152,7 @@ def dedup_substrings(docs: DataFrame, **options) -> DataFrame:
     joined = docs.join(found, docs[id_col].cast("long") == F.col("rep_id"), "left").drop("rep_id")
 
     def apply(batches):
-        for b in empty_safe(batches):
+        for b in batches:
             texts = b.column("text").to_pylist()
             for i, spans in enumerate(b.column("rep_spans").to_pylist()):
                 if spans and texts[i] is not None:
@@ -160,7 +165,7 @@ def dedup_substrings(docs: DataFrame, **options) -> DataFrame:
             b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
             yield b.drop_columns(["rep_spans"])
 
-    return joined.mapInArrow(apply, docs.schema)
+    return joined.mapInArrow(lean(apply), docs.schema)
 
 
 def op4_chunk_dedup(spark, sf_dir):
