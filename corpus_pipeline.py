@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorestone.llm.common import documents, materialise
+from lorestone.llm.common import documents, forget, materialise
 from lorestone.llm.language import UNKNOWN, least_score, predict, size_class, train
 from lorestone.llm.lines import dedup_lines
 from lorestone.llm.minhash import near_duplicates
@@ -59,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
