@@ -202,6 +202,31 @@ def gather(payloads: list[bytes], kinds: list[np.dtype]) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds)]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+#: Rows of one key that a task may hold before its key counts as hot, and hot keys at most, as a share of all rows.
+HOT_ROWS, HOT_KEYS = 10_000, 20_000
+
+
+def split_join(rows: DataFrame, small: DataFrame, key: str, sizes: DataFrame, count: str) -> DataFrame:
+    """rows joined to `small`, which has one row a key; sizes (key, count) says how many rows a key has at least.
+
+    Rows of hot keys stay where they are and meet a broadcast copy: a key is hot from HOT_ROWS rows on, or from as many as
+    leave HOT_KEYS hot keys at most, so the copy is bounded whatever the table. The rest is joined by key."""
+    total = sizes.agg(F.sum(count)).first()[0] or 0
+    hot = sizes.where(F.col(count) >= max(HOT_ROWS, total // HOT_KEYS)).select(key)
+    if not hot.limit(1).count():
+        return rows.join(small, key)
+    hot = F.broadcast(hot)
+    return rows.join(F.broadcast(small.join(hot, key, "left_semi")), key).unionByName(rows.join(hot, key, "left_anti").join(small, key))
+
+
 class Forest:
     """Union-find over 0..n-1; the smallest member leads."""
 
