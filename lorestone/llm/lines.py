@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, components, documents, gather, lean, materialise, mix64, partitions, prefix_hash, scatter, stream
+from .common import Forest, components, documents, forget, gather, lean, materialise, mix64, partitions, prefix_hash, scatter, split_join, stream
 
 #: Edits between near-duplicate lines, and the least length in code points of a line that is compared by edits.
 EDITS, LEAST = 2, 32
@@ -108,7 +108,10 @@ def segment_keys(lines: list[str], ids: np.ndarray, edits: int):
 
 def candidate_groups(lines: DataFrame, edits: int) -> DataFrame:
     """(grp, id) rows: lines whose edit distance may be at most `edits` share a group. From lines (id: long, line),
-    where a line may stand often: each batch indexes it once."""
+    where a line may stand often: each batch indexes it once.
+
+    Lines that share a segment are a run. A short one is compared by bags of characters at once; of a long one, only the
+    blocks are named here, and each two of them meet in a group of their own in a step of its own, over all tasks."""
     buckets = 4 * partitions(lines.sparkSession)
 
     def index(batches):
@@ -137,7 +140,7 @@ def candidate_groups(lines: DataFrame, edits: int) -> DataFrame:
         n_ask = asks[ends] - asks[at]
         low, high = np.minimum.reduceat(own, at) if len(at) else at, np.maximum.reduceat(own, at) if len(at) else at
         some = (n_ask > 0) & (n_ask < ends - at) & (low < high)
-        grp, ids = [], []
+        grp, ids, block = [], [], []
         for i, j in zip(at[some].tolist(), ends[some].tolist()):
             members, first = np.unique(own[i:j], return_index=True)
             bags = bag[i:j][first]
@@ -152,20 +155,27 @@ def candidate_groups(lines: DataFrame, edits: int) -> DataFrame:
                 kept = near.any(1)
                 grp.append(members[lead[kept]])
                 ids.append(members[kept])
+                block.append(np.full(int(kept.sum()), -1))
             else:
-                # Each two blocks of a large run share a group, so that no pair is missed and no group is large.
-                block = np.arange(len(members)) // (GROUP // 2)
-                n, salt = int(block[-1]) + 1, int(run[i])
-                for c in range(n):
-                    for d in range(c + 1, n):
-                        m = members[(block == c) | (block == d)]
-                        name = mix64(np.array([salt ^ (c << 32 | d)], np.uint64)).view(np.int64)[0]
-                        grp.append(np.full(len(m), name))
-                        ids.append(m)
-        columns = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (grp, ids)]
-        return pa.table({"grp": columns[0], "id": columns[1]})
-
-    return lines.mapInArrow(lean(index), "bucket int, payload binary").groupBy("bucket").applyInArrow(match, "grp long, id long").distinct()
+                grp.append(np.full(len(members), run[i].view(np.int64)))
+                ids.append(members)
+                block.append(np.arange(len(members)) // (GROUP // 2))
+        columns = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (grp, ids, block)]
+        blocks = np.zeros(len(columns[0]), np.int64)
+        at = 0
+        for b in block:
+            blocks[at : at + len(b)], at = (b[-1] + 1 if len(b) else 0), at + len(b)
+        return pa.table({"grp": columns[0], "id": columns[1], "block": columns[2], "blocks": blocks})
+
+    runs = lines.mapInArrow(lean(index), "bucket int, payload binary").groupBy("bucket").applyInArrow(match, "grp long, id long, block long, blocks long")
+    runs = materialise(runs, "line-runs")
+    groups = runs.where("block < 0").select("grp", "id")
+    # Each two blocks of a long run share a group, so that no pair is missed and no group is large.
+    long = runs.where("block >= 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> other")
+    pair = F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other"))
+    groups = materialise(groups.unionByName(long.select(pair.alias("grp"), "id")).distinct(), "line-groups")
+    forget(runs)
+    return groups
 
 
 def verified(table: pa.Table, edits: int) -> pa.Table:
@@ -210,7 +220,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST, short:
     hashed = lambda df: df.withColumn("hash", F.conv(F.substring(F.md5("line"), 1, 15), 16, 10).cast("long"))
     places = materialise(hashed(_positions(docs, least, short)).select("doc_id", "line_no", "hash"), "line-places")
     with_text = hashed(_positions(docs, least, False))
-    groups = materialise(candidate_groups(with_text.select(F.col("hash").alias("id"), "line"), edits), "line-groups")
+    groups = candidate_groups(with_text.select(F.col("hash").alias("id"), "line"), edits)
     ids = _small(groups.select(F.col("id").alias("hash")).distinct())
     text = with_text.select("hash", "line").join(ids, "hash", "left_semi").groupBy(F.col("hash").alias("id")).agg(F.first("line").alias("line"))
     edges = groups.join(text, "id").select("grp", "id", "line").groupBy("grp").applyInArrow(lambda t: verified(t, edits), "a long, b long")
@@ -218,11 +228,17 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST, short:
     # A document's own repeats combine first, so that documents are counted by plain sums.
     own = places.groupBy("hash", "doc_id").agg(F.min("line_no").alias("line_no"), F.count("*").alias("n"))
     stats = lambda df, key: df.groupBy(key).agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"))
-    alone = stats(own.join(comp, "hash", "left_anti"), "hash").where("n > 1").withColumn("class_hash", F.col("hash"))
-    linked = own.join(comp, "hash").groupBy("class_hash", "doc_id").agg(F.min("line_no").alias("line_no"), F.sum("n").alias("n"))
+    each = materialise(stats(own, "hash"), "line-stats")
+    # Of lines that are linked, a document's count once for the class; frequent ones are named where they are.
+    linked = split_join(own, comp, "hash", each.join(comp, "hash", "left_semi").select("hash", F.col("n_docs").alias("n_rows")), "n_rows")
+    linked = linked.groupBy("class_hash", "doc_id").agg(F.min("line_no").alias("line_no"), F.sum("n").alias("n"))
     linked = stats(linked, "class_hash").join(comp, "class_hash")
-    named = alone.unionByName(linked).select("hash", "class_hash", "n_docs", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))
-    return places.join(named, "hash").select("doc_id", "line_no", "hash", "class_hash", "n_docs", "first_doc", "first_line")
+    alone = each.join(comp, "hash", "left_anti").where("n > 1").withColumn("class_hash", F.col("hash"))
+    named = alone.unionByName(linked, allowMissingColumns=True).select("hash", "class_hash", "n_docs", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))
+    named = materialise(named, "line-named")
+    forget(groups)
+    sizes = each.where("n > 1").select("hash", F.col("n").alias("n_rows"))
+    return split_join(places, named, "hash", sizes, "n_rows").select("doc_id", "line_no", "hash", "class_hash", "n_docs", "first_doc", "first_line")
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, min_docs: int = 2, short: bool = False) -> DataFrame:
@@ -231,7 +247,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, min_doc
 
     A line of `least` code points or more is repeated if its class (lines connected by at most `edits` edits) stands at
     another place; of a class, the first place stays, by doc_id and line_no, and the others go if the class is found in
-    `min_docs` documents, or more than once in this one. Lines are what \\n separates. Shorter ones stay, unless `short`:
+    `min_docs` documents, or more than once in this one. Lines are what \\n separates, of any length. Shorter ones stay, unless `short`:
     then each that holds a word takes part too, with the lines equal to it as its class.
     Null and empty texts stay as they are, as do rows without doc_id; of repeated rows with one id, equal lines at equal
     places are one place, so all stay or go alike; other columns stay, but for those named ld_*, which are replaced."""
