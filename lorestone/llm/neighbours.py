@@ -7,14 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gather, lean, scatter
+from .common import gather, lean, materialise, scatter
 
 #: Rows the codebooks are fitted on, by the order of a hash of their ids: bounded, whatever the table holds.
 SAMPLE = 20_000
 #: Components in a subspace, codes of each, and how much heavier the parallel part of a residual weighs.
 SUB, CODES, ETA = 2, 16, 4.0
-#: Best candidates by codes of each query in each block that are reranked; candidates that tie with the last all are.
-RERANK = 200
+#: Best candidates of each query by codes, in each block and of all blocks, that are measured on the original vectors.
+RERANK, RERANK_ALL = 200, 1000
 #: Rows in a block, queries in a group.
 BLOCK_LEAST, BLOCK_MOST, GROUP = 4096, 131_072, 4096
 
@@ -98,8 +98,8 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
 
 
-def _scan(q_ids, q, ids, codes, half, x, books, k, rerank):
-    """(query_id, vec_id, distance) of each query's k nearest in a block, by table scan and exact rerank."""
+def _scan(q_ids, q, rows, ids, codes, half, books, rerank):
+    """(query_id, row, by codes) of each query's best in a block, by table scan; ties go to the smaller vec_id."""
     m = codes.shape[1]
     for i in range(0, len(q), 64):
         qs, q_id = q[i : i + 64], q_ids[i : i + 64]
@@ -110,23 +110,29 @@ def _scan(q_ids, q, ids, codes, half, x, books, k, rerank):
         score[q_id[:, None] == ids[None]] = -np.inf
         for row in range(len(qs)):
             own = score[row]
-            if len(own) > rerank:
-                near = np.flatnonzero(own >= np.partition(own, len(own) - rerank)[len(own) - rerank])
-            else:
-                near = np.arange(len(own))
+            near = np.flatnonzero(own >= np.partition(own, len(own) - rerank)[len(own) - rerank]) if len(own) > rerank else np.arange(len(own))
             near = near[own[near] > -np.inf]
-            far = np.sqrt(((x[near].astype(np.float64) - qs[row].astype(np.float64)) ** 2).sum(1))
-            best = np.lexsort((ids[near], far))[:k]
-            yield np.full(len(best), q_id[row]), ids[near][best], far[best]
+            near = near[np.lexsort((ids[near], -own[near]))][:rerank]
+            yield np.full(len(near), q_id[row]), rows[near], own[near]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RERANK, eta: float = ETA, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _measure(batches):
+    """The distance of each candidate's vector to its query's, in double precision."""
+    for b in batches:
+        columns = [b.column(c).combine_chunks() if isinstance(b.column(c), pa.ChunkedArray) else b.column(c) for c in ("q", "v")]
+        q, v = (c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1) for c in columns)
+        far = np.sqrt(((v - q) ** 2).sum(1))
+        yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("vec_id"), pa.array(far)], names=["query_id", "vec_id", "score"])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RERANK, rerank_all: int = RERANK_ALL, eta: float = ETA, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): of each query its k nearest vectors by Euclidean distance, its own id left out.
 
     Least distance is greatest q.x - |x|^2 / 2, an inner product once half the squared norm is kept beside the codes. The
-    codebooks are fitted on SAMPLE rows; every row is encoded. Blocks of codes meet groups of queries, so that each pair
-    of them is one bounded task; within it a table of sixteen entries a subspace scores all rows, and the best are
-    measured exactly on the original vectors, in double precision; ties go to the smaller vec_id.
+    codebooks are fitted on SAMPLE rows; every row is encoded. Blocks of codes, without their vectors, meet groups of
+    queries, so that each pair of them is one bounded task; within it a table of sixteen entries a subspace scores all
+    rows. The best `rerank` of a block, and of these the best `rerank_all`, are joined to the original vectors and
+    measured exactly, in double precision; ties go to the smaller vec_id.
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids, nor vectors of
     another length than the most frequent; of queries with one id, the least vector asks; repeated candidate rows are
     all candidates; with fewer than k, all are returned; an empty table gives no rows; other columns are left out."""
@@ -139,7 +145,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = R
     dim, n = sizes["dim"], sizes["count"]
     all_v, all_q = all_v.where(F.size("v") == dim), all_q.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_q = all_q.count()
-    sample = all_v.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toArrow()
+    all_v = materialise(all_v.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    sample = all_v.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toArrow()
     books = fit(_pad(_matrix(sample.column("v"), dim).astype(np.float64)), eta)
     m = books.shape[0]
     blocks = max(1, -(-n // min(BLOCK_MOST, max(BLOCK_LEAST, n // 64))))
@@ -147,14 +154,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = R
 
     def index(batches):
         for b in batches:
-            x, ids = _matrix(b.column("v"), dim), b.column("vec_id").to_numpy().astype(np.int64)
+            x, ids, rows = _matrix(b.column("v"), dim), b.column("vec_id").to_numpy().astype(np.int64), b.column("row").to_numpy().astype(np.int64)
             for i in range(0, len(x), 8192):
-                part = x[i : i + 8192]
+                part, own = x[i : i + 8192], rows[i : i + 8192]
                 codes = encode(_pad(part.astype(np.float64)), books, eta)
                 codes = np.pad(codes, ((0, 0), (0, m % 2)))
                 packed = codes[:, ::2] | codes[:, 1::2] << 4
                 half = (part.astype(np.float64) ** 2).sum(1).astype(np.float32) / 2
-                yield scatter(ids[i : i + 8192].view(np.uint64), [ids[i : i + 8192], half, np.ascontiguousarray(packed).view(f"V{packed.shape[1]}").ravel(), part.view(f"V{4 * dim}").ravel()], blocks)
+                yield scatter(own.view(np.uint64), [own, ids[i : i + 8192], half, np.ascontiguousarray(packed).view(f"V{packed.shape[1]}").ravel()], blocks)
 
     def pack(batches):
         for b in batches:
@@ -167,21 +174,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = R
         rows = table.to_pydict()
         data = [p for p, a in zip(rows["payload"], rows["asks"]) if not a]
         asks = [p for p, a in zip(rows["payload"], rows["asks"]) if a]
-        ids, half, packed, x = gather(data, [np.dtype(np.int64), np.dtype(np.float32), np.dtype(f"V{half_m}"), np.dtype(f"V{4 * dim}")])
+        own, ids, half, packed = gather(data, [np.dtype(np.int64), np.dtype(np.int64), np.dtype(np.float32), np.dtype(f"V{half_m}")])
         q_ids, q = gather(asks, [np.dtype(np.int64), np.dtype(f"V{4 * dim}")])
         found = []
         if len(ids) and len(q_ids):
             packed = packed.view(np.uint8).reshape(-1, half_m)
             codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(packed), -1)[:, :m]
-            found = list(_scan(q_ids, q.view(np.float32).reshape(-1, dim), ids, codes, half, x.view(np.float32).reshape(-1, dim), books, k, rerank))
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-        return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
+            found = list(_scan(q_ids, q.view(np.float32).reshape(-1, dim), own, ids, codes, half, books, rerank))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.float32)]
+        return pa.table({"query_id": columns[0], "row": columns[1], "close": columns[2].astype(np.float64)})
 
     data = all_v.mapInArrow(lean(index), "bucket int, payload binary")
     data = data.select(F.col("bucket").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(False).alias("asks"), "payload")
     asks = all_q.mapInArrow(lean(pack), "bucket int, payload binary")
     asks = asks.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("bucket").alias("grp"), F.lit(True).alias("asks"), "payload")
-    near = data.unionByName(asks).groupBy("block", "grp").applyInArrow(search, "query_id long, vec_id long, score double")
+    near = data.unionByName(asks).groupBy("block", "grp").applyInArrow(search, "query_id long, row long, close double")
+    best = Window.partitionBy("query_id").orderBy(F.col("close").desc(), "row")
+    near = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= rerank_all).select("query_id", "row")
+    near = near.join(all_v, "row").join(all_q.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    near = near.select("query_id", "vec_id", "q", "v").mapInArrow(lean(_measure), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
