@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, buffers, chunks, documents, gather, lean, mix64, prefix_hash, scatter, small_batches, stream
+from .common import SPACE, buffers, chunks, documents, gather, lean, materialise, mix64, prefix_hash, scatter, small_batches, stream, unused
 
 #: The gear hash sums a random number for each of the last 16 bytes, doubled once a byte; a byte whose hash is below the
 #: limit ends a chunk, one in `MEAN`.
@@ -19,6 +19,8 @@ LEAST_WORDS = 30
 #: Bytes of text whose chunks share a bucket, on average: 400,000 chunks, 12 MB, whatever the table and the cluster hold.
 BUCKET_BYTES = 8 << 20
 _KINDS = [np.dtype(np.uint64), np.dtype(np.int64), np.dtype(np.uint32), np.dtype(np.uint32), np.dtype(np.uint16)]
+#: Places of one digest, of 26 bytes each, that may meet in one task.
+HOT_PLACES = 1 << 20
 
 
 def cuts(seg: np.ndarray, starts: np.ndarray, mean: int = MEAN) -> np.ndarray:
@@ -32,6 +34,14 @@ def cuts(seg: np.ndarray, starts: np.ndarray, mean: int = MEAN) -> np.ndarray:
         more[width:] = h[:-width] << np.uint32(width)
         h = h + more
         width *= 2
+    # A text's first bytes have fewer before them; what stands before the text, in whatever batch, doesn't count.
+    at, own = starts.astype(np.int64), np.zeros(len(starts), np.uint32)
+    ends = np.append(starts[1:], len(seg))
+    for k in range(WINDOW - 1):
+        here = at + k < ends
+        at, ends, own = at[here], ends[here], own[here]
+        own = (own << np.uint32(1)) + _GEAR[seg[at + k]]
+        h[at + k] = own
     low = h * np.uint32(0x9E3779B1) < np.uint32((1 << 32) // mean)
     return np.unique(np.concatenate([np.flatnonzero(low) + 1, starts[starts > 0], [len(seg)]]))
 
@@ -61,7 +71,9 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, mean: int = MEAN, i
     row make passages of `least_words` or more. `spans` lists start:end in bytes of UTF-8; `removed` the parts of them,
     again of `least_words` or more, whose chunks all have an earlier place, which dedup takes out; first_doc_id is the smallest id among
     the first places of its chunks. Documents without such a passage aren't returned.
-    A frequent digest weighs as its places do, and pairs of places are never formed. Null texts hold no passage, nor do
+    Pairs of places are never formed. A digest of more than HOT_PLACES places would fill its task: where texts are long
+    enough for one, digests are counted first, partition by partition, and the few that are so frequent are told to all
+    tasks with their first places, so their chunks go to their documents at once. Null texts hold no passage, nor do
     null ids; of repeated rows with one id, equal places count once, so rows that repeat an id and its text hold nothing
     new; other columns are left out; an empty table gives no rows."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
@@ -69,12 +81,84 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, mean: int = MEAN, i
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
 
+    def count(batches):
+        """Digests of a partition's chunks with their numbers, combined now and then."""
+        held, size = [], 0
+
+        def dealt():
+            digest, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            return digest, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+
+        for b in batches:
+            data, at = buffers(b.column("text"))
+            with np.errstate(over="ignore"):
+                for i, j in chunks(at):
+                    digest = chunk_table(data, at, i, j, mean)[1]
+                    held.append((digest, np.ones(len(digest), np.int64)))
+                    size += len(digest)
+                    if size >= 1_000_000:
+                        yield scatter(*(lambda d, n: (d, [d, n]))(*dealt()), buckets)
+                        held, size = [], 0
+        if size:
+            yield scatter(*(lambda d, n: (d, [d, n]))(*dealt()), buckets)
+
+    def frequent(table: pa.Table) -> pa.Table:
+        digest, n = gather(table.column("payload").to_pylist(), [np.dtype(np.uint64), np.dtype(np.int64)])
+        digest, at = np.unique(digest, return_inverse=True)
+        return pa.table({"digest": digest[np.bincount(at, n) > HOT_PLACES].view(np.int64)})
+
+    def first_places(batches):
+        """Of each hot digest a partition's first and last place."""
+        held = {}
+        for b in batches:
+            ids = b.column("doc_id").to_numpy()
+            data, at = buffers(b.column("text"))
+            with np.errstate(over="ignore"):
+                for i, j in chunks(at):
+                    doc, digest, start, _, _ = chunk_table(data, at, i, j, mean)
+                    for k in np.flatnonzero(np.isin(digest, hot)).tolist():
+                        place = (int(ids[i + doc[k]]), int(start[k]))
+                        low, high = held.get(int(digest[k]), (place, place))
+                        held[int(digest[k])] = min(low, place), max(high, place)
+        if held:
+            columns = [np.array(list(held), np.uint64).view(np.int64), *np.array([a + b for a, b in held.values()], np.int64).T]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["digest", "doc", "start", "last_doc", "last_start"])
+
+    hot, hot_doc, hot_start, hot_alone = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    if size > HOT_PLACES:
+        found = texts.mapInArrow(lean(count), "bucket int, payload binary").groupBy("bucket").applyInArrow(frequent, "digest long")
+        # At most the number of chunks over HOT_PLACES.
+        hot = np.sort(np.array([r["digest"] for r in found.collect()], np.int64).view(np.uint64))
+        if len(hot):
+            first = texts.mapInArrow(lean(first_places), "digest long, doc long, start long, last_doc long, last_start long")
+            first = first.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("low"), F.max(F.struct("last_doc", "last_start")).alias("high"))
+            rows = {np.int64(r["digest"]).view(np.uint64): (*r["low"], tuple(r["low"]) == tuple(r["high"])) for r in first.collect()}
+            hot_doc, hot_start = (np.array([rows[d][k] for d in hot], np.int64) for k in (0, 1))
+            # One place that repeated rows hold over and over is no repeat.
+            hot_alone = np.array([rows[d][2] for d in hot], bool)
+
     def cut(batches):
         held, size = [], 0
 
         def dealt():
             columns = [np.concatenate(c) for c in zip(*held)]
-            return scatter(columns[0], columns, buckets)
+            own = np.minimum(np.searchsorted(hot, columns[0]), max(len(hot) - 1, 0))
+            known = hot[own] == columns[0] if len(hot) else np.zeros(len(columns[0]), bool)
+            if known.any():
+                again = known.copy()
+                again[known] = ~hot_alone[own[known]]
+                digest, doc, start, length, words = (c[again] for c in columns)
+                place = own[again]
+                keep = (hot_doc[place] == doc) & (hot_start[place] == start)
+                flags = words.astype(np.uint32) << np.uint32(1) | keep
+                if len(doc):
+                    yield told(scatter(mix64(doc.view(np.uint64)), [doc, hot_doc[place], start, length, flags.astype(np.uint32)], buckets), True)
+                columns = [c[~known] for c in columns]
+            if len(columns[0]):
+                yield told(scatter(columns[0], columns, buckets), False)
+
+        def told(batch, hot):
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, hot))], names=["bucket", "payload", "hot"])
 
         for b in batches:
             ids = b.column("doc_id").to_numpy()
@@ -85,10 +169,10 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, mean: int = MEAN, i
                     held.append([digest, ids[i + doc], start, length, words])
                     size += len(digest)
                     if size >= 1_000_000:
-                        yield dealt()
+                        yield from dealt()
                         held, size = [], 0
         if size:
-            yield dealt()
+            yield from dealt()
 
     def match(table: pa.Table) -> pa.Table:
         digest, doc, start, length, words = gather(table.column("payload").to_pylist(), _KINDS)
@@ -112,8 +196,11 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, mean: int = MEAN, i
     def join(table: pa.Table) -> pa.Table:
         kinds = [np.dtype(np.int64), np.dtype(np.int64)] + [np.dtype(np.uint32)] * 3
         doc, first, start, length, flags = gather(table.column("payload").to_pylist(), kinds)
-        order = np.lexsort((start, doc))
-        doc, first, start, length, flags = (x[order] for x in (doc, first, start.astype(np.int64), length.astype(np.int64), flags.astype(np.int64)))
+        order = np.lexsort((flags, first, length, start, doc))
+        columns = [x[order].astype(np.int64) for x in (doc, first, start, length, flags)]
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+        doc, first, start, length, flags = (x[new] for x in columns)
         end, words, keep = start + length, flags >> 1, (flags & 1).astype(bool)
 
         def passages(own):
@@ -138,7 +225,12 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, mean: int = MEAN, i
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, [pa.int64()] * 5 + [pa.string()] * 2)], names=["doc_id", "n_passages", "repeated_bytes", "removed_bytes", "first_doc_id", "spans", "removed"])
 
     blob = "bucket int, payload binary"
-    again = texts.mapInArrow(lean(cut), blob).groupBy("bucket").applyInArrow(match, blob)
+    dealt_out = texts.mapInArrow(lean(cut), f"{blob}, hot boolean")
+    if len(hot):
+        dealt_out = materialise(dealt_out, "chunks")
+    again = dealt_out.where("not hot").select("bucket", "payload").groupBy("bucket").applyInArrow(match, blob)
+    if len(hot):
+        again = again.unionByName(dealt_out.where("hot").select("bucket", "payload"))
     schema = "doc_id long, n_passages long, repeated_bytes long, removed_bytes long, first_doc_id long, spans string, removed string"
     return again.groupBy("bucket").applyInArrow(join, schema)
 
@@ -146,15 +238,18 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, mean: int = MEAN, i
 def dedup_substrings(docs: DataFrame, **options) -> DataFrame:
     """docs with the repeated passages cut from `text`, but for their first places; all other columns and rows stay.
 
-    Cut texts are decoded again with stray bytes of a split character dropped."""
-    found = repeats(docs, **options).where("removed <> ''").select(F.col("doc_id").alias("rep_id"), F.col("removed").alias("rep_spans"))
+    Cut texts are decoded again with stray bytes of a split character dropped. Null and empty texts, rows without an id
+    and texts without a repeat stay as they are; rows that repeat an id are cut alike, at the places told for the id, so
+    ids should name one text; columns may have any names; an empty table stays empty."""
     id_col = options.get("id_col", "doc_id")
-    joined = docs.join(found, docs[id_col].cast("long") == F.col("rep_id"), "left").drop("rep_id")
+    own, spans_col = unused(docs, "rep_id"), unused(docs, "rep_spans")
+    found = repeats(docs, **options).where("removed <> ''").select(F.col("doc_id").alias(own), F.col("removed").alias(spans_col))
+    joined = docs.join(found, F.col(id_col).cast("long") == F.col(own), "left").drop(own)
 
     def apply(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
-            for i, spans in enumerate(b.column("rep_spans").to_pylist()):
+            for i, spans in enumerate(b.column(spans_col).to_pylist()):
                 if spans and texts[i] is not None:
                     raw, at, out = texts[i].encode(), 0, []
                     for s in spans.split(","):
@@ -163,7 +258,7 @@ def dedup_substrings(docs: DataFrame, **options) -> DataFrame:
                         at = hi
                     texts[i] = b"".join([*out, raw[at:]]).decode(errors="ignore")
             b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-            yield b.drop_columns(["rep_spans"])
+            yield b.drop_columns([spans_col])
 
     return joined.mapInArrow(lean(apply), docs.schema)
 
