@@ -33,8 +33,10 @@ BANDS = (
     (65536, 0.37, 0.60),
     (1 << 62, 0.35, 0.60),
 )
-#: The same for a chunk, and the share of chunks that may lie outside.
-PART_BAND, PART_SHARE = (0.42, 0.75), 0.5
+#: The same for a chunk, and the share of chunks that may lie outside: those of clean texts of sf0.1 keep below a tenth.
+PART_BAND, PART_SHARE = (0.42, 0.75), 0.125
+#: The least size of a text's last chunk that is judged: shorter ones don't compress well, whatever they hold.
+LEAST_PART = 1024
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
@@ -88,13 +90,14 @@ def base_counts(data: np.ndarray, at: np.ndarray, a: int, b: int) -> list[np.nda
 
 
 def ratios(texts: Iterable[memoryview], level: int = LEVEL, part: int = PART) -> tuple[list[float], list[list[float]]]:
-    """Of each text: compressed over raw size of the whole, and of each full chunk of `part` bytes."""
+    """Of each text: compressed over raw size of the whole, and of each chunk of `part` bytes, the last one too if it isn't short."""
     compress = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False).compress
     whole, parts = [], []
     for t in texts:
         n = len(t)
         whole.append(len(compress(t)) / n if n else 0.0)
-        parts.append([len(compress(t[i : i + part])) / part for i in range(0, n - part + 1, part)] if n >= 2 * part else [])
+        cuts = range(0, n, part) if n >= 2 * part else ()
+        parts.append([len(compress(t[i : i + part])) / min(part, n - i) for i in cuts if n - i >= LEAST_PART])
     return whole, parts
 
 
