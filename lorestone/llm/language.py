@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +14,9 @@ from .common import documents, lean, small_batches
 
 #: Ranks in a profile, and the longest n-gram.
 RANKS, ORDER = 400, 3
-#: Letters have codes of 10 bits: those up to U+024F their own, others one of 430 slots by remainder. 0 is the space.
-SLOT, SLOTS = 592, 430
+#: Bits of a character in an n-gram: its code point and one, so that three fit 63 bits and none is 0.
+BITS = 21
+SPACE = 33
 UNKNOWN = "und"
 #: A profile's n-grams are collected for so many languages at most; more labels than this are no languages.
 MOST_LANGUAGES = 2000
@@ -22,29 +24,38 @@ MOST_LANGUAGES = 2000
 #: sizes with too few labelled rows go by all of them, and where those are too few too, LEAST_SCORE is all that is asked.
 LOW, SLACK, ENOUGH = 0.01, 0.85, 200
 LEAST_SCORE = 0.1
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: What is neither letter nor mark: of Latin-1 text, the classes of the standard library tell it but for a few numbers;
+#: of other text, the categories of Unicode do.
+_LATIN_REST = re.compile(r"[\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+")
+_REST, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
+
+
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def codes(text: str) -> np.ndarray:
-    """Lower-case letters of a text as codes, each run of other characters as one space, a space at either end."""
-    text = f" {_NOT_LETTERS.sub(' ', text.lower()).strip()} "
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
-    c = np.where(c < SLOT, c, SLOT + c % SLOTS)
-    c[c == 32] = 0
-    return c
+    """Lower-case letters of a text, with their marks, as codes; each run of other characters as one space, a space at
+    either end. Nothing, if the text has no letter."""
+    latin = _is_latin(text)
+    if not latin and not _LETTER.search(text):
+        return np.zeros(0, np.uint64)
+    text = (_LATIN_REST if latin else _REST).sub(" ", text.lower()).strip()
+    return np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1) if text else np.zeros(0, np.uint64)
 
 
 def grams(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of up to three codes, packed with their length, and their counts. Spaces alone don't count."""
-    parts = [c[c > 0]]
-    if len(c) > 1:
-        parts.append((c[:-1] << 10) | c[1:])
-    if len(c) > 2:
-        t = (c[:-2] << 20) | (c[1:-1] << 10) | c[2:]
-        parts.append(t)
-    g = np.concatenate([(p.astype(np.uint32) | np.uint32(k << 30)) for k, p in zip((1, 2, 3), parts)])
+    """Distinct n-grams of up to three codes, packed, and their counts. Spaces alone don't count."""
+    one, two = np.uint64(BITS), np.uint64(2 * BITS)
+    g = np.concatenate([c[c != SPACE], (c[:-1] << one) | c[1:], (c[:-2] << two) | (c[1:-1] << one) | c[2:]])
     g.sort()
-    cut = np.flatnonzero(np.diff(g, prepend=np.uint32(0)))
+    cut = np.flatnonzero(np.diff(g, prepend=np.uint64(0)))
     return g[cut], np.diff(np.append(cut, len(g)))
 
 
@@ -71,7 +82,10 @@ def _count(batches):
     size = 0
     for b in batches:
         for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
-            g, n = grams(codes(text))
+            c = codes(text)
+            if not len(c):
+                continue
+            g, n = grams(c)
             held.setdefault(lang, []).append((g, n))
             size += len(g)
             if size > 4_000_000:
@@ -109,12 +123,13 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], ranks: int = RANKS)
     A text's most frequent n-grams, ranked, are compared with each profile: the sum of how far each is out of place,
     `ranks` for those a profile lacks. The least distance wins, ties by name; the score is one less the distance over
     the greatest there could be. Texts that are null or hold no letter are `und` with score 0, as is every text where
-    nothing was learned."""
+    nothing was learned; texts are taken whole, whatever their length; repeated rows are judged each, other columns
+    stay, and an empty table gives no rows."""
     names = sorted(profiles)
-    vocabulary = np.unique(np.array([g for p in profiles.values() for g in p], np.uint32))
+    vocabulary = np.unique(np.array([g for p in profiles.values() for g in p], np.uint64))
     table = np.full((len(vocabulary) + 1, len(names)), -1, np.int32)
     for k, name in enumerate(names):
-        table[np.searchsorted(vocabulary, np.array(profiles[name], np.uint32)), k] = np.arange(len(profiles[name]))
+        table[np.searchsorted(vocabulary, np.array(profiles[name], np.uint64)), k] = np.arange(len(profiles[name]))
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "lang_score")
 
@@ -122,7 +137,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], ranks: int = RANKS)
         if text is None or not names:
             return UNKNOWN, 0.0
         c = codes(text)
-        if not c.any():
+        if not len(c):
             return UNKNOWN, 0.0
         g = ranked(*grams(c), ranks)
         at = np.minimum(np.searchsorted(vocabulary, g), len(vocabulary) - 1)
@@ -148,7 +163,8 @@ def size_class() -> Column:
 
 
 def least_score(scored: DataFrame) -> Column:
-    """The score asked of a row of `scored` (lang, lang_pred, lang_score, and lang_size by size_class), told from its rows with a label."""
+    """The score asked of a row of `scored` (lang, lang_pred, lang_score, and lang_size by size_class), told from its rows
+    with a label."""
     known = scored.where(F.col("lang").isNotNull() & (F.col("lang_pred") != UNKNOWN))
     stats = [F.count("*").alias("n"), F.percentile_approx("lang_score", LOW, 10_000).alias("low")]
     asked = lambda r: max(LEAST_SCORE, SLACK * r["low"]) if r["n"] >= ENOUGH else None
