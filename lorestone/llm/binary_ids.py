@@ -17,13 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, gathered, lean, partitions, scratch, small_batches
-from .tokens import SLICE, encoded, encoder, public_path
+from .tokens import SLICE, encoded, encoder, id_dtype, public_path
 
 MAGIC = b"DAC1"
 BITS = 8
 END_ID = 2
 #: Ids in a shard, at least; a document is never split over shards.
 SHARD_IDS = 1 << 20
+#: Up to so many shards, 24 bytes each, their starts are sent to every executor, and no block moves; beyond, the join
+#: shuffles.
+BROADCAST_SHARDS = 100_000
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -91,6 +94,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     Rows that share an id, even with one text, are spread over ranges. Null and empty texts are the end id alone;
     repeated rows are kept; an empty table gives no shards."""
     small_batches(docs.sparkSession)
+    dtype = id_dtype(tokenizer)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
     docs = docs.select(F.col("doc_id").isNotNull().cast("int").alias("given"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"), "text")
     bounds = range_bounds(docs, partitions(docs.sparkSession))
@@ -104,7 +108,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
                 yield pa.RecordBatch.from_arrays([pa.array(places[i:j], pa.int32()), *own, ids.cast(pa.binary())], names=["range", "given", "doc_id", "h", "row", "ids"])
 
     def shards(batches):
-        dtype, part, place = encoder(tokenizer).dtype, TaskContext.get().partitionId(), 0
+        part, place = TaskContext.get().partitionId(), 0
         end, held, total = np.array([end_id], dtype).tobytes(), [], 0
 
         def shard():
@@ -142,7 +146,10 @@ def shard_starts(shards: DataFrame) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = slim.select("part", "place", inside.alias("inside")).join(parts, "part")
-    return shards.join(starts.select("part", "place", (F.col("before") + F.col("inside")).alias("start")), ["part", "place"])
+    starts = starts.select("part", "place", (F.col("before") + F.col("inside")).alias("start"))
+    if shards.select("part").limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS:
+        starts = F.broadcast(starts)
+    return shards.join(starts, ["part", "place"])
 
 
 def read_ids(shards: DataFrame) -> DataFrame:

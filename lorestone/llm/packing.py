@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, buffers, chunks, documents, gathered, lean, materialise, stream
-from .tokens import SLICE, encoded, encoder, public_path
+from .tokens import SLICE, encoded, encoder, id_dtype, public_path
 
 LENGTH = 1024
 END_ID = 0
@@ -121,6 +121,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
     over `length` ids spans several sequences; repeated rows are packed each; a null id stays null; other columns are
     left out; an empty table gives no rows."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+    dtype = id_dtype(tokenizer)
 
     def keyed(batches):
         from_text = encoder(tokenizer)
@@ -131,17 +132,16 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(i, j - i), keys, ids.cast(pa.binary())], names=["doc_id", "pack_key", "ids"])
 
     def cut(batches):
-        dtype = encoder(tokenizer).dtype
         end = np.array([end_id], dtype)
         seqs = Sequences(length, TaskContext.get().partitionId() << 40)
         for b in batches:
             for doc_id, raw in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
                 seqs.add(doc_id, np.concatenate([np.frombuffer(raw, dtype), end]))
-            yield lean(seqs.drain())
+            yield slim(seqs.drain())
         seqs.finish()
-        yield lean(seqs.drain())
+        yield slim(seqs.drain())
 
-    def lean(batch):
+    def slim(batch):
         return batch if with_ids else batch.drop_columns(["ids"])
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")

@@ -25,7 +25,7 @@ _UNSURE = re.compile("[\x00\x1c-\x1f]")
 #: Pieces remembered by each Python worker, as Arrow arrays: about 25 MB.
 REMEMBER = 600_000
 #: Bytes of text whose distinct pieces are looked up at once.
-SLICE = 12 << 20
+SLICE = 6 << 20
 #: What the files' pre-tokenizers cut pieces of Latin-1 letters, marks and digits into, by whether white space is dropped.
 #: Other scripts are cut by the pre-tokenizers themselves.
 _CUT = {
@@ -64,7 +64,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
-        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.dtype = id_dtype(path)
         self.width = self.dtype.itemsize
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -218,6 +218,16 @@ class Encoder:
         return self.encode_column(pa.array(texts, pa.large_string())).to_pylist()
 
 
+@lru_cache(maxsize=4)
+def id_dtype(path: str) -> np.dtype:
+    """The dtype of an encoder's ids, told from its file alone."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    vocabulary, added = data["model"]["vocab"], [x["id"] for x in data.get("added_tokens") or ()]
+    last = max(vocabulary.values()) if isinstance(vocabulary, dict) else len(vocabulary) - 1
+    return np.dtype("<u2" if max([last, *added]) < 1 << 16 else "<u4")
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One for each worker process and file."""
