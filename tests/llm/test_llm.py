@@ -359,14 +359,15 @@ def test_private_patterns(spark, empty):
 
 def test_disclosing_terms(spark):
     """A word that only stands beside one address is a span; words that stand elsewhere too aren't."""
-    data = [(i, f"write to boss@corp.example about projectzeta and common things{i}\nmore common lines") for i in range(6)]
-    data += [(10 + i, f"common talk about things and lines number{i} to write more") for i in range(60)]
+    r = random.Random(31)
+    data = [(i, f"{prose(r, 40)} write to boss@corp.example about projectzeta and common {prose(r, 20)}\nmore common lines") for i in range(6)]
+    data += [(10 + i, f"common talk about things and lines {prose(r, 60)} to write more") for i in range(600)]
     df = spark.createDataFrame(data, "doc_id long, text string")
     found = {r["doc_id"]: [s["value"] for s in r["pii"]] for r in privacy.find_private(df).collect()}
     assert all(found[i] == ["boss@corp.example", "projectzeta"] for i in range(6))
-    assert not any(found[10 + i] for i in range(60))
+    assert not any(found[10 + i] for i in range(600))
     clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(df).collect()}
-    assert clean[0] == "write to [EMAIL] about [TERM] and common things0\nmore common lines"
+    assert clean[0] == data[0][1].replace("boss@corp.example", "[EMAIL]").replace("projectzeta", "[TERM]")
     assert clean[10] == data[6][1]
 
 
@@ -380,26 +381,97 @@ def test_phones_with_many_separators(spark, tmp_path):
 
 def test_told_terms_go_everywhere(spark):
     """A term told by some documents is a span in others too, where its entity is absent."""
-    data = [(i, f"write to boss@corp.example about projectzeta and common things{i}") for i in range(6)]
-    data += [(10 + i, f"common talk about things and projectzeta number{i} to write") for i in range(3)]
-    data += [(20 + i, f"common talk about things and lines number{i} to write") for i in range(600)]
+    r = random.Random(32)
+    data = [(i, f"{prose(r, 40)} write to boss@corp.example about projectzeta and common {prose(r, 20)}") for i in range(12)]
+    data += [(14 + i, f"common talk about things and projectzeta {prose(r, 60)} to write") for i in range(3)]
+    data += [(20 + i, f"common talk about things and lines {prose(r, 60)} to write") for i in range(600)]
     df = spark.createDataFrame(data, "doc_id long, text string")
     found = {r["doc_id"]: [s["value"] for s in r["pii"]] for r in privacy.find_private(df).collect()}
-    assert all(found[i] == ["boss@corp.example", "projectzeta"] for i in range(6))
-    assert all(found[10 + i] == ["projectzeta"] for i in range(3))
+    assert all(found[i] == ["boss@corp.example", "projectzeta"] for i in range(12))
+    assert all(found[14 + i] == ["projectzeta"] for i in range(3))
     assert not any(found[20 + i] for i in range(600))
 
 
 def test_terms_of_any_shape_and_line(spark):
     """Names, ids and words with a backslash are told from other lines of the document than the entity's."""
     told = ["Ana", "EMP-48213", r"CORP\ana", r"a\Eb", "李明", "@ana", "(x|y)+?", "ana"]
-    data = [(i, f"things{i} from " + " ".join(told) + "\nsome lines to talk about\nana@corp.example") for i in range(6)]
-    data += [(20 + i, f"some lines from number{i} to talk about 12 34") for i in range(600)]
+    r = random.Random(33)
+    data = [(i, f"{prose(r, 60)} from " + " ".join(told) + f"\nsome lines to talk about\nana@corp.example {prose(r, 9)}") for i in range(12)]
+    data += [(20 + i, f"some lines from {prose(r, 60)} to talk about 12 34") for i in range(600)]
     found = {r["doc_id"]: [(s["kind"], s["value"]) for s in r["pii"]] for r in privacy.find_private(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    assert all(found[i] == [("email", "ana@corp.example")] + [("term", t) for t in told] for i in range(6))
+    assert all(found[i] == [("email", "ana@corp.example")] + [("term", t) for t in told] for i in range(12))
     assert not any(found[20 + i] for i in range(600))
 
 
+def test_copies_are_one_piece_of_evidence(spark):
+    """A text that was copied, with an address and words that stand nowhere else, tells nothing of those words."""
+    r = random.Random(34)
+    text = f"{' '.join(f'copied{k}' for k in range(60))} beside boss@corp.example and {' '.join(f'tail{k}' for k in range(60))}".split()
+    data = []
+    for i in range(40):
+        w = list(text)
+        w[r.choice([59, 62])] = f"edit{i % 5}"
+        data.append((i, " ".join(w)))
+    data += [(100 + i, prose(r, 60)) for i in range(400)]
+    found = privacy.find_private(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {s["kind"] for r in found for s in r["pii"]} == {"email"}
+
+
+def test_credentials_and_what_goes_with_them(spark):
+    r = random.Random(35)
+    data = [(i, f"{prose(r, 50)}\nservicekey follows: token = \"{i:04x}{'0f' * 16}\" end{i}") for i in range(8)]
+    data += [(10, "password=hunter2hunter"), (11, "AKIA" + "Q" * 16), (12, "a token = unit of text; the password: is secret"), (13, "token: everything")]
+    data += [(100 + i, f"{prose(r, 50)} follows another line, and so on to the end of it") for i in range(300)]
+    found = {r["doc_id"]: {(s["kind"], s["value"]) for s in r["pii"]} for r in privacy.find_private(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for i in range(8):
+        assert {k for k, _ in found[i]} == {"secret", "term"}
+        assert ("term", "servicekey") in found[i]
+    assert [k for k, _ in found[10] | found[11]] == ["secret", "secret"]
+    assert not any(k == "secret" for i in (12, 13) for k, _ in found[i])
+    assert not any(found[i] for i in found if i >= 100)
+
+
+def test_information_by_brute_force(spark, monkeypatch):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    texts = []
+    for _ in range(300):
+        t = [r.choice(words) for _ in range(r.randint(3, 12))]
+        if r.random() < 0.3:
+            t.insert(r.randrange(len(t)), f"m{r.randint(0, 9)}@d{r.randint(0, 1)}.example")
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    mail = re.compile(PLAIN["email"])
+    classes = [{k for m in mail.finditer(t) for k in ("email", "email:of:" + m.group().split("@")[1], "email:is:" + m.group())} for t in texts]
+    sets = [set(t.split()) for t in texts]
+    for limit in (privacy.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(privacy, "BROADCAST_BYTES", limit)
+        got = privacy.term_information(docs, 2).collect()
+        assert len(got) > 100
+        for x in got:
+            have, own = [x["class"] in c for c in classes], [x["term"] in s for s in sets]
+            both = [a and b for a, b in zip(have, own)]
+            assert (x["n_c"], x["n_t"], x["n_ct"], x["total"]) == (sum(have), sum(own), sum(both), 300)
+            if x["class"] == "email":
+                told = {m.group() for t, b in zip(texts, both) if b for m in mail.finditer(t)}
+                assert 2 <= x["evidence"] <= len(told)
+        asked = [F.lit(float(v)) for v in (20, 10, 8)]
+        row = docs.limit(1).select(privacy.information(*asked, F.lit(300)).alias("i"), privacy.surprise(*asked, F.lit(4), F.lit(300)).alias("s")).first()
+        assert abs(row["i"] - (1 - np.log(0.8) / np.log(20 / 300))) < 1e-12
+        assert abs(row["s"] - 5 * (0.8 * np.log(0.8 / (20 / 300)) + 0.2 * np.log(0.2 / (1 - 20 / 300)))) < 1e-9
+
+
+def test_told_terms_by_either_path(spark, monkeypatch):
+    r = random.Random(36)
+    data = [(i, f"{prose(r, 50)} write to boss@corp.example about projectzeta and common {prose(r, 9)}") for i in range(6)]
+    data += [(20 + i, f"common talk about things and lines {prose(r, 50)} to write") for i in range(300)] + [(1500, None), (1501, ""), (1502, "projectzeta projectzeta")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = sorted(map(str, privacy.find_private(df).collect()))
+    monkeypatch.setattr(privacy, "AT_HAND", 0)
+    assert sorted(map(str, privacy.find_private(df).collect())) == want
+    assert sum("kind='term'" in w for w in want) == 7
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
