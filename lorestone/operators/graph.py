@@ -63,23 +63,26 @@ def walk(graph: DataFrame, start: DataFrame, hops: int, relation: str | None = N
     relation at every hop. A walk that has `most` nodes goes no further. The links are written once and each frontier
     once, so no hop plans those before it again; a small frontier is sent to the links, so these aren't shuffled."""
     check_walk(relation, hops)
-    links = materialise(both_ways(graph if not relation else graph.where(F.col("relation") == relation)), "walk-links")
-    frontier = found = None
-    seen = start.select("query_id", "node")
+    links = materialise(both_ways(graph if not relation else graph.where(F.col("relation") == relation)).select("node", "other", "dir").distinct(), "walk-links")
+    per = Window.partitionBy("query_id")
+    # Parents are numbered in the order of their paths, so the least one is found by comparing numbers.
+    numbered = lambda df: materialise(df.withColumn("ord", F.row_number().over(per.orderBy("path")).cast("long")), "walk-frontier")
+    frontier = numbered(start.select("query_id", "node", F.array("node").alias("path")).distinct())
+    seen, found = frontier.select("query_id", "node"), None
     for depth in range(1, hops + 1):
-        if frontier is None:
-            frontier = materialise(start.select("query_id", "node", F.array("node").alias("path")).distinct(), "walk-frontier")
-        step = small(frontier).join(links, "node").select("query_id", F.col("other").alias("node"), "path", "dir").join(seen, ["query_id", "node"], "left_anti")
-        best = step.groupBy("query_id", "node").agg(F.min(F.struct("path", "dir")).alias("best"))
-        reached = best.select("query_id", "node", F.lit(depth).alias("depth"), F.concat("best.path", F.array("node")).alias("path"))
+        parents = small(frontier.select("query_id", "node", "ord"))
+        step = parents.join(links, "node").groupBy("query_id", F.col("other").alias("node")).agg(F.min(F.col("ord") * 2 + F.col("dir")).alias("via"))
+        step = step.join(seen, ["query_id", "node"], "left_anti")
+        # Of a level that is more than is asked for, what comes first will do: its walk ends here.
+        step = step.withColumn("n", F.row_number().over(per.orderBy("node"))).where(F.col("n") <= most).select("query_id", "node", F.floor(F.col("via") / 2).alias("ord"))
+        reached = step.join(frontier.select("query_id", "ord", "path"), ["query_id", "ord"]).select("query_id", "node", F.lit(depth).alias("depth"), F.concat("path", F.array("node")).alias("path"))
         if depth < hops:
             reached = materialise(reached, "walk-reached")
             seen = seen.unionByName(reached.select("query_id", "node"))
             full = (found.unionByName(reached) if found else reached).groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= most)
-            frontier = reached.join(full, "query_id", "left_anti").select("query_id", "node", "path")
+            frontier = numbered(reached.join(full, "query_id", "left_anti").select("query_id", "node", "path"))
         found = found.unionByName(reached) if found else reached
-    order = Window.partitionBy("query_id").orderBy("depth", "node")
-    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
+    return found.withColumn("n", F.row_number().over(per.orderBy("depth", "node"))).where(F.col("n") <= most).drop("n")
 
 
 def starts(requests: DataFrame, entities: DataFrame) -> DataFrame:

@@ -197,12 +197,12 @@ def traverse_1hop(v: Views) -> DataFrame:
     return graph.walk(g, _start(v), 1, "rel_n").select("query_id", "node", "depth", F.array_join("path", ">").alias("path"))
 
 
-@query(_with([_STATE, _LINKS, f"d1 AS (SELECT s.query_id, l.other AS node, [s.node, l.other] AS path FROM {_START} s JOIN links l ON l.node = s.node GROUP BY ALL)",
- f"d2 AS (SELECT d.query_id, l.other AS node, min(list_append(d.path, l.other)) AS path FROM d1 d JOIN links l ON l.node = d.node WHERE (d.query_id, l.other) NOT IN (SELECT query_id, node FROM d1) AND (d.query_id, l.other) NOT IN (SELECT query_id, node FROM {_START}) GROUP BY 1, 2)"],
+@query(_with([_STATE, _LINKS, f"d1 AS (SELECT s.query_id, l.other AS node, [s.node, l.other] AS path FROM {_START} s JOIN links l ON l.node = s.node WHERE l.relation = 'rel_r' GROUP BY ALL)",
+ f"d2 AS (SELECT d.query_id, l.other AS node, min(list_append(d.path, l.other)) AS path FROM d1 d JOIN links l ON l.node = d.node WHERE l.relation = 'rel_r' AND (d.query_id, l.other) NOT IN (SELECT query_id, node FROM d1) AND (d.query_id, l.other) NOT IN (SELECT query_id, node FROM {_START}) GROUP BY 1, 2)"],
  "SELECT query_id, node, depth, array_to_string(path, '>') AS path FROM (SELECT query_id, node, 1 AS depth, path FROM d1 UNION ALL SELECT query_id, node, 2, path FROM d2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY depth, node) <= 100"))
 def traverse_bfs(v: Views) -> DataFrame:
     g = graph.graph_state(v.edges(), as_of())
-    return graph.walk(g, _start(v), 2).select("query_id", "node", "depth", F.array_join("path", ">").alias("path"))
+    return graph.walk(g, _start(v), 2, "rel_r").select("query_id", "node", "depth", F.array_join("path", ">").alias("path"))
 
 
 @query(sql(f"""SELECT nid, relation, max(updated_at) AS ts, min(edge_id) AS ek FROM (SELECT dst_id AS nid, * FROM edges WHERE src_id IN ('s1', 's2') UNION ALL SELECT src_id AS nid, * FROM edges WHERE dst_id IN ('s1', 's2'))
