@@ -220,10 +220,7 @@ def split_join(rows: DataFrame, small: DataFrame, key: str, sizes: DataFrame, co
     Rows of hot keys stay where they are and meet a broadcast copy: a key is hot from HOT_ROWS rows on, or from as many as
     leave HOT_KEYS hot keys at most, so the copy is bounded whatever the table. The rest is joined by key."""
     total = sizes.agg(F.sum(count)).first()[0] or 0
-    hot = sizes.where(F.col(count) >= max(HOT_ROWS, total // HOT_KEYS)).select(key)
-    if not hot.limit(1).count():
-        return rows.join(small, key)
-    hot = F.broadcast(hot)
+    hot = F.broadcast(sizes.where(F.col(count) >= max(HOT_ROWS, total // HOT_KEYS)).select(key))
     return rows.join(F.broadcast(small.join(hot, key, "left_semi")), key).unionByName(rows.join(hot, key, "left_anti").join(small, key))
 
 
