@@ -72,6 +72,7 @@ def test_rows_of_one_id_are_linked_each(spark):
 def test_many_large_nodes(spark, monkeypatch):
     """Pivots that are too many to be sent to all tasks meet parts of their nodes."""
     monkeypatch.setattr(minhash, "HEADS", 0)
+    monkeypatch.setattr(minhash, "CONFIRM_BYTES", 3000)
     monkeypatch.setattr(minhash, "NODE", 6)
     monkeypatch.setattr(minhash, "SALTS", 3)
     monkeypatch.setattr(common, "HOT_ROWS", 5)
