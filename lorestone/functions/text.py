@@ -58,6 +58,11 @@ def to_millis(c: Column) -> Column:
     return F.date_trunc("MILLISECOND", c)
 
 
+def rfc3339(c: Column) -> Column:
+    """A time as text, in UTC and to the second, as foreign graphs keep it."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def memory_context(note: str, row: Column) -> Column:
     """A result as JSON in a fenced block with a note."""
     return F.concat(F.lit(f"<memory-context>\n{note}\n"), F.to_json(row), F.lit("\n</memory-context>"))

@@ -11,7 +11,7 @@ from ..functions.proposals import parse_proposals, sanitize_proposals
 from ..operators import enrich, facts, graph, observations, similar, timeline
 from ..operators.versioned import FACT_KEY, keep_by_ttl, keyset_page, latest, valid_at, visible
 from ..scratch import materialise
-from ..sources.jsonl import FACT_LINES, OBSERVATION_LINES, parse_lines, resolve_facts
+from ..sources.jsonl import FACT_LINES, OBSERVATION_LINES, dry_run, parse_lines, resolve_facts
 from ..sources.schemas import ENTITIES
 from ..streaming.pipelines import uncovered_batch
 from .evalgate import recall
@@ -429,7 +429,7 @@ def ingest_rejects(v: Views) -> DataFrame:
     line = F.to_json(F.struct(F.lit("2024-01-01T00:00:00Z").alias("ts"), F.lit("alert").alias("kind"), F.lit("human").alias("actor_type"), F.lit("a").alias("actor_id"), F.col("source").alias("scope"), F.col("text").alias("content")))
     value = F.when(i < 2, line).when(i == 2, F.lit("{not json")).otherwise(F.lit("# comment"))
     good, bad = parse_lines(v.table("documents").select(value.alias("value")), OBSERVATION_LINES)
-    return good.select(F.lit("accepted").alias("outcome")).unionByName(bad.select(F.lit("rejected").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("n"))
+    return dry_run(good, bad)
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 2 END AS n, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'host' || p_partkey || '.example.com' END AS subject, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE least(1.0, p_size / 40.0)::DOUBLE END AS confidence FROM part")
@@ -531,7 +531,7 @@ def graph_rebuild(v: Views) -> DataFrame:
 def facet_edges(v: Views) -> DataFrame:
     """Edges whose facets are texts: some ends are no times, some beginnings are missing."""
     n = F.length("edge_id")
-    stamp = lambda c: F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    stamp = lambda c: text.rfc3339(F.col(c).cast("timestamp"))
     texts = v.edges().select("edge_id", "relation", F.when(n % 7 == 0, "").otherwise(stamp("valid_from")).alias("valid_from"), F.when(n % 5 == 0, "soon").otherwise(stamp("valid_to")).alias("valid_to"))
     return texts.where(graph.facet_ok(as_of().cast("timestamp"), "rel_r")).select("edge_id")
 
@@ -552,6 +552,55 @@ def ingest_facts(v: Views) -> DataFrame:
     return v.table("orders").select("o_orderkey").join(done, "o_orderkey", "left").select("o_orderkey", F.when(F.col("subject_id").isNull(), "rejected").otherwise("accepted").alias("outcome"), "subject_id")
 
 
+_UUID = r"regexp_replace(md5(doc_id::VARCHAR), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5')"
+
+
+@query(rf"SELECT doc_id, 'a ' || doc_id || chr(160) || 'b' AS trimmed, CASE WHEN doc_id % 5 < 4 THEN {_UUID} END AS id, substr(regexp_replace(coalesce(text, ''), '^[\s]+|[\s]+$', '', 'g'), 1, 120) AS reason, TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(doc_id) AS at, '2024-01-01T00:00:' || lpad((doc_id % 60)::VARCHAR, 2, '0') || 'Z' AS stamp FROM documents")
+def text_functions(v: Views) -> DataFrame:
+    """White space of all kinds at either end, ids in all their forms and a wrong one, reasons, and times to the millisecond."""
+    k = F.col("doc_id")
+    digits, plain = F.md5(k.cast("string")), F.regexp_replace(F.md5(k.cast("string")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    form = F.when(k % 5 == 0, F.concat(F.lit("{"), F.upper(plain), F.lit("}"))).when(k % 5 == 1, F.concat(F.lit("urn:uuid:"), plain)).when(k % 5 == 2, digits).when(k % 5 == 3, plain).otherwise(F.concat(digits, F.lit("0")))
+    told = F.concat(F.lit("\t\u00a0 a "), k.cast("string"), F.lit("\u00a0b\u2003\n"))
+    return v.table("documents").select(
+        "doc_id", text.trim(told).alias("trimmed"), text.canonical_uuid(form).alias("id"), text.reason(F.coalesce("text", F.lit(""))).alias("reason"),
+        text.to_millis(F.timestamp_millis(F.lit(1704067200000) + k) + F.make_interval(secs=F.lit("0.000007").cast("decimal(18,6)"))).cast("timestamp_ntz").alias("at"),
+        text.rfc3339(F.timestamp_seconds(F.lit(1704067200) + k % 60)).alias("stamp"),
+    )
+
+
+_SCOPED = "scoped AS (SELECT entity_id, scope, entity_type, key FROM entities UNION ALL SELECT 'x' || entity_id, 'team-9', entity_type, key FROM entities WHERE entity_id LIKE '%2')"
+
+
+@query(_with([_SCOPED], "SELECT query_id, entity_id, scope AS origin_scope, key FROM (SELECT c_custkey AS query_id, CASE WHEN c_custkey % 2 = 0 THEN 'team-9' ELSE 'team-1' END AS caller, 'c' || c_custkey || '.example.com' AS k FROM customer) q JOIN scoped s ON s.key = q.k QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY (scope = caller) DESC, scope, entity_id) = 1"))
+def enrich_entity(v: Views) -> DataFrame:
+    """The entity of each customer's host name: the caller's own, or else that of the least scope."""
+    e = v.entities()
+    more = e.where("entity_id like '%2'").withColumns({"entity_id": F.concat(F.lit("x"), "entity_id"), "scope": F.lit("team-9")})
+    k = F.col("c_custkey")
+    asked = v.table("customer").select(k.alias("query_id"), F.when(k % 2 == 0, "team-9").otherwise("team-1").alias("caller"), F.format_string("C%d.EXAMPLE.com.", k).alias("key"), F.lit(None).cast("string").alias("type"))
+    known = enrich.enrich(asked, e.unionByName(more), v.stored_facts(), v.obs().limit(0), v.stored_edges(), as_of().cast("timestamp"))
+    return known.entity.select("query_id", "entity_id", "origin_scope", "key")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN 'scope is blank' WHEN 1 THEN 'subject_id is no id' WHEN 2 THEN 'predicate is blank' WHEN 3 THEN 'object_value is blank' WHEN 4 THEN 'a field is too long' WHEN 5 THEN 'object_id is no id' WHEN 6 THEN 'actor_type is unknown' WHEN 7 THEN 'actor_id is blank' WHEN 8 THEN 'visibility is unknown' END AS error FROM orders")
+def validate_facts(v: Views) -> DataFrame:
+    """A fact of each order, most of them with a rule broken."""
+    k = F.col("o_orderkey")
+    uuid = text.stable_id(k)
+    unless = lambda n, good, bad: F.when(k % 10 == n, F.lit(bad)).otherwise(good)
+    rows = v.table("orders").select(
+        k, unless(0, F.lit("t"), " \t").alias("scope"), unless(1, uuid, "s1").alias("subject_id"), unless(2, F.lit("is"), "").alias("predicate"), F.when(k % 10 == 4, F.repeat(F.lit("é"), F.lit(1001))).otherwise(unless(3, F.lit("v"), " ")).alias("object_value"),
+        unless(5, uuid, "x").alias("object_id"), F.lit(None).cast("string").alias("source_obs"), unless(6, F.lit("agent"), "cat").alias("actor_type"), unless(7, F.lit("u"), "").alias("actor_id"), unless(8, F.lit("org"), "all").alias("visibility"),
+    )
+    return facts.check_assertions(rows).select("o_orderkey", "error")
+
+
+@query("SELECT n_nationkey, '<memory-context>' || chr(10) || 'nations' || chr(10) || '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' || chr(10) || '</memory-context>' AS context FROM nation")
+def fenced_results(v: Views) -> DataFrame:
+    return v.table("nation").select("n_nationkey", text.memory_context("nations", F.struct("n_nationkey", "n_name")).alias("context"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities that observations name, each with how many name it and the latest that does."""
     v = Views(spark, sf_dir)
