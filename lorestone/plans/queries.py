@@ -505,10 +505,10 @@ def _stored_links(v: Views) -> DataFrame:
 
 
 def _projected(v: Views):
-    """Pages of as many rows as there may be of either kind in eight of them."""
+    """Three pages of edges, and as large ones of entities."""
     entities, links = v.entities(), materialise(_stored_links(v).dropDuplicates(["edge_id"]), "links")
     none = graph.Projection(graph.vertices(entities).limit(0), links.limit(0), graph.cursor_start(), graph.cursor_start())
-    return graph.drain(none, entities, links, as_of().cast("timestamp"), max(graph.PAGE, links.count() // 4 + 1))
+    return graph.drain(none, entities, links, as_of().cast("timestamp"), max(graph.PAGE, links.count() // 2 + 1))
 
 
 @query(sql(_BOTH))
