@@ -21,6 +21,8 @@ BROADCAST_BYTES = 8 << 20
 AT_HAND = 2000
 #: Code points on either side of a value that make its context, and minwise words that make a text's print.
 CONTEXT, PRINTS = 30, 4
+#: Documents for each piece of evidence, at most.
+COPIES = 4
 _LOCAL, _OCTET = r"A-Za-z0-9._%+-", r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: Each finds what the plain pattern finds. Repeats that can't give way are possessive, and a match begins at a run's
 #: start or where the last one ended, so that long runs cost no more than their length and no recursion.
@@ -152,9 +154,9 @@ def term_information(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
 
     Classes are each value, its group and its kind. A term is a word with a letter that holds no match itself. Counts are
     of documents, over all of them. Evidence is what differs: values or contexts, and texts, of which near copies share
-    most of their minwise words, so the least number of different ones counts. Each is counted as set bits of 64 by its
-    hash, a lower bound that partitions combine like a sum, so no group of equal terms or classes meets in one task as it
-    is."""
+    most of their minwise words. It is counted as set bits of 64 by its hash, a lower bound that partitions combine like a
+    sum, so no group of equal terms or classes meets in one task as it is. Where there are more than COPIES documents for
+    each piece of it, up to 32, they are copies for the most part and tell nothing."""
     text = F.col("text")
     hits = docs.where(may_match(text)).select(text, base_spans(text).alias("s")).where(F.size("s") > 0)
     hits = hits.select(F.monotonically_increasing_id().alias("row"), _entries(text, F.col("s")).alias("entries"), _words(text).alias("terms"))
@@ -168,8 +170,11 @@ def term_information(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     asked = split_join(each, known, "class", known, "n_c").groupBy("row").agg(F.collect_list(F.struct("class", "n_c", "bits")).alias("classes"))
     texts = [f"print{k}" for k in range(PRINTS)]
     pairs = hits.drop("entries").join(asked, "row").select("classes", *texts, F.explode("terms").alias("term")).select("term", *texts, F.explode("classes").alias("k"))
-    differ = [F.bit_count(F.bit_or(c)) for c in ("k.bits", *texts)]
-    both = pairs.groupBy(F.col("k.class").alias("class"), "term").agg(F.count("*").alias("n_ct"), F.first("k.n_c").alias("n_c"), F.least(*differ).alias("evidence")).where(F.col("evidence") >= support)
+    # A word that all of them share may be the minwise one of a print, hence not the least of four but the second.
+    own, *others = (F.bit_count(F.bit_or(c)) for c in ("k.bits", *texts))
+    evidence = F.least(own, F.sort_array(F.array(*others))[1])
+    both = pairs.groupBy(F.col("k.class").alias("class"), "term").agg(F.count("*").alias("n_ct"), F.first("k.n_c").alias("n_c"), evidence.alias("evidence"))
+    both = both.where((F.col("evidence") >= support) & (F.col("evidence") * COPIES >= F.least("n_ct", F.lit(32))))
     t = F.col("term")
     both = materialise(both.where(t.rlike(r"\p{L}") & (F.size(base_spans(t)) == 0)), "private-pairs")
     terms = both.select("term").distinct()
