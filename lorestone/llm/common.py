@@ -221,7 +221,9 @@ def split_join(rows: DataFrame, small: DataFrame, key: str, sizes: DataFrame, co
     leave HOT_KEYS hot keys at most, so the copy is bounded whatever the table. The rest is joined by key."""
     total = sizes.agg(F.sum(count)).first()[0] or 0
     hot = F.broadcast(sizes.where(F.col(count) >= max(HOT_ROWS, total // HOT_KEYS)).select(key))
-    return rows.join(F.broadcast(small.join(hot, key, "left_semi")), key).unionByName(rows.join(hot, key, "left_anti").join(small, key))
+    mark = unused(rows, "is_hot")
+    cold = rows.join(hot.withColumn(mark, F.lit(True)), key, "left").where(F.col(mark).isNull()).drop(mark)
+    return rows.join(F.broadcast(small.join(hot, key, "left_semi")), key).unionByName(cold.join(small, key))
 
 
 class Forest:
