@@ -11,7 +11,9 @@ from .neighbours import op6_anisotropic_search
 from .packing import op2_pack_hilbert
 from .privacy import op9_disclosure
 from .quality import op5_compression_bands
+from .resampling import OP11_SQL, op11_resample
 from .substrings import op4_chunk_dedup
+from .whitening import op13_whitening
 
 QUERIES = {
     f.__name__: f
@@ -26,6 +28,8 @@ QUERIES = {
         op8_rank_order_profiles,
         op9_disclosure,
         op10_line_dedup,
+        op11_resample,
+        op13_whitening,
     )
 }
-ORACLES = {"op3_mix_sources": OP3_SQL}
+ORACLES = {"op3_mix_sources": OP3_SQL, "op11_resample": OP11_SQL}
