@@ -13,6 +13,7 @@ from .privacy import op9_disclosure
 from .quality import op5_compression_bands
 from .resampling import OP11_SQL, op11_resample
 from .substrings import op4_chunk_dedup
+from .suffixes import op12_suffix_dedup
 from .whitening import op13_whitening
 
 QUERIES = {
@@ -29,6 +30,7 @@ QUERIES = {
         op9_disclosure,
         op10_line_dedup,
         op11_resample,
+        op12_suffix_dedup,
         op13_whitening,
     )
 }
