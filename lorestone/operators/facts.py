@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import clamp_confidence, trust_status
 from ..functions.text import canonical_uuid, reason, stable_id, trim
+from ..scratch import materialise
 from ..sources.schemas import EDGES, FOREVER, NIL, VISIBILITIES
 from .versioned import FACT_KEY, latest, merge_snapshot
 
 GROUP = ["scope", "subject_id", "predicate"]
 LINK = ["scope", "src_id", "relation"]
+#: Rows of a group that one task closes.
+HOT_GROUP = 1_000_000
 #: Bytes of each string of a fact.
 FACT_BYTES = 2_000
 
@@ -49,6 +52,31 @@ def supersede(facts: DataFrame) -> DataFrame:
     return facts.withColumn("valid_to", F.when((F.col("status") == "active") & nxt.isNotNull(), F.least("valid_to", nxt)).otherwise(F.col("valid_to")))
 
 
+def supersede_split(facts: DataFrame, most: int = HOT_GROUP) -> DataFrame:
+    """As `supersede`, where a group may have any number of rows: those of more than `most` are cut into ranges of time.
+
+    A range finds the next row that closes among its own; after its last one it takes the first of the ranges to come:
+    a suffix minimum over as many values as there are ranges. Groups that large are as few as all rows over `most`, so
+    they are told to all tasks, and the others take the plain way."""
+    hot = materialise(facts.groupBy(*GROUP).agg(F.count("*").alias("_n")).where(F.col("_n") > most), "hot-groups")
+    total = hot.agg(F.sum("_n")).first()[0]
+    if not total:
+        return supersede(facts)
+    marked = facts.join(F.broadcast(hot.select(*GROUP, F.lit(True).alias("_hot"))), GROUP, "left")
+    parts = 2 * -(-total // most)
+    laid = marked.where("_hot").drop("_hot").repartitionByRange(parts, *GROUP, "valid_from", "fact_id").withColumn("_range", F.spark_partition_id())
+    laid = materialise(laid, "group-ranges")
+    first = F.min(F.when(F.col("closes"), F.col("valid_from")))
+    firsts = laid.groupBy("_range", *GROUP).agg(first.alias("_first"))
+    to_come = Window.partitionBy(*GROUP).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = firsts.withColumn("_carry", F.min("_first").over(to_come)).drop("_first")
+    inside = Window.partitionBy("_range", *GROUP).orderBy("valid_from", "fact_id").rowsBetween(1, Window.unboundedFollowing)
+    rows = laid.withColumn("_next", first.over(inside)).join(F.broadcast(carry), ["_range", *GROUP])
+    nxt = F.coalesce("_next", "_carry")
+    ends = F.when((F.col("status") == "active") & nxt.isNotNull(), F.least("valid_to", nxt)).otherwise(F.col("valid_to"))
+    return rows.withColumn("valid_to", ends).select(*facts.columns).unionByName(supersede(marked.where("_hot IS NULL").drop("_hot")).select(*facts.columns))
+
+
 def _blank(c: str) -> Column:
     return F.coalesce(trim(F.col(c)), F.lit("")) == ""
 

@@ -16,14 +16,21 @@ from ..sources.schemas import FOREVER, NIL
 from .versioned import ENTITY_KEY, keyset_page, latest, merge_snapshot, open_at
 
 HOPS, PATHS, PAGE, ROUNDS = 3, 100, 500, 10
+PAIR = ["src_id", "dst_id"]
 #: Fixed value: the shape of a relation's name.
 RELATION = r"[a-z][a-z0-9_]{0,40}"
 
 
+def last_events(edges: DataFrame) -> DataFrame:
+    """The event of each ordered pair that counts: the newest, of equally new ones that which ends last."""
+    return latest(edges, PAIR, "updated_at", "valid_to", "edge_id")
+
+
 def graph_state(edges: DataFrame, as_of: Column) -> DataFrame:
     """One edge for each ordered pair: the last event of the pair counts, and only if it is open. A close after a reopen,
-    or a reopen after a close, thus keeps its order."""
-    last = latest(edges, ["src_id", "dst_id"], "updated_at", "edge_id")
+    or a reopen after a close, thus keeps its order; of events of one time that which is open longest counts, since an
+    assertion ends an edge before it makes its own."""
+    last = last_events(edges)
     return last.where(open_at(as_of)).select("src_id", "dst_id", "relation", "valid_from", "valid_to")
 
 
@@ -61,9 +68,14 @@ def walk(graph: DataFrame, start: DataFrame, hops: int, relation: str | None = N
 
     Breadth first: each node is reached once, by the least parent path, out before in; edges may be asked to have one
     relation at every hop. A walk that has `most` nodes goes no further. The links are written once and each frontier
-    once, so no hop plans those before it again; a small frontier is sent to the links, so these aren't shuffled."""
+    once, so no hop plans those before it again; a small frontier is sent to the links, so these aren't shuffled.
+
+    Of a node's neighbours only the first 2 * most + 1 are kept, both directions of each: a walk that goes on has seen
+    `most` nodes at most, so any later neighbour has `most` unseen lesser ones before it, which fill the level."""
     check_walk(relation, hops)
-    links = materialise(both_ways(graph if not relation else graph.where(F.col("relation") == relation)).select("node", "other", "dir").distinct(), "walk-links")
+    links = both_ways(graph if not relation else graph.where(F.col("relation") == relation)).select("node", "other", "dir").distinct()
+    place = F.dense_rank().over(Window.partitionBy("node").orderBy("other"))
+    links = materialise(links.withColumn("place", place).where(F.col("place") <= 2 * most + 1).drop("place"), "walk-links")
     per = Window.partitionBy("query_id")
     # Parents are numbered in the order of their paths, so the least one is found by comparing numbers.
     numbered = lambda df: materialise(df.withColumn("ord", F.row_number().over(per.orderBy("path")).cast("long")), "walk-frontier")
@@ -194,7 +206,8 @@ def project_edges(state: Projection, edges: DataFrame, entities: DataFrame, as_o
     """(state after the next page of edges, the edges without its orphans, counts by outcome).
 
     The page is applied up to its first deferrable row, and the cursor stops before that: where it comes first, nothing
-    moves. Orphans before it leave the store. The last event of a pair of nodes wins, and a closed one removes the pair."""
+    moves. Orphans before it leave the store. The last event of a pair of nodes wins, as in `last_events`, and a closed
+    one removes the pair."""
     page = materialise(edge_page(edges, *_after(state.edge_cursor), size), "project-edges")
     known = entities.select("entity_id").distinct()
     classed = materialise(classify_edges(page, state.nodes, known), "project-classes")
@@ -206,8 +219,9 @@ def project_edges(state: Projection, edges: DataFrame, entities: DataFrame, as_o
         return state, edges, stats
     last = _last(done, "edge_id")
     events = done.where("outcome = 'resolved'").select(*state.edges.columns)
-    newest = latest(events, ["src_id", "dst_id"], "updated_at", "edge_id")
-    merged = merge_snapshot(state.edges, newest, ["src_id", "dst_id"]).where(open_at(as_of))
+    # An event of a former page may be as new as one of this page, and end later.
+    newest = last_events(events.unionByName(state.edges.join(events.select(*PAIR).distinct(), PAIR, "left_semi").select(*events.columns)))
+    merged = merge_snapshot(state.edges, newest, PAIR).where(open_at(as_of))
     left = edges
     if stats["orphans"]:
         left = edges.join(small(done.where("outcome = 'orphan'").select("edge_id")), "edge_id", "left_anti")
@@ -220,7 +234,7 @@ def rebuild(entities: DataFrame, edges: DataFrame, as_of: Column) -> Projection:
     nodes = vertices(entities)
     ends = nodes.select("ch_id")
     whole = edges.join(ends.withColumnRenamed("ch_id", "src_id"), "src_id", "left_semi").join(ends.withColumnRenamed("ch_id", "dst_id"), "dst_id", "left_semi")
-    last = latest(whole, ["src_id", "dst_id"], "updated_at", "edge_id").where(open_at(as_of))
+    last = last_events(whole).where(open_at(as_of))
     return Projection(nodes, last.select(*edges.columns), cursor_start(), cursor_start())
 
 

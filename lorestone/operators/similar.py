@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidInput
 from ..functions.scores import cosine_distance, rrf_term
-from ..functions.text import excerpt, has_any_token, query_tokens
+from ..functions.text import excerpt, has_any_token, query_tokens, trim
+from ..scratch import materialise, small
 from ..sources.schemas import NIL
+from .postings import TokenIndex, asked_tokens, text_legs, token_postings
 from .versioned import visible
 
-LEG = 20
+LEG, MOST = 20, 50
+#: Bytes of question vectors that a task holds at once; more questions are asked in several blocks.
+QUESTION_BYTES = 32 << 20
+#: Rows times questions that are compared at once.
+PAIRS = 1 << 21
+#: Distances by matrix products differ from those summed term by term by less.
+NEAR = 1e-9
 
 
 def _ranked(rows: DataFrame, order, leg: int) -> DataFrame:
@@ -61,3 +71,135 @@ def similar(observations: DataFrame, scope: str, query: str, qvec: list[float] |
     rows = rows.withColumn("_first", F.row_number().over(first)).where("_first = 1")
     ids = F.filter(F.coalesce("entity_refs", F.array().cast("array<string>")), lambda x: x != NIL)
     return rows.select("obs_id", "score", "matched_by", "ts", "kind", excerpt(F.col("content")).alias("excerpt"), ids.alias("entity_ids"), F.col("scope").alias("origin_scope")).orderBy(F.col("score").desc(), "obs_id")
+
+
+def request_error(k_most: int = MOST) -> Column:
+    """What is wrong with a request (q, scope, k), or null."""
+    blank = lambda c: F.coalesce(trim(F.col(c)), F.lit("")) == ""
+    return F.when(blank("q"), "the question is blank").when(blank("scope"), "the scope is blank").when(~F.coalesce(F.col("k").between(1, k_most), F.lit(False)), "k is out of range")
+
+
+class _Nearest:
+    """The nearest rows of each question so far, in a task: they are cut again with each block of rows, so a task holds
+    and emits `leg` rows a question at most, and any two tasks' results merge the same way."""
+
+    def __init__(self, names: list, scopes: list, q: np.ndarray, leg: int):
+        self.names, self.scopes, self.q, self.leg = names, np.array(scopes, object), q, leg
+        self.norm = np.sqrt(self._dots(q, q))
+        self.kth = np.full(len(q), np.inf)
+        self.who, self.far, self.ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+
+    @staticmethod
+    def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Inner products of pairs, summed term by term from the first on."""
+        return np.cumsum(a * b, axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
+
+    def see(self, x: np.ndarray, ids: np.ndarray, scopes: np.ndarray, opens: np.ndarray) -> None:
+        norm = np.sqrt(self._dots(x, x))
+        some = norm != 0
+        x, ids, scopes, opens, norm = x[some], ids[some], scopes[some], opens[some], norm[some]
+        if not len(x):
+            return
+        found = []
+        step = max(1, PAIRS // len(x))
+        for i in range(0, len(self.q), step):
+            own = slice(i, i + step)
+            seen = opens[:, None] | (scopes[:, None] == self.scopes[None, own])
+            far = 1 - (x @ self.q[own].T) / (norm[:, None] * self.norm[None, own])
+            far = np.where(np.isnan(far), np.inf, far)
+            far_seen = np.where(seen, far, np.inf)
+            bound = np.minimum(np.partition(far_seen, self.leg - 1, axis=0)[self.leg - 1], self.kth[own]) if len(x) > self.leg else self.kth[own]
+            row, who = np.nonzero(seen & (far <= bound[None] + NEAR))
+            found.append((who + i, row))
+        who, row = (np.concatenate(c) for c in zip(*found))
+        far = 1 - self._dots(x[row], self.q[who]) / (norm[row] * self.norm[who])
+        self.who, self.far, self.ids = np.concatenate([self.who, who]), np.concatenate([self.far, far]), np.concatenate([self.ids, ids[row]])
+        self._cut()
+
+    def _cut(self) -> None:
+        order = np.lexsort((np.unique(self.ids, return_inverse=True)[1] if len(self.ids) else self.ids, self.far, self.who))
+        who = self.who[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        order = order[place < self.leg]
+        self.who, self.far, self.ids = self.who[order], self.far[order], self.ids[order]
+        last = np.flatnonzero(np.bincount(self.who, minlength=len(self.q)) >= self.leg)
+        self.kth[last] = self.far[np.searchsorted(self.who, last, "right") - 1]
+
+    def batch(self) -> pa.RecordBatch:
+        names = pa.array(self.names).take(pa.array(self.who))
+        return pa.RecordBatch.from_arrays([names, pa.array(self.ids.tolist(), pa.string()), pa.array(self.far)], names=["query_id", "obs_id", "dist"])
+
+
+def vector_legs(observations: DataFrame, requests: DataFrame, leg: int = LEG) -> DataFrame:
+    """(query_id, obs_id, src, rank) for requests (query_id, scope, qvec): as `vector_leg`, for all of them in one scan.
+
+    Blocks of questions, of QUESTION_BYTES at most, are sent to the rows, where matrix products find what may be near;
+    that is measured term by term, so equal vectors are equally far. Each task keeps its nearest few for each question,
+    and these merge by the same rule. Only more questions than a block holds take more scans."""
+    asked = requests.where("size(qvec) > 0").select("query_id", "scope", F.col("qvec").cast("array<double>").alias("qvec"))
+    kind = dict(requests.dtypes)["query_id"]
+    parts = None
+    for dim, n in sorted((r["dim"], r["n"]) for r in asked.groupBy(F.size("qvec").alias("dim")).agg(F.count("*").alias("n")).collect()):
+        blocks = -(-n * dim * 8 // QUESTION_BYTES)
+        rows = observations.where((F.size("content_vec") == dim) & F.col("obs_id").isNotNull())
+        rows = rows.select("obs_id", "scope", F.coalesce(F.col("confidentiality") == "internal", F.lit(False)).alias("open"), F.col("content_vec").cast("array<double>").alias("v"))
+        for block in range(blocks):
+            mine = asked.where((F.size("qvec") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).toArrow()
+            if mine.num_rows:
+                found = rows.mapInArrow(_search(mine, dim, leg), f"query_id {kind}, obs_id string, dist double")
+                parts = found if parts is None else parts.unionByName(found)
+    if parts is None:
+        return requests.select("query_id", F.lit("").alias("obs_id"), F.lit("vec").alias("src"), F.lit(0).alias("rank")).where("false")
+    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "obs_id"))).where(F.col("rank") <= leg)
+    return ranked.select("query_id", "obs_id", F.lit("vec").alias("src"), "rank")
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _search(questions: pa.Table, dim: int, leg: int):
+    names, scopes, q = questions["query_id"].to_pylist(), questions["scope"].to_pylist(), _matrix(questions["qvec"], dim)
+
+    def run(batches):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            near = _Nearest(names, scopes, q, leg)
+            told = near.norm != 0
+            near = _Nearest([x for x, t in zip(names, told) if t], [x for x, t in zip(scopes, told) if t], q[told], leg)
+            for b in batches:
+                b = b.filter(pa.array([None not in v for v in b.column("v").to_pylist()])) if b.column("v").flatten().null_count else b
+                if b.num_rows and len(near.q):
+                    near.see(_matrix(b.column("v"), dim), *(np.array(b.column(c).to_pylist(), object) for c in ("obs_id", "scope")), b.column("open").to_numpy(zero_copy_only=False))
+        if len(near.who):
+            yield near.batch()
+
+    return run
+
+
+def fuse_many(legs: DataFrame, requests: DataFrame) -> DataFrame:
+    """(query_id, obs_id, score, matched_by, rank): as `fuse`, for requests (query_id, k)."""
+    best = legs.groupBy("query_id", "obs_id", "src").agg(F.min("rank").alias("rank"))
+    fused = best.groupBy("query_id", "obs_id").agg(F.sum(rrf_term(F.col("rank"))).alias("score"), F.sort_array(F.collect_set("src")).alias("matched_by"))
+    ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "obs_id"))).where(F.col("rank") <= MOST)
+    return ranked.join(requests.select("query_id", "k"), "query_id").where(F.col("rank") <= F.col("k")).drop("k")
+
+
+def similar_many(observations: DataFrame, requests: DataFrame, index: TokenIndex | None = None) -> DataFrame:
+    """(query_id, rank, obs_id, score, matched_by, ts, kind, excerpt, entity_ids, origin_scope) for requests (query_id,
+    scope, q, qvec, k): what `similar` answers to each, in one plan for all.
+
+    Requests without a vector are answered by tokens alone, those without a token by vectors; those for which
+    `request_error` names an error have no rows. Tokens are looked up in the index, if there is one, or else found in a
+    scan that all requests share. Of one query_id the requests count as one with all their hits, so ids should differ."""
+    requests = requests.where(request_error().isNull())
+    asked = materialise(asked_tokens(requests).distinct(), "asked-tokens")
+    tokens = asked.select("token").distinct()
+    postings = index.of(tokens) if index else token_postings(observations, small(tokens))
+    legs = vector_legs(observations, requests, LEG).unionByName(text_legs(postings, asked, LEG))
+    hits = materialise(fuse_many(legs, requests).join(requests.select("query_id", F.col("scope").alias("caller")), "query_id"), "hits")
+    rows = observations.join(small(hits), "obs_id").where(visible(F.col("caller"), "confidentiality", "internal"))
+    first = Window.partitionBy("query_id", "obs_id").orderBy("ts", "content")
+    rows = rows.withColumn("_first", F.row_number().over(first)).where("_first = 1")
+    ids = F.filter(F.coalesce("entity_refs", F.array().cast("array<string>")), lambda x: x != NIL)
+    return rows.select("query_id", "rank", "obs_id", "score", "matched_by", "ts", "kind", excerpt(F.col("content")).alias("excerpt"), ids.alias("entity_ids"), F.col("scope").alias("origin_scope"))

@@ -10,11 +10,11 @@ ENTITY_KEY = ["scope", "entity_type", "key"]
 FACT_KEY = ["scope", "subject_id", "predicate", "object_value"]
 
 
-def latest(df: DataFrame, key: list[str], version: str, tie: str) -> DataFrame:
-    """The newest version of each key, before any filter on other columns; ties go to the greatest `tie`.
+def latest(df: DataFrame, key: list[str], version: str, *ties: str) -> DataFrame:
+    """The newest version of each key, before any filter on other columns; ties go to the greatest of `ties`, in order.
 
     Spark keeps one row a key on the map side already (a window group limit), and filters on key columns pass below."""
-    order = Window.partitionBy(*key).orderBy(F.col(version).desc_nulls_last(), F.col(tie).desc_nulls_last())
+    order = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() for c in (version, *ties)])
     return df.withColumn("_version", F.row_number().over(order)).where("_version = 1").drop("_version")
 
 

@@ -8,11 +8,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import StoreError
 from ..functions.embedding import Embedder
 from ..functions.entities import normalize
-from ..operators.similar import similar
+from ..operators.similar import request_error, similar_many
 from ..operators.versioned import ENTITY_KEY, latest
+from ..scratch import materialise
 from ..sources.configs import EvalFile
 
 
@@ -39,35 +39,34 @@ class Score:
         return self.passed / self.total if self.total else 0.0
 
 
-def run_evals(files: list[EvalFile], observations: DataFrame, entities: DataFrame, embed: Embedder | None = None) -> tuple[Score, DataFrame]:
-    """(score, rows): each question asked of `similar`, and whether the entities that it must reference, by key in the
-    file's scope, are among those of its hits. A question that asks for none passes if it can be asked; one that can't,
-    is counted apart and takes no part in the score. Rows are (query_id, scope, q, passed)."""
-    spark = observations.sparkSession
-    asked, wanted, hits, errored = [], [], None, 0
-    for f in files:
-        for q in f.queries:
-            name = f"{len(asked) + errored:06d}"
-            try:
-                found = similar(observations, f.scope, q.q, embed("query", [q.q])[0] if embed else None, q.k)
-            except StoreError:
-                errored += 1
-                continue
-            asked.append((name, f.scope, q.q))
-            wanted += [(name, f.scope, k) for k in q.must_reference_entities]
-            found = found.select(F.lit(name).alias("query_id"), F.col("entity_ids"))
-            hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        return Score(0, 0, errored), spark.createDataFrame([], "query_id string, scope string, q string, passed boolean")
-    n = normalize(F.col("raw"))
-    keys = spark.createDataFrame(wanted, "query_id string, scope string, raw string").withColumn("n", n).select("query_id", "scope", "raw", F.col("n.type").alias("entity_type"), F.col("n.key").alias("key"))
-    known = latest(entities, ENTITY_KEY, "updated_at", "entity_id").select(*ENTITY_KEY, "entity_id")
+def ask(questions: DataFrame, expected: DataFrame, observations: DataFrame, entities: DataFrame) -> DataFrame:
+    """questions (query_id, scope, q, qvec, k) with `error` and `passed`: whether the hits of a question name every entity
+    that it must, by expected (query_id, raw): a key in the question's scope.
+
+    One plan asks all questions. A question with an error isn't asked and passes nothing; one that expects nothing passes
+    if it can be asked; a key that is no entity's is missed."""
+    checked = questions.withColumn("error", request_error())
+    hits = similar_many(observations, questions)
     got = hits.select("query_id", F.explode("entity_ids").alias("entity_id")).distinct().withColumn("hit", F.lit(True))
+    keys = expected.join(questions.select("query_id", "scope"), "query_id").withColumn("n", normalize(F.col("raw"))).select("query_id", "scope", F.col("n.type").alias("entity_type"), F.col("n.key").alias("key"))
+    known = latest(entities, ENTITY_KEY, "updated_at", "entity_id").select(*ENTITY_KEY, "entity_id")
     each = keys.join(known, ENTITY_KEY, "left").join(got, ["query_id", "entity_id"], "left")
     missed = each.where("hit is null").select("query_id").distinct().withColumn("missed", F.lit(True))
-    rows = spark.createDataFrame(asked, "query_id string, scope string, q string").join(missed, "query_id", "left").withColumn("passed", F.col("missed").isNull()).drop("missed")
-    passed = rows.where("passed").count()
-    return Score(passed, len(asked), errored), rows
+    return checked.join(missed, "query_id", "left").withColumn("passed", F.col("missed").isNull() & F.col("error").isNull()).drop("missed")
+
+
+def run_evals(files: list[EvalFile], observations: DataFrame, entities: DataFrame, embed: Embedder | None = None) -> tuple[Score, DataFrame]:
+    """(score, rows): each question asked, and whether the entities that it must reference, by key in the file's scope,
+    are among those of its hits, as in `ask`. Questions that can't be asked are counted apart and take no part in the
+    score. Rows are (query_id, scope, q, passed)."""
+    spark = observations.sparkSession
+    every = [(f"{i:06d}", f.scope, q) for i, (f, q) in enumerate((f, q) for f in files for q in f.queries)]
+    vectors = embed("query", [q.q for _, _, q in every]) if embed and every else [None] * len(every)
+    questions = spark.createDataFrame([(i, scope, q.q, v, q.k) for (i, scope, q), v in zip(every, vectors)], "query_id string, scope string, q string, qvec array<double>, k int")
+    expected = spark.createDataFrame([(i, k) for i, _, q in every for k in q.must_reference_entities], "query_id string, raw string")
+    rows = materialise(ask(questions, expected, observations, entities).select("query_id", "scope", "q", "passed", "error"), "evals")
+    passed, asked, errored = rows.agg(F.count_if("passed"), F.count_if("error is null"), F.count_if("error is not null")).first()
+    return Score(passed, asked, errored), rows.where("error is null").drop("error")
 
 
 def keep_score(path: str, score: float) -> bool:

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import entities as ent
 from ..functions import scores, text
 from ..functions.proposals import parse_proposals, sanitize_proposals
-from ..operators import enrich, facts, graph, observations, similar, timeline
+from ..operators import enrich, facts, graph, observations, postings, similar, timeline
 from ..operators.versioned import FACT_KEY, keep_by_ttl, keyset_page, latest, valid_at, visible
-from ..scratch import materialise
+from ..scratch import materialise, scratch
 from ..sources.jsonl import FACT_LINES, OBSERVATION_LINES, dry_run, parse_lines, resolve_facts
+from ..sources.ranged import RangedTable
 from ..sources.schemas import ENTITIES
 from ..streaming.pipelines import uncovered_batch
-from .evalgate import recall
+from .evalgate import ask, recall
 from .views import Views, sql, stable_id_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-AS_OF_SQL = "TIMESTAMP '1997-06-30 00:00:00'"
+AS_OF = datetime(1997, 6, 30)
+AS_OF_SQL = f"TIMESTAMP '{AS_OF}'"
 QUERY = "the of and est unknownword"
 VERSION_KEY = ["scope", "entity_type", "key"]
 
@@ -79,11 +84,27 @@ def enrich_facts(v: Views) -> DataFrame:
     return enrich.facts_leg(_ids(v), v.facts(), as_of())
 
 
-@query(sql("""SELECT i AS query_id, obs_id AS id, ts, kind, substr(content, 1, 200) AS excerpt, scope AS origin_scope, row_number() OVER (PARTITION BY i ORDER BY ts DESC, obs_id) AS rank
-FROM obs JOIN (SELECT unnest(range(0, 97)) AS i) q ON list_contains(entity_refs, i::VARCHAR) WHERE scope = 'src1' OR confidentiality = 'internal' QUALIFY rank <= 10"""))
+_NAMED = sql("""SELECT i AS query_id, obs_id AS id, ts, kind, substr(content, 1, 200) AS excerpt, scope AS origin_scope, row_number() OVER (PARTITION BY i ORDER BY ts DESC, obs_id) AS rank
+FROM obs JOIN (SELECT unnest(range(0, 97)) AS i) q ON list_contains(entity_refs, i::VARCHAR) WHERE scope = 'src1' OR confidentiality = 'internal' QUALIFY rank <= 10""")
+
+
+def _references(v: Views) -> DataFrame:
+    return v.spark.range(97).select(F.col("id").alias("query_id"), F.lit("src1").alias("caller"), F.col("id").cast("string").alias("id"))
+
+
+@query(_NAMED)
 def enrich_observations(v: Views) -> DataFrame:
-    ids = v.spark.range(97).select(F.col("id").alias("query_id"), F.lit("src1").alias("caller"), F.col("id").cast("string").alias("id"))
-    return enrich.observations_leg(ids, v.obs())
+    return enrich.observations_leg(_references(v), v.obs())
+
+
+@query(_NAMED)
+def enrich_observations_bucketed(v: Views) -> DataFrame:
+    """The same from an index in buckets, in which entities of over 100 rows are dealt over several."""
+    name = f"lorestone_references_{uuid.uuid4().hex}"
+    index = postings.index_references(v.obs(), name, scratch(v.spark, "references"), hot=100)
+    out = materialise(postings.observations_by_reference(_references(v), index), "by-reference")
+    index.drop()
+    return out
 
 
 @query(sql(f"""SELECT query_id, entity_id, relation, direction, row_number() OVER (PARTITION BY query_id ORDER BY entity_id, relation, direction) AS rank FROM (
@@ -127,6 +148,16 @@ def similar_txt_leg(v: Views) -> DataFrame:
     return similar.text_leg(v.obs(), "src2", QUERY)
 
 
+@query(_with([_TXT], "SELECT obs_id, src, rank FROM txt"))
+def similar_txt_indexed(v: Views) -> DataFrame:
+    """The same from an index by token, to which half of the observations came later."""
+    index, odd = postings.TokenIndex(v.spark, scratch(v.spark, "tokens")), F.col("obs_id").cast("long") % 2 == 1
+    index.add(v.obs().where(~odd), 0)
+    index.add(v.obs().where(odd), 1)
+    asked = postings.asked_tokens(v.spark.createDataFrame([(0, "src2", QUERY)], "query_id long, scope string, q string"))
+    return postings.text_legs(index.of(asked.select("token")), asked, similar.LEG).select("obs_id", "src", "rank")
+
+
 @query(_with([_VEC, _TXT], _fused("SELECT * FROM vec UNION ALL SELECT * FROM txt", 20)))
 def similar_rrf(v: Views) -> DataFrame:
     return _hits(similar.similar(v.obs_vec(), "src2", QUERY, _qvec(v), 20))
@@ -142,6 +173,40 @@ def similar_vec_only(v: Views) -> DataFrame:
     return _hits(similar.similar(v.obs_vec(), "src2", "探索", _qvec(v), 10))
 
 
+def _questions(v: Views) -> DataFrame:
+    """A question of every vector, in the words of its document, by one scope of twenty, for 5 to 14 hits."""
+    e = v.table("embeddings").join(v.table("documents"), F.col("vec_id") == F.col("doc_id"))
+    return e.select(F.col("vec_id").alias("query_id"), F.concat(F.lit("src"), (F.col("vec_id") % 20).cast("string")).alias("scope"), F.col("text").alias("q"), F.col("embedding").alias("qvec"), (F.col("vec_id") % 10 + 5).alias("k"))
+
+
+_MANY = [
+    "asks AS (SELECT vec_id AS query_id, 'src' || (vec_id % 20) AS scope, text AS q, embedding::DOUBLE[] AS qv, vec_id % 10 + 5 AS k, coalesce(regexp_matches(text, '[^\\s]'), false) AS fine FROM embeddings JOIN documents ON vec_id = doc_id)",
+    "said AS (SELECT query_id, scope, token FROM (SELECT query_id, scope, token, min(i) AS i FROM (SELECT query_id, scope, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT *, string_split_regex(lower(q), '[^a-z0-9]+') AS w FROM asks WHERE fine)) WHERE token <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i) <= 8)",
+    "held AS (SELECT DISTINCT obs_id, ts, scope, confidentiality, unnest(string_split_regex(content, '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS token FROM obs)",
+    "by_vec AS (SELECT query_id, obs_id, 'vec' AS src, row_number() OVER (PARTITION BY query_id ORDER BY dist, obs_id) AS rank FROM (SELECT a.query_id, o.obs_id, 1 - list_dot_product(e.embedding::DOUBLE[], a.qv) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(a.qv, a.qv))) AS dist FROM asks a, obs o JOIN embeddings e ON o.obs_id = lpad(e.vec_id::VARCHAR, 9, '0') WHERE a.fine AND (o.scope = a.scope OR o.confidentiality = 'internal')) QUALIFY rank <= 20)",
+    "by_txt AS (SELECT query_id, obs_id, 'txt' AS src, row_number() OVER (PARTITION BY query_id ORDER BY ts DESC, obs_id) AS rank FROM (SELECT DISTINCT s.query_id, h.obs_id, h.ts FROM said s JOIN held h USING (token) WHERE h.scope = s.scope OR h.confidentiality = 'internal') QUALIFY rank <= 20)",
+    "best AS (SELECT f.query_id, obs_id, score, matched_by, row_number() OVER (PARTITION BY f.query_id ORDER BY score DESC, obs_id) AS rank FROM (SELECT query_id, obs_id, sum(1.0::DOUBLE / (60 + rank)) AS score, array_to_string(list_sort(list(DISTINCT src)), ',') AS matched_by FROM (SELECT * FROM by_vec UNION ALL SELECT * FROM by_txt) GROUP BY ALL) f JOIN asks USING (query_id) QUALIFY rank <= any_value(k) OVER (PARTITION BY f.query_id))",
+]
+
+
+@query(_with(_MANY, "SELECT query_id, rank, obs_id, score, matched_by, o.ts, o.kind, substr(o.content, 1, 200) AS excerpt, o.scope AS origin_scope FROM best JOIN obs o USING (obs_id)"))
+def similar_many(v: Views) -> DataFrame:
+    hits = similar.similar_many(v.obs_vec(), _questions(v))
+    return hits.select("query_id", "rank", "obs_id", "score", F.array_join("matched_by", ",").alias("matched_by"), "ts", "kind", "excerpt", "origin_scope")
+
+
+@query(_with([*_MANY, "got AS (SELECT DISTINCT query_id, unnest(entity_refs) AS e FROM best JOIN obs USING (obs_id))"], "SELECT query_id, fine AND (query_id, (query_id % 97)::VARCHAR) IN (SELECT query_id, e FROM got) AND (query_id % 3 > 0 OR (query_id, (query_id * 7 % 89)::VARCHAR) IN (SELECT query_id, e FROM got)) AS passed FROM asks"))
+def eval_similar(v: Views) -> DataFrame:
+    """Every question must name an entity of its own observation, every third one another too, by names that are known in
+    each scope."""
+    asked, i = _questions(v), F.col("query_id")
+    name = lambda k, form="r%d.example.com": F.format_string(form, k)
+    wanted = asked.select("query_id", F.explode(F.when(i % 3 == 0, F.array(name(i % 97, "R%d.Example.com."), name(i * 7 % 89))).otherwise(F.array(name(i % 97)))).alias("raw"))
+    scopes = F.broadcast(v.spark.range(20).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("scope")))
+    known = v.spark.range(97).select(F.col("id").cast("string").alias("entity_id"), F.lit("ioc_domain").alias("entity_type"), name(F.col("id")).alias("key"), F.lit("2024-01-01").cast("timestamp").alias("updated_at")).crossJoin(scopes)
+    return ask(asked, wanted, v.obs_vec(), known).select("query_id", "passed")
+
+
 _EVENTS_OBS = "SELECT obs_id AS id, 'observation' AS src, ts, kind, actor_type || ':' || actor_id AS actor, substr(content, 1, 200) AS txt, scope AS origin_scope FROM obs"
 _EVENTS_FACT = "SELECT fact_id AS id, 'fact' AS src, valid_from AS ts, 'fact:' || predicate AS kind, written_by AS actor, predicate || ': ' || object_value AS txt, scope AS origin_scope FROM latest_facts"
 _PAGE = "ORDER BY ts DESC, src, txt, id"
@@ -175,7 +240,7 @@ def timeline_case(v: Views) -> DataFrame:
     return timeline.timeline_case(obs, v.facts(), "team-3", "13", 500, 0)
 
 
-_STATE = f"state AS (SELECT src_id, dst_id, relation, valid_from, valid_to FROM (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY src_id, dst_id ORDER BY updated_at DESC, edge_id DESC) = 1) WHERE valid_to > {AS_OF_SQL})"
+_STATE = f"state AS (SELECT src_id, dst_id, relation, valid_from, valid_to FROM (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY src_id, dst_id ORDER BY updated_at DESC, valid_to DESC, edge_id DESC) = 1) WHERE valid_to > {AS_OF_SQL})"
 _LINKS = "links AS (SELECT src_id AS node, dst_id AS other, relation FROM state UNION ALL SELECT dst_id, src_id, relation FROM state)"
 
 
@@ -232,11 +297,22 @@ def uncovered(v: Views) -> DataFrame:
     return uncovered_batch(v.obs(), covered).select("obs_id", "ts", "scope")
 
 
-@query(sql(f"SELECT edge_id, updated_at FROM edges WHERE (updated_at, edge_id) > ({AS_OF_SQL}, '2') ORDER BY updated_at, edge_id LIMIT 500"))
+_EDGE_PAGE = sql(f"SELECT edge_id, updated_at FROM edges WHERE (updated_at, edge_id) > ({AS_OF_SQL}, '2') ORDER BY updated_at, edge_id LIMIT 500")
+
+
+@query(_EDGE_PAGE)
 def keyset_page_edges(v: Views) -> DataFrame:
     return keyset_page(v.edges(), "updated_at", "edge_id", as_of(), F.lit("2"), 500).select("edge_id", "updated_at")
 
 
+@query(_EDGE_PAGE)
+def keyset_page_ranged(v: Views) -> DataFrame:
+    """The same page of a log that is laid out by time, which reads the files of its range alone."""
+    log = RangedTable(v.spark, scratch(v.spark, "edge-log"), ["updated_at", "edge_id"], grows=True)
+    log.write(v.edges(), parts=16)
+    return log.page((AS_OF, "2"), 500).select("edge_id", "updated_at")
+
+
 @query(sql("""SELECT fact_id, status, valid_from, CASE WHEN status = 'active' THEN least(valid_to, coalesce(min(CASE WHEN status = 'active' THEN valid_from END) OVER (PARTITION BY scope, subject_id, predicate ORDER BY valid_from, fact_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), valid_to)) ELSE valid_to END AS valid_to FROM facts"""))
 def supersede_batch(v: Views) -> DataFrame:
     return facts.supersede(v.facts().withColumn("closes", F.col("status") == "active")).select("fact_id", "status", "valid_from", "valid_to")
@@ -483,6 +559,26 @@ def assert_audit(v: Views) -> DataFrame:
     return _asserted(v).audit.select("target_id", "payload_summary")
 
 
+_AGAIN_ID = stable_id_sql("'edge'", stable_id_sql("'fact'", "scope", "src_id", "relation", "'again'", "'u1'", "'2030-01-01 00:00:00'"))
+
+
+@query(_with([f"applied AS (SELECT edge_id, src_id, dst_id, relation, least(valid_to, {_Y1}) AS valid_to, CASE WHEN valid_to > {_Y1} THEN {_Y1} ELSE updated_at END AS updated_at FROM stored_edges UNION ALL SELECT {_AGAIN_ID}, src_id, dst_id, relation, {_EVER}, {_Y1} FROM (SELECT scope, src_id, relation, min(dst_id) AS dst_id FROM stored_edges GROUP BY ALL))"],
+ "SELECT via, src_id, dst_id, relation FROM (SELECT * FROM applied QUALIFY row_number() OVER (PARTITION BY src_id, dst_id ORDER BY updated_at DESC, valid_to DESC, edge_id DESC) = 1), (SELECT unnest(['state', 'rebuild']) AS via) WHERE valid_to > TIMESTAMP '2030-06-01'"))
+def assert_graph(v: Views) -> DataFrame:
+    """The graph after each source and relation was told again that it has its first object: that edge ended, and began
+    anew, at one time. By state, and rebuilt."""
+    edges = v.stored_edges()
+    groups = edges.groupBy("scope", F.col("src_id").alias("subject_id"), F.col("relation").alias("predicate")).agg(F.min("dst_id").alias("object_id"))
+    none = F.lit(None).cast("string")
+    new = groups.select("scope", "subject_id", "predicate", F.lit("again").alias("object_value"), "object_id", F.lit(0.9).alias("confidence"), none.alias("source_obs"), F.lit("human").alias("actor_type"), F.lit("u1").alias("actor_id"), none.alias("visibility"), F.lit("2030-01-01").cast("timestamp").alias("asserted_at"))
+    applied = materialise(facts.assert_facts(new, v.stored_facts(), edges, ids=False).applied_edges(edges), "applied")
+    then = F.lit("2030-06-01").cast("timestamp")
+    ids = applied.select(F.col("src_id").alias("entity_id")).union(applied.select("dst_id")).distinct()
+    known = ids.select("entity_id", F.lit("a").alias("scope"), F.col("entity_id").alias("key"), F.lit("x").alias("entity_type"), F.lit("").alias("display_name"), then.alias("first_seen"), then.alias("last_seen"), then.alias("updated_at"))
+    told = lambda df, via: df.select(F.lit(via).alias("via"), "src_id", "dst_id", "relation")
+    return told(graph.graph_state(applied, then), "state").unionByName(told(graph.rebuild(known, applied, then).edges, "rebuild"))
+
+
 _HOST_OK = "c_custkey % 7 <> 0 AND c_custkey % 5 <> 1"
 
 
@@ -497,7 +593,7 @@ def traverse(v: Views) -> DataFrame:
     return paths.select("query_id", "node", "depth", F.array_join("keys", ">").alias("keys"))
 
 
-_BOTH = f"SELECT src_id, dst_id, relation, edge_id FROM (SELECT * FROM edges WHERE src_id IN (SELECT entity_id FROM entities) AND dst_id IN (SELECT entity_id FROM entities) QUALIFY row_number() OVER (PARTITION BY src_id, dst_id ORDER BY updated_at DESC, edge_id DESC) = 1) WHERE valid_to > {AS_OF_SQL}"
+_BOTH = f"SELECT src_id, dst_id, relation, edge_id FROM (SELECT * FROM edges WHERE src_id IN (SELECT entity_id FROM entities) AND dst_id IN (SELECT entity_id FROM entities) QUALIFY row_number() OVER (PARTITION BY src_id, dst_id ORDER BY updated_at DESC, valid_to DESC, edge_id DESC) = 1) WHERE valid_to > {AS_OF_SQL}"
 
 
 def _stored_links(v: Views) -> DataFrame:
