@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorestone.llm.common import documents, forget, materialise, unused
@@ -50,15 +50,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near duplicates: the one with the smallest id.
 
     Rows without an id stay, as do texts that are null or hold no word; of rows that share the smallest id, one text of
-    the group stays, and repeated rows of it once; rows of one id with texts that aren't alike stay each; other columns
+    the group stays, and repeated rows of it once, that with the least hash of its JSON; rows of one id with texts that aren't alike stay each; other columns
     stay, whatever their names; an empty table stays empty."""
     found = near_duplicates(docs).where("doc_id is not null and component is not null")
     one = found.groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("n")).groupBy("component").agg(F.min(F.struct("doc_id", "text_key", "n")).alias("k"))
     own_id, own_key, n, place = (unused(docs, c) for c in ("nd_id", "nd_key", "nd_n", "nd_row"))
     kept = materialise(one.select(F.col("k.doc_id").alias(own_id), F.col("k.text_key").alias(own_key), F.col("k.n").alias(n)), "kept")
     named = docs.join(kept, (F.col("doc_id") == F.col(own_id)) & (F.xxhash64("text") == F.col(own_key)))
-    once = F.row_number().over(Window.partitionBy(own_id, own_key).orderBy(*docs.columns))
-    again = named.where(F.col(n) > 1).withColumn(place, once).where(F.col(place) == 1)
+    # Copies combine where they are: of a row that stands in a third of the table each task sends one.
+    row = F.struct(*docs.columns)
+    again = named.where(F.col(n) > 1).groupBy(own_id, own_key).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(place)).select(f"{place}.*")
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rest = docs.where(F.col("doc_id").isNull() | wordless)
     return named.where(F.col(n) == 1).select(*docs.columns).unionByName(again.select(*docs.columns)).unionByName(rest)
