@@ -99,7 +99,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _scan(q_ids, q, rows, ids, codes, half, books, rerank):
-    """(query_id, row, by codes) of each query's best in a block, by table scan; ties go to the smaller vec_id."""
+    """(query_id, row, vec_id, by codes) of each query's best in a block, by table scan; ties go to the smaller vec_id."""
     m = codes.shape[1]
     for i in range(0, len(q), 64):
         qs, q_id = q[i : i + 64], q_ids[i : i + 64]
@@ -113,7 +113,7 @@ def _scan(q_ids, q, rows, ids, codes, half, books, rerank):
             near = np.flatnonzero(own >= np.partition(own, len(own) - rerank)[len(own) - rerank]) if len(own) > rerank else np.arange(len(own))
             near = near[own[near] > -np.inf]
             near = near[np.lexsort((ids[near], -own[near]))][:rerank]
-            yield np.full(len(near), q_id[row]), rows[near], own[near]
+            yield np.full(len(near), q_id[row]), rows[near], ids[near], own[near]
 
 
 def _measure(batches):
@@ -133,18 +133,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = R
     queries, so that each pair of them is one bounded task; within it a table of sixteen entries a subspace scores all
     rows. The best `rerank` of a block, and of these the best `rerank_all`, are joined to the original vectors and
     measured exactly, in double precision; ties go to the smaller vec_id.
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids, nor vectors of
-    another length than the most frequent; of queries with one id, the least vector asks; repeated candidate rows are
-    all candidates; with fewer than k, all are returned; an empty table gives no rows; other columns are left out."""
-    spark = vectors.sparkSession
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids; vectors of each
+    length are searched among themselves, by codebooks of their own; of queries with one id and length, the least vector
+    asks; repeated candidate rows are all candidates; with fewer than k, all are returned; an empty table gives no rows;
+    other columns are left out."""
     all_v, all_q = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
-    result = "query_id long, rank int, vec_id long, score double"
-    sizes = all_v.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if sizes is None:
-        return spark.createDataFrame([], result)
-    dim, n = sizes["dim"], sizes["count"]
-    all_v, all_q = all_v.where(F.size("v") == dim), all_q.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_q = all_q.count()
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for (dim,) in all_q.select(F.size("v")).distinct().orderBy(F.size("v")).collect():
+        mine = all_q.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
+        out = out.unionByName(_of_length(all_v.where(F.size("v") == dim), mine, dim, k, rerank, rerank_all, eta))
+    return out
+
+
+def _of_length(all_v: DataFrame, all_q: DataFrame, dim: int, k: int, rerank: int, rerank_all: int, eta: float) -> DataFrame:
+    """`nearest` for vectors of one length."""
+    n, n_q = all_v.count(), all_q.count()
+    if not n:
+        return all_v.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     all_v = materialise(all_v.withColumn("row", F.monotonically_increasing_id()), "vectors")
     sample = all_v.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toArrow()
     books = fit(_pad(_matrix(sample.column("v"), dim).astype(np.float64)), eta)
@@ -181,15 +186,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = R
             packed = packed.view(np.uint8).reshape(-1, half_m)
             codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(packed), -1)[:, :m]
             found = list(_scan(q_ids, q.view(np.float32).reshape(-1, dim), own, ids, codes, half, books, rerank))
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.float32)]
-        return pa.table({"query_id": columns[0], "row": columns[1], "close": columns[2].astype(np.float64)})
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.float32)]
+        return pa.table({"query_id": columns[0], "row": columns[1], "vec_id": columns[2], "close": columns[3].astype(np.float64)})
 
     data = all_v.mapInArrow(lean(index), "bucket int, payload binary")
     data = data.select(F.col("bucket").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(False).alias("asks"), "payload")
     asks = all_q.mapInArrow(lean(pack), "bucket int, payload binary")
     asks = asks.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("bucket").alias("grp"), F.lit(True).alias("asks"), "payload")
-    near = data.unionByName(asks).groupBy("block", "grp").applyInArrow(search, "query_id long, row long, close double")
-    best = Window.partitionBy("query_id").orderBy(F.col("close").desc(), "row")
+    near = data.unionByName(asks).groupBy("block", "grp").applyInArrow(search, "query_id long, row long, vec_id long, close double")
+    best = Window.partitionBy("query_id").orderBy(F.col("close").desc(), "vec_id", "row")
     near = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= rerank_all).select("query_id", "row")
     near = near.join(all_v, "row").join(all_q.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     near = near.select("query_id", "vec_id", "q", "v").mapInArrow(lean(_measure), "query_id long, vec_id long, score double")
