@@ -35,6 +35,8 @@ PATTERNS = {
     "secret": r"""(?i:(?<![A-Za-z])(?:pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|private|auth)[_-]?key)["']?[\x20]{0,2}[=:][\x20]{0,2}["']?(?=[^\s"',;]{0,200}[0-9])[^\s"',;]{8,})"""
     r"""|(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])""",
 }
+#: Names that the pattern of credentials asks for: a word that holds one stands with that kind by the pattern alone.
+ASKED = r"(?i)pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|private|auth)[_-]?key"
 #: What a text must hold for a kind to be looked for.
 _NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "secret": r"""[=:][\x20]{0,2}["']?[^\s"',;]{8}|AKIA|ASIA|gh[pousr]_|xox|sk-"""}
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
@@ -152,8 +154,8 @@ def term_information(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     """(class, term, n_c, n_t, n_ct, evidence, total) of the terms that stand with a protected class, by `support` pieces
     of evidence at least, as a written table.
 
-    Classes are each value, its group and its kind. A term is a word with a letter that holds no match itself. Counts are
-    of documents, over all of them. Evidence is what differs: values or contexts, and texts, of which near copies share
+    Classes are each value, its group and its kind. A term is a word with a letter that holds no match itself, and no
+    name that a pattern asks for, since that tells of its kind by the pattern alone. Counts are of documents, over all of them. Evidence is what differs: values or contexts, and texts, of which near copies share
     most of their minwise words. It is counted as set bits of 64 by its hash, a lower bound that partitions combine like a
     sum, so no group of equal terms or classes meets in one task as it is. Where there are more than COPIES documents for
     each piece of it, up to 32, they are copies for the most part and tell nothing."""
@@ -176,7 +178,7 @@ def term_information(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     both = pairs.groupBy(F.col("k.class").alias("class"), "term").agg(F.count("*").alias("n_ct"), F.first("k.n_c").alias("n_c"), evidence.alias("evidence"))
     both = both.where((F.col("evidence") >= support) & (F.col("evidence") * COPIES >= F.least("n_ct", F.lit(32))))
     t = F.col("term")
-    both = materialise(both.where(t.rlike(r"\p{L}") & (F.size(base_spans(t)) == 0)), "private-pairs")
+    both = materialise(both.where(t.rlike(r"\p{L}") & ~t.rlike(ASKED) & (F.size(base_spans(t)) == 0)), "private-pairs")
     terms = both.select("term").distinct()
     bytes_ = terms.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
     words = docs.select(F.explode(_words(text)).alias("term"))
