@@ -19,8 +19,8 @@ LEAST_WORDS = 30
 #: Bytes of text whose chunks share a bucket, on average: 400,000 chunks, 12 MB, whatever the table and the cluster hold.
 BUCKET_BYTES = 8 << 20
 _KINDS = [np.dtype(np.uint64), np.dtype(np.int64), np.dtype(np.uint32), np.dtype(np.uint32), np.dtype(np.uint16)]
-#: Places of one digest, of 26 bytes each, that may meet in one task.
-HOT_PLACES = 1 << 20
+#: Places of one digest, of 26 bytes each, that may meet in one task, and digests with more, as a share of all chunks.
+HOT_PLACES, HOT_KEYS = 1 << 20, 20_000
 
 
 def cuts(seg: np.ndarray, starts: np.ndarray, mean: int = MEAN) -> np.ndarray:
@@ -80,6 +80,7 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, mean: int = MEAN, i
     small_batches(docs.sparkSession)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
+    most = max(HOT_PLACES, size // mean // HOT_KEYS)
 
     def count(batches):
         """Digests of a partition's chunks with their numbers, combined now and then."""
@@ -105,7 +106,7 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, mean: int = MEAN, i
     def frequent(table: pa.Table) -> pa.Table:
         digest, n = gather(table.column("payload").to_pylist(), [np.dtype(np.uint64), np.dtype(np.int64)])
         digest, at = np.unique(digest, return_inverse=True)
-        return pa.table({"digest": digest[np.bincount(at, n) > HOT_PLACES].view(np.int64)})
+        return pa.table({"digest": digest[np.bincount(at, n) > most].view(np.int64)})
 
     def first_places(batches):
         """Of each hot digest a partition's first and last place."""
@@ -116,18 +117,22 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, mean: int = MEAN, i
             with np.errstate(over="ignore"):
                 for i, j in chunks(at):
                     doc, digest, start, _, _ = chunk_table(data, at, i, j, mean)
-                    for k in np.flatnonzero(np.isin(digest, hot)).tolist():
-                        place = (int(ids[i + doc[k]]), int(start[k]))
-                        low, high = held.get(int(digest[k]), (place, place))
-                        held[int(digest[k])] = min(low, place), max(high, place)
+                    own = np.isin(digest, hot)
+                    digest, doc, start = digest[own], ids[i + doc[own]], start[own]
+                    order = np.lexsort((start, doc, digest))
+                    digest, doc, start = digest[order], doc[order].tolist(), start[order].tolist()
+                    first = np.flatnonzero(np.diff(digest, prepend=~digest[:1]) != 0)
+                    for d, a, b in zip(digest[first].tolist(), first.tolist(), np.append(first[1:], len(digest)).tolist()):
+                        low, high = held.get(d, ((doc[a], start[a]), (doc[b - 1], start[b - 1])))
+                        held[d] = min(low, (doc[a], start[a])), max(high, (doc[b - 1], start[b - 1]))
         if held:
             columns = [np.array(list(held), np.uint64).view(np.int64), *np.array([a + b for a, b in held.values()], np.int64).T]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["digest", "doc", "start", "last_doc", "last_start"])
 
     hot, hot_doc, hot_start, hot_alone = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    if size > HOT_PLACES:
+    if size > most:
         found = texts.mapInArrow(lean(count), "bucket int, payload binary").groupBy("bucket").applyInArrow(frequent, "digest long")
-        # At most the number of chunks over HOT_PLACES.
+        # HOT_KEYS at most, about, since as many chunks as that have more places each than there are.
         hot = np.sort(np.array([r["digest"] for r in found.collect()], np.int64).view(np.uint64))
         if len(hot):
             first = texts.mapInArrow(lean(first_places), "digest long, doc long, start long, last_doc long, last_start long")
