@@ -13,10 +13,12 @@ from .common import gather, lean, materialise, scatter
 SAMPLE = 20_000
 #: Components in a subspace, codes of each, and how much heavier the parallel part of a residual weighs.
 SUB, CODES, ETA = 2, 16, 4.0
-#: Best candidates of each query by codes, in each block and of all blocks, that are measured on the original vectors.
-RERANK, RERANK_ALL = 200, 1000
-#: Rows in a block, queries in a group.
-BLOCK_LEAST, BLOCK_MOST, GROUP = 4096, 131_072, 4096
+#: Best candidates of each query by codes, in each block at most and of all blocks, that are measured on the original
+#: vectors. Rows are dealt to blocks by number, so that several blocks are asked for twice their share of the best.
+RERANK, RERANK_ALL = 1000, 1000
+#: Rows in a block, least and most; queries in a group, most and least: small tables are dealt over tasks by their queries,
+#: so what blocks emit grows with the queries.
+BLOCK_LEAST, BLOCK_MOST, GROUP, GROUP_LEAST = 131_072, 131_072, 4096, 64
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -131,7 +133,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = R
     Least distance is greatest q.x - |x|^2 / 2, an inner product once half the squared norm is kept beside the codes. The
     codebooks are fitted on SAMPLE rows; every row is encoded. Blocks of codes, without their vectors, meet groups of
     queries, so that each pair of them is one bounded task; within it a table of sixteen entries a subspace scores all
-    rows. The best `rerank` of a block, and of these the best `rerank_all`, are joined to the original vectors and
+    rows. The best of a block, `rerank` or fewer, and of these the best `rerank_all`, are joined to the original vectors and
     measured exactly, in double precision; ties go to the smaller vec_id.
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids; vectors of each
     length are searched among themselves, by codebooks of their own; of queries with one id and length, the least vector
@@ -155,7 +157,8 @@ def _of_length(all_v: DataFrame, all_q: DataFrame, dim: int, k: int, rerank: int
     books = fit(_pad(_matrix(sample.column("v"), dim).astype(np.float64)), eta)
     m = books.shape[0]
     blocks = max(1, -(-n // min(BLOCK_MOST, max(BLOCK_LEAST, n // 64))))
-    groups = max(1, -(-n_q // GROUP))
+    groups = max(1, -(-n_q // min(GROUP, max(GROUP_LEAST, n_q // 16))))
+    rerank = max(4 * k, min(rerank, 2 * rerank_all // blocks))
 
     def index(batches):
         for b in batches:

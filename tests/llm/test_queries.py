@@ -221,6 +221,25 @@ def test_op6(spark, tmp_path, monkeypatch):
     assert hit >= 0.9 * 10 * len(got)
 
 
+def test_op6_ties_go_to_the_smaller_ids(spark, monkeypatch):
+    """3,000 equal vectors among others, over ten blocks, in falling order of ids."""
+    monkeypatch.setattr(neighbours, "BLOCK_MOST", 400)
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(3000, 0, -1)] + [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(4000, 5000)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(2)
+    got = neighbours.nearest(vectors, vectors.where("vec_id in (100, 7)")).orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5, 6, 8, 9, 10, 11, *range(1, 11)]
+    assert {r["score"] for r in got} == {0.0}
+
+
+def test_op6_searches_vectors_of_each_length(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 40)] + [(i, [float(i), 1.0, 2.0]) for i in range(40, 52)] + [(100, [5.0]), (200, [1.0, 2.0, 3.0, 4.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = vectors.where("vec_id in (1, 40, 100, 200)").unionByName(spark.createDataFrame([(300, [0.0, 0.0, 0.0, 1.0, 1.0])], vectors.schema))
+    got = neighbours.nearest(vectors, asked, 3)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2, 1.0), (1, 2, 3, 2.0), (1, 3, 4, 3.0), (40, 1, 41, 1.0), (40, 2, 42, 2.0), (40, 3, 43, 3.0)]
+
+
 def test_op7(spark, sf, data):
     at = 0
     for r, d, ids in zip(sorted(run(spark, sf, "op7_dac_ids"), key=lambda r: r["doc_id"]), data, encoded("word_bpe_49k.json", [d[1] for d in data]), strict=True):
@@ -322,6 +341,19 @@ def test_stage_near_duplicates_judges_texts_of_one_id(spark):
     assert got == collections.Counter([(1, a), (1, b), (3, c), (4, None), (5, ""), (None, a)])
 
 
+def test_stage_near_duplicates_takes_columns_of_any_type(spark):
+    """Of repeated rows one stays, whole, also where a column can't be ordered."""
+    text = prose(random.Random(3), 60)
+    rows = [(1, text, {"k": str(i % 3)}, [i % 3], bytes([i % 3])) for i in range(30)] + [(2, text + " x", {}, [], b""), (3, "other words", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,string>, parts array<int>, raw binary").repartition(5)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.schema == docs.schema
+    one, other = sorted(got.collect(), key=lambda r: r["doc_id"])
+    assert (one["doc_id"], one["tags"]["k"], bytes(one["raw"])) == (1, str(one["parts"][0]), bytes(one["parts"])) and other["doc_id"] == 3
+    again = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), "").where("doc_id = 1").first()
+    assert again["parts"] == one["parts"]
+
+
 def test_stages_mix_and_pack(spark, sf, data):
     docs = spark.createDataFrame(data, DOCS)
     con = duckdb.connect()
