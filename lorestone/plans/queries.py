@@ -270,6 +270,21 @@ def traverse_bfs(v: Views) -> DataFrame:
     return graph.walk(g, _start(v), 2, "rel_r").select("query_id", "node", "depth", F.array_join("path", ">").alias("path"))
 
 
+_FROM = "(SELECT s_suppkey AS query_id, 's' || s_suppkey AS node FROM supplier)"
+_HOP = "SELECT d.query_id, l.other AS node, min(list_append(d.path, l.other)) AS path FROM {last} d JOIN links l ON l.node = d.node WHERE l.relation = 'rel_n' AND (d.query_id, l.other) NOT IN (SELECT query_id, node FROM {seen}) GROUP BY 1, 2"
+
+
+@query(_with([_STATE, _LINKS, f"d0 AS (SELECT query_id, node, [node] AS path FROM {_FROM})", f"d1 AS ({_HOP.format(last='d0', seen='d0')})",
+ "u1 AS (SELECT query_id, node FROM d0 UNION ALL SELECT query_id, node FROM d1)", f"d2 AS ({_HOP.format(last='d1', seen='u1')})",
+ "u2 AS (SELECT query_id, node FROM u1 UNION ALL SELECT query_id, node FROM d2)", f"d3 AS ({_HOP.format(last='d2', seen='u2')})"],
+ "SELECT query_id, node, depth, array_to_string(path, '>') AS path FROM (SELECT *, 1 AS depth FROM d1 UNION ALL SELECT *, 2 FROM d2 UNION ALL SELECT *, 3 FROM d3) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY depth, node) <= 2000"))
+def traverse_3hops(v: Views) -> DataFrame:
+    """From every supplier to its customers, their suppliers, and these suppliers' customers, up to 2,000 nodes."""
+    start = v.table("supplier").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    paths = graph.walk(graph.graph_state(v.edges(), as_of()), start, 3, "rel_n", 2000)
+    return paths.select("query_id", "node", "depth", F.array_join("path", ">").alias("path"))
+
+
 @query(sql(f"""SELECT nid, relation, max(updated_at) AS ts, min(edge_id) AS ek FROM (SELECT dst_id AS nid, * FROM edges WHERE src_id IN ('s1', 's2') UNION ALL SELECT src_id AS nid, * FROM edges WHERE dst_id IN ('s1', 's2'))
 WHERE valid_to > {AS_OF_SQL} AND relation = 'rel_r' GROUP BY 1, 2 ORDER BY ts DESC, ek LIMIT 100"""))
 def neighbors_fallback(v: Views) -> DataFrame:
@@ -313,7 +328,17 @@ def keyset_page_ranged(v: Views) -> DataFrame:
     return log.page((AS_OF, "2"), 500).select("edge_id", "updated_at")
 
 
-@query(sql("""SELECT fact_id, status, valid_from, CASE WHEN status = 'active' THEN least(valid_to, coalesce(min(CASE WHEN status = 'active' THEN valid_from END) OVER (PARTITION BY scope, subject_id, predicate ORDER BY valid_from, fact_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), valid_to)) ELSE valid_to END AS valid_to FROM facts"""))
+_ENDED_BY_NEXT = sql("""SELECT fact_id, status, valid_from, CASE WHEN status = 'active' THEN least(valid_to, coalesce(min(CASE WHEN status = 'active' THEN valid_from END) OVER (PARTITION BY scope, subject_id, predicate ORDER BY valid_from, fact_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), valid_to)) ELSE valid_to END AS valid_to FROM facts""")
+
+
+@query(_ENDED_BY_NEXT.replace("PARTITION BY scope, subject_id, predicate", "PARTITION BY scope, predicate"))
+def supersede_split(v: Views) -> DataFrame:
+    """All facts told of one subject, in a few groups that are each cut into ranges of time."""
+    rows = v.facts().withColumns({"subject_id": F.lit("s"), "closes": F.col("status") == "active"})
+    return facts.supersede_split(rows, 400).select("fact_id", "status", "valid_from", "valid_to")
+
+
+@query(_ENDED_BY_NEXT)
 def supersede_batch(v: Views) -> DataFrame:
     return facts.supersede(v.facts().withColumn("closes", F.col("status") == "active")).select("fact_id", "status", "valid_from", "valid_to")
 
