@@ -159,6 +159,58 @@ def test_close_and_reopen_keep_their_order(spark):
     assert [(r["src_id"], r["relation"]) for r in graph.graph_state(g, now()).collect()] == [("A", "new")]
 
 
+def test_an_edge_that_ended_and_began_anew_is_open(spark):
+    """Twenty pairs asserted twice: in the state, a rebuild, and pages of any size, whichever event's id is greater."""
+    store = frame(spark, [fact("f0", "v0")], schemas.FACTS).where("false")
+    none = frame(spark, [], schemas.EDGES)
+    batch = lambda value, d: inputs(spark, [("a", f"s{k}", "is", value, "t", 0.9, None, "human", "u", None, day(d)) for k in range(20)])
+    first = facts.assert_facts(batch("one", 2), store, none, ids=False)
+    held = spark.createDataFrame(first.applied(store).collect(), schemas.FACTS)
+    edges = spark.createDataFrame(first.applied_edges(none).collect(), schemas.EDGES)
+    edges = spark.createDataFrame(facts.assert_facts(batch("two", 3), held, edges, ids=False).applied_edges(edges).collect(), schemas.EDGES)
+    assert edges.count() == 40 and edges.where("updated_at = timestamp'2024-01-03'").count() == 40
+    ids = [f"s{k}" for k in range(20)] + ["t"]
+    known = frame(spark, [(i, "a", "x", i, i, {}, day(1), day(1), day(1)) for i in ids], schemas.ENTITIES)
+    pairs = lambda df: sorted((r["src_id"], r["dst_id"]) for r in df.collect())
+    want = sorted((f"s{k}", "t") for k in range(20))
+    assert pairs(graph.graph_state(edges, now())) == pairs(graph.rebuild(known, edges, now()).edges) == want
+    empty = graph.Projection(graph.vertices(known).limit(0), edges.limit(0), graph.cursor_start(), graph.cursor_start())
+    for size in (7, 40):
+        assert pairs(graph.drain(empty, known, edges, now(), size)[0].edges) == want
+
+
+def test_ranked_links_leave_the_same_walk(spark):
+    """A walk of few nodes over nodes of many links, against one that knows all links."""
+    import random
+
+    r = random.Random(4)
+    rows = [edge(str(k), f"n{r.randint(0, 40):02}", f"n{r.randint(0, 40):02}") for k in range(700)]
+    state = graph.graph_state(frame(spark, rows, schemas.EDGES), now())
+    start = frame(spark, [(k, f"n{k:02}") for k in range(0, 40, 4)], "query_id long, node string")
+    links = {}
+    for e in state.collect():
+        links.setdefault(e["src_id"], set()).add(e["dst_id"])
+        links.setdefault(e["dst_id"], set()).add(e["src_id"])
+    for most in (3, 9):
+        want = []
+        for k in range(0, 40, 4):
+            level, found, depth = {f"n{k:02}": [f"n{k:02}"]}, {f"n{k:02}": 0}, 0
+            told = []
+            while depth < 3 and len(told) < most:
+                depth += 1
+                new = {}
+                for path in sorted(level.values()):
+                    for other in links.get(path[-1], ()):
+                        if other not in found and (other not in new or path < new[other][:-1]):
+                            new[other] = [*path, other]
+                level = dict(sorted(new.items())[:most])
+                found |= dict.fromkeys(level, depth)
+                told += [(k, n, depth, p) for n, p in level.items()]
+            want += told[:most]
+        got = sorted((x["query_id"], x["node"], x["depth"], x["path"]) for x in graph.walk(state, start, 3, most=most).collect())
+        assert got == sorted(want)
+
+
 def test_projection_stops_at_what_must_wait(spark):
     g = frame(spark, [edge("1", "A", "B"), edge("2", "A", "ghost", start=2), edge("3", "A", "late", start=3), edge("4", "A", "B", start=4)], schemas.EDGES)
     nodes = frame(spark, [("A",), ("B",)], "ch_id string")
