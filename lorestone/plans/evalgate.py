@@ -65,7 +65,7 @@ def run_evals(files: list[EvalFile], observations: DataFrame, entities: DataFram
     questions = spark.createDataFrame([(i, scope, q.q, v, q.k) for (i, scope, q), v in zip(every, vectors)], "query_id string, scope string, q string, qvec array<double>, k int")
     expected = spark.createDataFrame([(i, k) for i, _, q in every for k in q.must_reference_entities], "query_id string, raw string")
     rows = materialise(ask(questions, expected, observations, entities).select("query_id", "scope", "q", "passed", "error"), "evals")
-    passed, asked, errored = rows.agg(F.count_if("passed"), F.count_if("error is null"), F.count_if("error is not null")).first()
+    passed, asked, errored = rows.agg(F.count_if("passed"), F.count_if(F.col("error").isNull()), F.count_if(F.col("error").isNotNull())).first()
     return Score(passed, asked, errored), rows.where("error is null").drop("error")
 
 
