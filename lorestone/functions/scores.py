@@ -30,6 +30,12 @@ def clamp_confidence(c: Column) -> Column:
     return F.when(F.isnan(c), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
+def two_decimals(c: Column) -> Column:
+    """A confidence, which is a float, to the nearest hundredth; what lies in the middle goes to the even one, as C has it.
+    A float times 100 is exact in double precision."""
+    return F.rint(c.cast("float").cast("double") * 100) / 100
+
+
 def trust_floor(value: float | None) -> float:
     return value if value is not None and not math.isnan(value) and 0 <= value <= 1 else TRUST_FLOOR
 

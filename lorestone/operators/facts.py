@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import clamp_confidence, trust_status
+from ..functions.scores import clamp_confidence, trust_status, two_decimals
 from ..functions.text import canonical_uuid, reason, stable_id, trim
 from ..scratch import materialise
 from ..sources.schemas import EDGES, FOREVER, NIL, VISIBILITIES
@@ -166,7 +166,7 @@ def assert_facts(inputs: DataFrame, facts: DataFrame, edges: DataFrame | None =
     mine = changed.where("fresh").join(ends, [*GROUP, "valid_from"], "left")
     closes = F.when(F.col("status") == "active", F.coalesce("superseded", F.lit(0))).otherwise(0)
     edge = F.when((F.col("status") == "active") & F.col("object_id").isNotNull(), "y").otherwise("n")
-    summary = F.format_string("status=%s confidence=%.2f superseded=%d edge=%s vis=%s", F.col("status"), F.col("confidence").cast("double"), closes, edge, F.col("visibility"))
+    summary = F.format_string("status=%s confidence=%.2f superseded=%d edge=%s vis=%s", F.col("status"), two_decimals(F.col("confidence")), closes, edge, F.col("visibility"))
     audit = audit_rows(mine, "assert_fact", "facts", "fact_id", summary, F.col("valid_from"))
     fresh_edges = mint_edges(changed.where("fresh").select(*facts.columns))
     if edges is not None:
@@ -190,7 +190,7 @@ def promote_facts(requests: DataFrame, facts: DataFrame) -> WriteResult:
     new = good.withColumns({"fact_id": stable_id(F.lit("promoted"), F.col("fact_id")), "status": F.lit("active"), "valid_from": F.col("at"), "valid_to": _forever(), "updated_at": F.col("at"), "written_by": F.col("actor_id")})
     delta = new.select(*facts.columns).unionByName(good.withColumn("valid_to", F.col("at")).select(*facts.columns))
     edge = F.when(F.col("object_id").isNotNull(), "y").otherwise("n")
-    summary = F.format_string("from=proposed to=active confidence=%.2f prior=%s edge=%s vis=%s", F.col("confidence").cast("double"), F.col("prior"), edge, F.col("visibility"))
+    summary = F.format_string("from=proposed to=active confidence=%.2f prior=%s edge=%s vis=%s", two_decimals(F.col("confidence")), F.col("prior"), edge, F.col("visibility"))
     audit = audit_rows(new, "promote_fact", "facts", "fact_id", summary, F.col("at"))
     return WriteResult(delta, mint_edges(new.select(*facts.columns)), audit, asked.where("error is not null").select(*requests.columns, "error"))
 

@@ -2,10 +2,14 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lorestone.functions import scores
 from lorestone.operators import graph
+from lorestone.plans.queries import ORACLES, QUERIES
+from lorestone.plans.views import Views, sql
 
 
 @pytest.mark.parametrize("read", [(1, 8, None), (0, 1, None), (0, 0, None), (None,)])
@@ -46,3 +50,18 @@ def test_a_level_reads_the_first_neighbours(spark):
     level = spark.createDataFrame([(1, 88, ["s", *hubs], [["s", h] for h in hubs])], "query_id long, left int, seen array<string>, paths array<array<string>>").withColumn("bound", F.lit(None).cast("string"))
     row = graph._expand(level, links, 100, 1).first()
     assert (row["left"], row["open"], sorted(p[-1] for p in row["paths"])) == (0, False, [f"n{i:04d}" for i in range(88)])
+
+
+def test_audits_round_as_c_does(spark):
+    rows = spark.createDataFrame([(0.125,), (0.375,), (0.625,), (0.875,), (0.005,), (0.12,), (1.0,)], "c float")
+    assert [r[0] for r in rows.select(F.format_string("%.2f", scores.two_decimals(F.col("c")))).collect()] == ["0.12", "0.38", "0.62", "0.88", "0.00", "0.12", "1.00"]
+
+
+def test_confidence_is_rounded_as_duckdb_does(spark, tmp_path):
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT i AS o_orderkey, i AS o_custkey, 'P' AS o_orderstatus, CASE i WHEN 0 THEN 62500.25 WHEN 1 THEN 252500.25 WHEN 2 THEN 62500.0 ELSE i / 4.0 END::DOUBLE AS o_totalprice, TIMESTAMP '1996-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(4000) t(i)) TO '{tmp_path}/orders.parquet'")
+    con.sql(f"CREATE VIEW orders AS FROM '{tmp_path}/orders.parquet'")
+    got = [tuple(r) for r in Views(spark, str(tmp_path)).facts().select("fact_id", "confidence").orderBy("fact_id").collect()]
+    assert got == con.sql(sql("SELECT fact_id, confidence FROM facts ORDER BY 1")).fetchall()
+    audit = sorted(tuple(r) for r in QUERIES["promote_audit"](spark, str(tmp_path)).collect())
+    assert audit == sorted(con.sql(ORACLES["promote_audit"]).fetchall())
