@@ -19,6 +19,8 @@ GROUP = ["scope", "subject_id", "predicate"]
 LINK = ["scope", "src_id", "relation"]
 #: Rows of a group that one task closes.
 HOT_GROUP = 1_000_000
+#: Ranges that groups are cut into, unless they would hold more than half of HOT_GROUP rows each.
+RANGES = 256
 #: Bytes of each string of a fact.
 FACT_BYTES = 2_000
 
@@ -42,12 +44,18 @@ def _forever() -> Column:
     return F.lit(FOREVER).cast("timestamp")
 
 
+def _later(group: list[str], *order: str):
+    """The rows of a group that follow in this order. They are told as those before in the reverse order: Spark adds up a
+    frame that begins at the first row as it goes, but one that ends at the last row anew for each row."""
+    return Window.partitionBy(*group).orderBy(*[F.col(c).desc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def supersede(facts: DataFrame) -> DataFrame:
     """facts with valid_to cut to the valid_from of the next row of the same scope, subject and predicate that closes.
 
     Rows need `closes`: whether they are fresh active assertions. Only active rows are closed; what promotion made active
     closes nothing; an earlier end stays. One window replaces one-at-a-time application in order of valid_from."""
-    after = Window.partitionBy(*GROUP).orderBy("valid_from", "fact_id").rowsBetween(1, Window.unboundedFollowing)
+    after = _later(GROUP, "valid_from", "fact_id")
     nxt = F.min(F.when(F.col("closes"), F.col("valid_from"))).over(after)
     return facts.withColumn("valid_to", F.when((F.col("status") == "active") & nxt.isNotNull(), F.least("valid_to", nxt)).otherwise(F.col("valid_to")))
 
@@ -56,21 +64,22 @@ def supersede_split(facts: DataFrame, most: int = HOT_GROUP) -> DataFrame:
     """As `supersede`, where a group may have any number of rows: those of more than `most` are cut into ranges of time.
 
     A range finds the next row that closes among its own; after its last one it takes the first of the ranges to come:
-    a suffix minimum over as many values as there are ranges. Groups that large are as few as all rows over `most`, so
+    a suffix minimum over as many values as there are ranges. These are RANGES at most as long as they stay small, since
+    each is a task and a file. Groups that large are as few as all rows over `most`, so
     they are told to all tasks, and the others take the plain way."""
     hot = materialise(facts.groupBy(*GROUP).agg(F.count("*").alias("_n")).where(F.col("_n") > most), "hot-groups")
     total = hot.agg(F.sum("_n")).first()[0]
     if not total:
         return supersede(facts)
     marked = facts.join(F.broadcast(hot.select(*GROUP, F.lit(True).alias("_hot"))), GROUP, "left")
-    parts = 2 * -(-total // most)
+    parts = min(2 * -(-total // most), max(RANGES, 2 * -(-total // HOT_GROUP)))
     laid = marked.where("_hot").drop("_hot").repartitionByRange(parts, *GROUP, "valid_from", "fact_id").withColumn("_range", F.spark_partition_id())
     laid = materialise(laid, "group-ranges")
     first = F.min(F.when(F.col("closes"), F.col("valid_from")))
     firsts = laid.groupBy("_range", *GROUP).agg(first.alias("_first"))
     to_come = Window.partitionBy(*GROUP).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = firsts.withColumn("_carry", F.min("_first").over(to_come)).drop("_first")
-    inside = Window.partitionBy("_range", *GROUP).orderBy("valid_from", "fact_id").rowsBetween(1, Window.unboundedFollowing)
+    inside = _later(["_range", *GROUP], "valid_from", "fact_id")
     rows = laid.withColumn("_next", first.over(inside)).join(F.broadcast(carry), ["_range", *GROUP])
     nxt = F.coalesce("_next", "_carry")
     ends = F.when((F.col("status") == "active") & nxt.isNotNull(), F.least("valid_to", nxt)).otherwise(F.col("valid_to"))
@@ -122,7 +131,7 @@ def superseded_edges(edges: DataFrame, closers: DataFrame) -> DataFrame:
     live = edges.join(closers.select(*LINK).distinct(), LINK, "left_semi")
     rows = live.select(*LINK, F.col("valid_from").alias("t"), F.lit(False).alias("ends"), F.struct(*edges.columns).alias("edge"))
     ends = closers.select(*LINK, F.col("at").cast(dict(edges.dtypes)["valid_from"]).alias("t"), F.lit(True).alias("ends"), F.lit(None).cast(rows.schema["edge"].dataType).alias("edge"))
-    after = Window.partitionBy(*LINK).orderBy("t", "ends").rowsBetween(1, Window.unboundedFollowing)
+    after = _later(LINK, "t", "ends")
     hit = rows.unionByName(ends).withColumn("at", F.min(F.when(F.col("ends"), F.col("t"))).over(after)).where(~F.col("ends"))
     hit = hit.where(F.col("edge.valid_to") > F.col("at")).select("edge.*", "at")
     return hit.withColumns({"valid_to": F.col("at"), "updated_at": F.col("at")}).select(*edges.columns)

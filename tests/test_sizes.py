@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorestone.functions import scores
-from lorestone.operators import graph
+from lorestone.operators import facts, graph
 from lorestone.plans.queries import ORACLES, QUERIES
 from lorestone.plans.views import Views, sql
+from lorestone.scratch import materialise
+from lorestone.sources import ranged
 
 
 @pytest.mark.parametrize("read", [(1, 8, None), (0, 1, None), (0, 0, None), (None,)])
@@ -65,3 +67,38 @@ def test_confidence_is_rounded_as_duckdb_does(spark, tmp_path):
     assert got == con.sql(sql("SELECT fact_id, confidence FROM facts ORDER BY 1")).fetchall()
     audit = sorted(tuple(r) for r in QUERIES["promote_audit"](spark, str(tmp_path)).collect())
     assert audit == sorted(con.sql(ORACLES["promote_audit"]).fetchall())
+
+
+def test_what_follows_is_added_up_as_it_goes(spark):
+    """A frame to the last row is added up anew for each row, so its time grows with the square of a group."""
+    rows = spark.range(1000).select(F.lit("a").alias("scope"), F.lit("b").alias("subject_id"), F.lit("c").alias("predicate"), F.format_string("%05d", "id").alias("fact_id"), F.lit("active").alias("status"), (F.col("id") % 7 == 0).alias("closes"), F.timestamp_seconds(F.col("id")).alias("valid_from"), F.lit("2100-01-01").cast("timestamp").alias("valid_to"))
+    for got in (facts.supersede(rows), facts.supersede_split(rows, 100)):
+        assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
+        ends = {r["fact_id"]: r["s"] for r in got.select("fact_id", F.unix_seconds("valid_to").alias("s")).collect()}
+        assert all(ends[f"{i:05d}"] == (i // 7 + 1) * 7 for i in range(994)) and len(ends) == 1000
+
+
+def test_small_ranges_of_groups_are_few(spark, monkeypatch):
+    made = {}
+    monkeypatch.setattr(facts, "materialise", lambda df, name: made.setdefault(name, materialise(df, name)))
+    monkeypatch.setattr(facts, "RANGES", 6, raising=False)
+    rows = spark.range(500).select(F.lit("a").alias("scope"), F.lit("b").alias("subject_id"), F.lit("c").alias("predicate"), F.format_string("%05d", "id").alias("fact_id"), F.lit("active").alias("status"), F.lit(True).alias("closes"), F.timestamp_seconds(F.col("id")).alias("valid_from"), F.lit("2100-01-01").cast("timestamp").alias("valid_to"))
+    got = facts.supersede_split(rows, 10)
+    assert sorted(r[0] for r in got.select(F.unix_seconds("valid_to")).collect())[:499] == list(range(1, 500))
+    assert made["group-ranges"].select("_range").distinct().count() <= 6
+
+
+def test_ranges_hold_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranged, "PART_ROWS", 50, raising=False)
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), "id")
+    table = ranged.RangedTable(spark, str(tmp_path / "t"), ["k"])
+    table.write(rows.where("k % 2 = 0"), 0, 3)
+    table.write(rows.where("k % 2 = 1"), 1, 3)
+    n = [r["count"] for r in table.read().groupBy("part").count().collect()]
+    assert len(n) >= 9 and sum(n) == 1000 and max(n) < 200
+    lows = [p.low[0] for p in table.ranges()]
+    for r in table.read().where("batch = 1").collect():
+        assert r["part"] == max([i for i, low in enumerate(lows) if low <= r["k"]], default=0)
+    files = table.read().groupBy(F.input_file_name()).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert files < 150
+    assert [r["k"] for r in table.page((499,), 30).collect()] == list(range(500, 530))
