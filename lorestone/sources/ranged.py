@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import forget, materialise
+
 #: Ranges that a table may have: their bounds go to the driver and into expressions.
 PARTS = 4_096
 #: Ranges that a reader's filter names one by one; more are left to a filter on the key.
 LISTED = 1_000
+#: Rows that a range holds, and a task sorts, at most, as long as PARTS allows.
+PART_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -58,15 +63,18 @@ class RangedTable:
         return F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(self.key, key)])
 
     def write(self, rows: DataFrame, batch: int = 0, parts: int = 8) -> None:
-        """A batch of rows, in place of what was written under its number before. `parts`: the ranges that it may make."""
+        """A batch of rows, in place of what was written under its number before. `parts`: the ranges that it makes; it
+        makes more if they would hold over PART_ROWS rows each. The rows are written first, so that they are computed
+        once, counted, and dealt to tasks by their number."""
+        rows = materialise(rows, "ranged-rows")
         known = self.ranges(but=batch)
         first = max((p.part for p in known), default=-1) + 1
         if not known:
-            laid = self._lay(rows, parts, first)
+            laid = self._lay(rows, parts, first, PARTS // 2)
         elif self.grows:
             top = self._literal(rows, max(p.high for p in known))
             beyond = self._struct() > top
-            laid = self._dealt(rows.where(~beyond), known).unionByName(self._lay(rows.where(beyond), parts, first))
+            laid = self._dealt(rows.where(~beyond), known).unionByName(self._lay(rows.where(beyond), parts, first, (PARTS - len(known)) // 2))
         else:
             laid = self._dealt(rows, known)
         if not self.exists():
@@ -77,17 +85,25 @@ class RangedTable:
             made = self.spark.read.schema(laid.schema).parquet(folder).where(F.col("part") >= first)
             made = made.groupBy("part").agg(F.min(self._struct()).alias("low"), F.max(self._struct()).alias("high"))
             made.write.mode("overwrite").parquet(f"{self.path}/ranges/batch={batch}")
+        forget(rows)
 
-    def _lay(self, rows: DataFrame, parts: int, first: int) -> DataFrame:
-        laid = rows.repartitionByRange(parts, *self.key).sortWithinPartitions(*self.key)
-        return laid.withColumn("part", F.spark_partition_id() + first)
+    def _lay(self, rows: DataFrame, parts: int, first: int, most: int) -> DataFrame:
+        parts = max(parts, min(-(-rows.count() // PART_ROWS), most))
+        laid = rows.repartitionByRange(parts, *self.key).withColumn("part", F.spark_partition_id() + first)
+        return laid.sortWithinPartitions("part", *self.key)
 
     def _dealt(self, rows: DataFrame, known: list[Part]) -> DataFrame:
-        """rows with the last range whose least key isn't beyond theirs; keys before all ranges go to the first."""
-        lows = F.array(*[F.struct(F.lit(p.part).alias("part"), self._literal(rows, p.low).alias("low")) for p in known])
-        under = F.filter(lows, lambda p: p["low"] <= self._struct())
-        part = F.coalesce(F.try_element_at(under, F.lit(-1))["part"], F.lit(known[0].part))
-        return rows.withColumn("part", part).repartition("part").sortWithinPartitions("part", *self.key)
+        """rows with the last range whose least key isn't beyond theirs; keys before all ranges go to the first. Ranges are
+        looked up by runs of them, so that a row meets a few and not all. Many rows are dealt to tasks by their own keys,
+        so a range may get several files, each sorted."""
+        one = lambda p: F.struct(F.lit(p.part).alias("part"), self._literal(rows, p.low).alias("low"))
+        run = math.isqrt(len(known))
+        runs = F.array(*[F.struct(self._literal(rows, known[i].low).alias("low"), F.array(*[one(p) for p in known[i : i + run]]).alias("parts")) for i in range(0, len(known), run)])
+        last = lambda listed: F.try_element_at(F.filter(listed, lambda p: p["low"] <= self._struct()), F.lit(-1))
+        part = F.coalesce(last(last(runs)["parts"])["part"], F.lit(known[0].part))
+        tasks = -(-rows.count() // PART_ROWS)
+        dealt = rows.repartitionByRange(tasks, *self.key).withColumn("part", part) if tasks > 1 else rows.withColumn("part", part).repartition("part")
+        return dealt.sortWithinPartitions("part", *self.key)
 
     def read(self) -> DataFrame:
         """All rows, with `batch` and `part`."""
