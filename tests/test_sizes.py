@@ -1,13 +1,15 @@
 """Steps whose tasks must stay small as their input grows."""
 
 import random
+import tracemalloc
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lorestone.functions import scores
-from lorestone.operators import facts, graph
+from lorestone.operators import facts, graph, similar, versioned
 from lorestone.plans.queries import ORACLES, QUERIES
 from lorestone.plans.views import Views, sql
 from lorestone.scratch import materialise
@@ -102,3 +104,38 @@ def test_ranges_hold_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
     files = table.read().groupBy(F.input_file_name()).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     assert files < 150
     assert [r["k"] for r in table.page((499,), 30).collect()] == list(range(500, 530))
+
+
+def test_large_pages_are_not_brought_to_one_task(spark, monkeypatch):
+    monkeypatch.setattr(versioned, "TOP_ROWS", 40, raising=False)
+    rows = spark.range(1000).select((F.col("id") * 7919 % 100).alias("ts"), F.col("id").alias("tie"))
+    got = versioned.keyset_page(rows, "ts", "tie", F.lit(10), F.lit(500), 300)
+    want = sorted((r["ts"], r["tie"]) for r in rows.collect())
+    want = [x for x in want if x > (10, 500)][:300]
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert "limit=300" not in got._jdf.queryExecution().executedPlan().toString()
+    page = spark.range(100).select(F.col("id").alias("updated_at"), F.col("id").cast("string").alias("edge_id"), F.when(F.col("id").isin(60, 80), "deferrable").otherwise("resolved").alias("outcome"))
+    done = graph.projectable(page)
+    assert done.count() == 60 and "Window" not in done._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_rows_take_bounded_memory():
+    """Of 8,192 questions to as many equal rows and others, a task measures a number a pair, and no pair's vectors."""
+    r = np.random.default_rng(5)
+    n, dim = 4096, 64
+    x = np.where(r.random((n, 1)) < 0.3, 1.0, r.normal(size=(n, dim)))
+    q = np.concatenate([np.ones((1000, dim)), r.normal(size=(3000, dim))])
+    ids = np.array([f"o{i:05d}" for i in r.permutation(n)], object)
+    scopes, opens = np.array(["a"] * n, object), r.random(n) < 0.9
+    tracemalloc.start()
+    near = similar._Nearest(list(range(len(q))), ["b"] * len(q), q, 20)
+    for i in range(0, n, 1024):
+        near.see(x[i : i + 1024], ids[i : i + 1024], scopes[i : i + 1024], opens[i : i + 1024])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    for k in (0, 999, 1000, 2500, 3999):
+        dots = lambda a, b: np.cumsum(a * b, axis=-1)[..., -1]
+        far = 1 - dots(x, q[k]) / (np.sqrt(dots(x, x)) * np.sqrt(dots(q[k], q[k])))
+        want = sorted((far[i], ids[i]) for i in range(n) if opens[i])[:20]
+        assert [(f, i) for f, i in zip(near.far[k], near.ids[k])] == want
