@@ -19,7 +19,9 @@ LEG, MOST = 20, 50
 #: Bytes of question vectors that a task holds at once; more questions are asked in several blocks.
 QUESTION_BYTES = 32 << 20
 #: Rows times questions that are compared at once.
-PAIRS = 1 << 21
+PAIRS = 1 << 20
+#: Rows of a block of them, and questions whose results are emitted at once.
+ROWS = 4_096
 #: Distances by matrix products differ from those summed term by term by less.
 NEAR = 1e-9
 
@@ -84,50 +86,86 @@ class _Nearest:
     and emits `leg` rows a question at most, and any two tasks' results merge the same way."""
 
     def __init__(self, names: list, scopes: list, q: np.ndarray, leg: int):
-        self.names, self.scopes, self.q, self.leg = names, np.array(scopes, object), q, leg
+        self.names, self.q, self.leg = names, q, leg
+        # Scopes are compared by their numbers.
+        self.codes = {c: i for i, c in enumerate(dict.fromkeys(c for c in scopes if c is not None))}
+        self.scopes = np.array([self.codes.get(c, -2) for c in scopes], np.int32)
         self.norm = np.sqrt(self._dots(q, q))
         self.kth = np.full(len(q), np.inf)
-        self.who, self.far, self.ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        self.count = np.zeros(len(q), np.int64)
+        self.far, self.ids = np.zeros((len(q), leg)), np.empty((len(q), leg), object)
 
     @staticmethod
-    def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Inner products of pairs, summed term by term from the first on."""
-        return np.cumsum(a * b, axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
+    def _dots(a: np.ndarray, b: np.ndarray, i=slice(None), j=slice(None)) -> np.ndarray:
+        """Inner products of pairs (rows i of a, rows j of b), summed term by term from the first on: a column at a time,
+        so that no more than a number a pair is held."""
+        total = a[i, 0] * b[j, 0] if a.shape[1] else np.zeros(len(a[i]))
+        for d in range(1, a.shape[1]):
+            total += a[i, d] * b[j, d]
+        return total
 
     def see(self, x: np.ndarray, ids: np.ndarray, scopes: np.ndarray, opens: np.ndarray) -> None:
         norm = np.sqrt(self._dots(x, x))
-        some = norm != 0
-        x, ids, scopes, opens, norm = x[some], ids[some], scopes[some], opens[some], norm[some]
-        if not len(x):
-            return
-        found = []
+        some = np.flatnonzero(norm != 0)
+        # In order of ids, so that equally near rows of a block come in that order.
+        some = some[np.argsort(ids[some], kind="stable")]
+        x, ids, opens, norm = x[some], ids[some], opens[some], norm[some]
+        scopes = np.array([self.codes.get(c, -1) for c in scopes[some]], np.int32)
+        for i in range(0, len(x), ROWS):
+            block = slice(i, i + ROWS)
+            self._see(x[block], ids[block], scopes[block], opens[block], norm[block])
+
+    def _see(self, x: np.ndarray, ids: np.ndarray, scopes: np.ndarray, opens: np.ndarray, norm: np.ndarray) -> None:
         step = max(1, PAIRS // len(x))
         for i in range(0, len(self.q), step):
             own = slice(i, i + step)
+            far = x @ self.q[own].T
+            far /= norm[:, None] * self.norm[None, own]
+            np.subtract(1, far, out=far)
+            far[np.isnan(far)] = np.inf
             seen = opens[:, None] | (scopes[:, None] == self.scopes[None, own])
-            far = 1 - (x @ self.q[own].T) / (norm[:, None] * self.norm[None, own])
-            far = np.where(np.isnan(far), np.inf, far)
-            far_seen = np.where(seen, far, np.inf)
-            bound = np.minimum(np.partition(far_seen, self.leg - 1, axis=0)[self.leg - 1], self.kth[own]) if len(x) > self.leg else self.kth[own]
+            bound = self.kth[own]
+            if len(x) > self.leg and np.isinf(bound).any():
+                bound = np.minimum(np.partition(np.where(seen, far, np.inf), self.leg - 1, axis=0)[self.leg - 1], bound)
             row, who = np.nonzero(seen & (far <= bound[None] + NEAR))
-            found.append((who + i, row))
-        who, row = (np.concatenate(c) for c in zip(*found))
-        far = 1 - self._dots(x[row], self.q[who]) / (norm[row] * self.norm[who])
-        self.who, self.far, self.ids = np.concatenate([self.who, who]), np.concatenate([self.far, far]), np.concatenate([self.ids, ids[row]])
-        self._cut()
-
-    def _cut(self) -> None:
-        order = np.lexsort((np.unique(self.ids, return_inverse=True)[1] if len(self.ids) else self.ids, self.far, self.who))
-        who = self.who[order]
-        place = np.arange(len(who)) - np.searchsorted(who, who)
+            if len(row):
+                self._merge(i, row, who, x, ids, norm)
+
+    def _merge(self, first: int, row: np.ndarray, who: np.ndarray, x: np.ndarray, ids: np.ndarray, norm: np.ndarray) -> None:
+        """Measure pairs of a block's rows and questions from `first` on, and keep each question's nearest."""
+        asked = who + first
+        far = 1 - self._dots(x, self.q, row, asked) / (norm[row] * self.norm[asked])
+        # By place in the block first, so that few ids are compared as texts.
+        order = np.lexsort((row, far, who))
+        place = np.arange(len(order)) - np.searchsorted(who[order], who[order])
         order = order[place < self.leg]
-        self.who, self.far, self.ids = self.who[order], self.far[order], self.ids[order]
-        last = np.flatnonzero(np.bincount(self.who, minlength=len(self.q)) >= self.leg)
-        self.kth[last] = self.far[np.searchsorted(self.who, last, "right") - 1]
-
-    def batch(self) -> pa.RecordBatch:
-        names = pa.array(self.names).take(pa.array(self.who))
-        return pa.RecordBatch.from_arrays([names, pa.array(self.ids.tolist(), pa.string()), pa.array(self.far)], names=["query_id", "obs_id", "dist"])
+        row, who, asked, far = row[order], who[order], asked[order], far[order]
+        some = np.unique(who)
+        old = self.count[some + first]
+        kept = np.repeat(some + first, old)
+        slot = np.arange(len(kept)) - np.repeat(np.cumsum(old) - old, old)
+        every = np.concatenate([kept, asked])
+        dist = np.concatenate([self.far[kept, slot], far])
+        names = np.concatenate([self.ids[kept, slot], ids[row]])
+        order = np.lexsort((np.unique(names, return_inverse=True)[1], dist, every))
+        every = every[order]
+        place = np.arange(len(order)) - np.searchsorted(every, every)
+        fit = place < self.leg
+        every, place, order = every[fit], place[fit], order[fit]
+        self.far[every, place], self.ids[every, place] = dist[order], names[order]
+        some = some + first
+        self.count[some] = np.bincount(every - first, minlength=some[-1] - first + 1)[some - first]
+        full = some[self.count[some] >= self.leg]
+        last = self.far[full, self.leg - 1]
+        self.kth[full] = np.where(np.isnan(last), np.inf, last)
+
+    def batches(self):
+        for i in range(0, len(self.q), ROWS):
+            n = self.count[i : i + ROWS]
+            has = np.arange(self.leg)[None] < n[:, None]
+            names = pa.array(self.names[i : i + ROWS]).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            if len(names):
+                yield pa.RecordBatch.from_arrays([names, pa.array(self.ids[i : i + ROWS][has].tolist(), pa.string()), pa.array(self.far[i : i + ROWS][has])], names=["query_id", "obs_id", "dist"])
 
 
 def vector_legs(observations: DataFrame, requests: DataFrame, leg: int = LEG) -> DataFrame:
@@ -143,6 +181,7 @@ def vector_legs(observations: DataFrame, requests: DataFrame, leg: int = LEG) ->
         blocks = -(-n * dim * 8 // QUESTION_BYTES)
         rows = observations.where((F.size("content_vec") == dim) & F.col("obs_id").isNotNull())
         rows = rows.select("obs_id", "scope", F.coalesce(F.col("confidentiality") == "internal", F.lit(False)).alias("open"), F.col("content_vec").cast("array<double>").alias("v"))
+        rows = materialise(rows, "vectors") if blocks > 1 else rows
         for block in range(blocks):
             mine = asked.where((F.size("qvec") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).toArrow()
             if mine.num_rows:
@@ -164,15 +203,13 @@ def _search(questions: pa.Table, dim: int, leg: int):
 
     def run(batches):
         with np.errstate(divide="ignore", invalid="ignore"):
-            near = _Nearest(names, scopes, q, leg)
-            told = near.norm != 0
+            told = np.sqrt(_Nearest._dots(q, q)) != 0
             near = _Nearest([x for x, t in zip(names, told) if t], [x for x, t in zip(scopes, told) if t], q[told], leg)
             for b in batches:
                 b = b.filter(pa.array([None not in v for v in b.column("v").to_pylist()])) if b.column("v").flatten().null_count else b
                 if b.num_rows and len(near.q):
                     near.see(_matrix(b.column("v"), dim), *(np.array(b.column(c).to_pylist(), object) for c in ("obs_id", "scope")), b.column("open").to_numpy(zero_copy_only=False))
-        if len(near.who):
-            yield near.batch()
+        yield from near.batches()
 
     return run
 
