@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.entities import normalize
+from ..functions.entities import named_requests
 from ..functions.text import excerpt
 from .versioned import ENTITY_KEY, FACT_KEY, latest, open_at, valid_at, visible
 
@@ -31,9 +31,7 @@ def siblings(requests: DataFrame, entities: DataFrame) -> DataFrame:
     """(query_id, caller, entity_id, scope, ...): the current entities of each request's type and key, in all scopes.
 
     Requests (query_id, caller, key, type) are normalised; blank callers, and types that the key doesn't have, match none."""
-    n = normalize(F.col("key"))
-    asked = requests.withColumn("n", n).where((F.trim("caller") != "") & F.col("n").isNotNull() & (F.col("type").isNull() | (F.col("type") == F.col("n.type"))))
-    asked = asked.select("query_id", "caller", F.col("n.type").alias("entity_type"), F.col("n.key").alias("key"))
+    asked = named_requests(requests.where(F.trim("caller") != ""))
     return asked.join(latest(entities, ENTITY_KEY, "updated_at", "entity_id"), ["entity_type", "key"])
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorestone.functions import scores
-from lorestone.operators import facts, graph, similar, versioned
+from lorestone.operators import enrich, facts, graph, similar, versioned
 from lorestone.plans.queries import ORACLES, QUERIES
 from lorestone.plans.views import Views, sql
 from lorestone.scratch import materialise
@@ -56,6 +56,32 @@ def test_a_level_reads_the_first_neighbours(spark):
     assert (row["left"], row["open"], sorted(p[-1] for p in row["paths"])) == (0, False, [f"n{i:04d}" for i in range(88)])
 
 
+def test_requests_are_dealt_and_normalised_once(spark):
+    """Requests of one file go to several tasks before their keys are normalised, and each key is so once."""
+    k = F.col("id").cast("string")
+    asked = spark.range(300, numPartitions=1).select(F.col("id").alias("query_id"), F.lit("a").alias("caller"), F.concat(F.lit(" H"), k, F.lit(".Test. ")).alias("key"), F.when(F.col("id") % 3 == 0, "ioc_ip").alias("type"))
+    known = spark.range(300).select(F.concat(F.lit("e"), k).alias("entity_id"), F.lit("a").alias("scope"), F.lit("ioc_domain").alias("entity_type"), F.concat(F.lit("h"), k, F.lit(".test")).alias("key"), F.lit(0).alias("updated_at"))
+    for got, node in ((graph.starts(asked, known), "node"), (enrich.siblings(asked, known), "entity_id")):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("[Tt][0-9]{4}") == 1
+        assert "hashpartitioning(query_id" in plan[plan.index("ArrowEvalPython") :].split("Scan")[0].split("Range")[0]
+        assert {(r["query_id"], r[node]) for r in got.collect()} == {(i, f"e{i}") for i in range(300) if i % 3}
+
+
+def test_ways_are_told_once(spark):
+    """Paths have the keys of all their nodes, and what leads to several last nodes is looked up once; where a node in
+    the middle or at the end isn't known, the path goes."""
+    rows = [(q, f"n{i}", 3, ["s", f"m{i % 4}", f"o{i % 4}", f"n{i}"]) for q in (1, 2) for i in range(400)] + [(1, f"m{i}", 1, ["s", f"m{i}"]) for i in range(4)]
+    paths = materialise(spark.createDataFrame(rows, "query_id long, node string, depth int, path array<string>"), "paths")
+    names = ["s", "m0", "m1", "m2", "o0", "o1", "o3", *(f"n{i}" for i in range(400) if i % 5)]
+    got = graph.hydrate_paths(paths, spark.createDataFrame([(n, f"k-{n}", "a") for n in names], "entity_id string, key string, scope string"))
+    want = [(*r, [f"k-{n}" for n in r[3]], ["a"] * len(r[3])) for r in rows if set(r[3]) <= set(names)]
+    found = got.collect()
+    assert sorted(tuple(r) for r in found) == sorted(want) and len(want) == 323
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Generate posexplode") :]
+
+
 def test_audits_round_as_c_does(spark):
     rows = spark.createDataFrame([(0.125,), (0.375,), (0.625,), (0.875,), (0.005,), (0.12,), (1.0,)], "c float")
     assert [r[0] for r in rows.select(F.format_string("%.2f", scores.two_decimals(F.col("c")))).collect()] == ["0.12", "0.38", "0.62", "0.88", "0.00", "0.12", "1.00"]
