@@ -47,6 +47,21 @@ def test_levels_read_on_where_they_must(spark, monkeypatch, read):
         assert sorted(tuple(x) for x in got.select("query_id", "node", "depth", "path").collect()) == sorted(want)
 
 
+def test_walks_from_one_node_exchange_no_neighbours(spark, monkeypatch):
+    """The first level of walks from one node each is read off their links: no list is taken apart, and no window counts."""
+    made = {}
+    monkeypatch.setattr(graph, "materialise", lambda df, name: made.setdefault(name, []).append(df) or materialise(df, name))
+    edges = spark.range(600).select(F.format_string("h%d", F.col("id") % 5).alias("src_id"), F.format_string("n%03d", F.expr("id div 5")).alias("dst_id"), F.lit("r").alias("relation"))
+    edges = edges.unionByName(spark.createDataFrame([("h0", "h0", "r"), ("h0", "h1", "r")], edges.schema))
+    start = spark.createDataFrame([(q, f"h{q}") for q in range(5)] + [(7, None), (8, "nobody")], "query_id long, node string")
+    got = sorted((r["query_id"], r["node"], r["depth"], r["path"]) for r in graph.walk(edges, start, 1, most=30).collect())
+    near = {q: [f"n{i:03d}" for i in range(120)] for q in range(5)}
+    near[0], near[1] = ["h1", *near[0]], ["h0", *near[1]]
+    assert got == sorted((q, n, 1, [f"h{q}", n]) for q in range(5) for n in near[q][:30])
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in made["walk-level"]]
+    assert len(plans) == 1 and "Window" not in plans[0] and "explode" not in plans[0]
+
+
 def test_a_level_reads_the_first_neighbours(spark):
     """Of twelve hubs of 400 nodes each a walk that lacks 88 reads 24 at most: its level isn't open after that."""
     links = graph.neighbours(spark.range(4800).select(F.format_string("h%02d", F.col("id") % 12).alias("src_id"), F.format_string("n%04d", "id").alias("dst_id")), 201)
