@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -88,6 +89,39 @@ def test_near_duplicates(docs, rows, monkeypatch, node):
     assert got[None][1] is None
 
 
+def test_equal_sets_have_one_name():
+    """Wherever in a batch a text stands, its set has the same two sums: copies are one document to all that follows."""
+    r = random.Random(8)
+    copy = prose(r, 60)
+    texts = [x for _ in range(20) for x in (prose(r, 50), copy)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text_key": list(range(40)), "text": texts})
+    signed = pa.Table.from_batches(minhash._sign(4)([batch]))
+    names = list(zip(signed["f1"].to_pylist(), signed["f2"].to_pylist()))
+    assert len(set(names[1::2])) == 1 and len(set(names)) == 21
+
+
+def test_keys_are_cut_whole():
+    """However rows come in batches, all of a key are seen at once."""
+    for seed in range(30):
+        r = random.Random(seed)
+        keys = sorted((r.randrange(6), r.randrange(3)) for _ in range(60))
+        cuts = sorted({0, 60, *(r.randrange(1, 60) for _ in range(r.randrange(12)))})
+        rows = pa.RecordBatch.from_pydict({"a": [k[0] for k in keys], "b": [k[1] for k in keys], "n": list(range(60))})
+        got = [b.to_pydict() for b in minhash.whole((rows.slice(i, j - i) for i, j in itertools.pairwise(cuts)), ["a", "b"])]
+        assert [n for b in got for n in b["n"]] == list(range(60))
+        seen = [set(zip(b["a"], b["b"])) for b in got]
+        assert sum(map(len, seen)) == len(set(keys))
+
+
+def test_small_nodes_are_no_groups(spark, docs, monkeypatch):
+    """Nodes and groups of two documents are many; neither is a group of its own to Spark."""
+    plans = []
+    real = minhash.materialise
+    monkeypatch.setattr(minhash, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name))
+    minhash.near_duplicates(docs, words=4)
+    assert plans and not any("FlatMapGroups" in p for p in plans)
+
+
 def test_branching_groups(spark, monkeypatch):
     monkeypatch.setattr(minhash, "NODE", 6)
     monkeypatch.setattr(minhash, "BLOCKED", 10)
