@@ -64,8 +64,10 @@ def text_legs(postings: DataFrame, asked: DataFrame, leg: int) -> DataFrame:
     if "batch" not in rows.columns:
         rows = rows.withColumn("batch", F.lit(0))
     newest = rows.withColumn("n", F.row_number().over(Window.partitionBy("token", "gate").orderBy(*order, "batch", "row"))).where(F.col("n") <= leg)
-    newest = newest.select("token", "gate", "ts", "obs_id", "batch", "row")
-    hits = asked.join(newest, "token").where(F.col("gate").isNull() | (F.col("gate") == F.col("scope")))
+    # What is open to all goes by the empty gate; other scopes' closed rows are never joined.
+    newest = newest.select("token", F.col("gate").isNull().alias("free"), F.coalesce("gate", F.lit("")).alias("gate"), "ts", "obs_id", "batch", "row")
+    gates = F.array(F.struct(F.lit(True).alias("free"), F.lit("").alias("gate")), F.struct(F.lit(False).alias("free"), F.col("scope").alias("gate")))
+    hits = asked.select("query_id", "token", F.inline(gates)).join(newest, ["token", "free", "gate"])
     hits = hits.dropDuplicates(["query_id", "batch", "row"])
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= leg)
     return ranked.select("query_id", "obs_id", F.lit("txt").alias("src"), "rank")

@@ -70,6 +70,35 @@ def test_a_thousand_equal_vectors(spark):
         assert [r["obs_id"] for r in got if r["query_id"] == q] == ids[:20]
 
 
+@pytest.mark.parametrize("cell", [1, 1 << 26])
+def test_blocks_of_questions_meet_parts_of_rows(spark, monkeypatch, cell):
+    """No question passes through the driver, and parts of the rows and blocks of questions change nothing: not for
+    closed rows, nor near ties, nor vectors that are odd."""
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toArrow", None)
+    for name, value in {"QUESTION_BYTES": 500, "ROW_BYTES": 4000, "SLAB_BYTES": 300, "CELL": cell, "ROWS": 40, "PAIRS": 300}.items():
+        monkeypatch.setattr(similar, name, value)
+    r = random.Random(11)
+    odd = [[0.0] * 3, [float("nan"), 1.0, 0.0], [float("inf"), 1.0, 2.0], [1e200, 1e200, 0.0], [1e-160, 2e-160, 0.0], [1.0, None, 2.0], [1.0, 2.0], [], None]
+    vec = lambda: [r.choice([1.0, 2.0, 2.0 + 1e-9, -1.0]) for _ in range(3)]
+    rows = [(f"o{i:03d}", r.choice("ab"), datetime(2024, 1, 1), "alert", r.choice(["internal", "restricted", None]), None, odd[i % 9] if i % 7 == 0 else vec(), []) for i in range(400)]
+    many = spark.createDataFrame(rows, OBS).repartition(5)
+    asks = [(q, r.choice("abz"), vec() if q > 2 else [[1e-3, 2e-3, 0.0], [1e-160, 0.0, 1e-160], [2.0, 1.0]][q]) for q in range(40)]
+    asked = spark.createDataFrame(asks, "query_id long, scope string, qvec array<double>")
+    got = {}
+    for x in similar.vector_legs(many, asked, 20).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append(x["obs_id"])
+    tame = many.where("not exists(content_vec, x -> x is null)")
+    for q, scope, v in asks[:8]:
+        assert got.get(q, []) == [x["obs_id"] for x in similar.vector_leg(tame, scope, v, 20).orderBy("rank").collect()], q
+
+
+def test_closed_rows_of_others_are_not_joined(spark, obs):
+    rows, asked = requests(spark)
+    legs = postings.text_legs(postings.token_postings(obs), postings.asked_tokens(asked), 20)
+    joins = [x for x in legs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert len(joins) == 1 and "gate" in joins[0] and "token" in joins[0]
+
+
 def test_one_plan_for_all_questions(spark, obs):
     plans = []
     for n in (5, 40):
